@@ -10,6 +10,9 @@ MODULES = [
     "joins",
     "aggregations",
     "scalars",
+    "encoders",
+    "statistics",
+    "streams",
 ]
 
 for _module in MODULES:
