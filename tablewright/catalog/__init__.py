@@ -13,6 +13,8 @@ MODULES = [
     "encoders",
     "statistics",
     "streams",
+    "models",
+    "preparation",
 ]
 
 for _module in MODULES:

@@ -203,7 +203,7 @@ def linear(t: Tables):
 @query("j12_stream_logistic_regression")
 def logistic(t: Tables):
     rows = t.lineitem.select(
-        (F.col("l_extendedprice") > 50000).cast("double").alias("label"),
+        (F.col("l_quantity") + F.col("l_tax") * 200 > 34).cast("double").alias("label"),
         F.lit(1.0).alias("one"),
         (F.col("l_quantity") / 25 - 1).alias("quantity"),
     )

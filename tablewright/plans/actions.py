@@ -16,7 +16,7 @@ def _names(text: Column, wildcard: str) -> Column:
     return F.when(text.contains(wildcard), nothing).otherwise(F.split(text, " "))
 
 
-def parse_actions(actions: DataFrame) -> DataFrame:
+def parse_actions(actions: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Classify action rows (target, action, object) and split their names.
 
     Level 1 rows filter; all others, which hold a wildcard or relate columns,
@@ -27,12 +27,12 @@ def parse_actions(actions: DataFrame) -> DataFrame:
         & (F.col("action") != "related_to")
         & (F.col("object") != "any")
     )
-    split = lambda name: F.split(F.col(name), " ")
     return actions.select(
+        *keep,
         F.when(first, 1).otherwise(3).alias("level"),
-        F.when(first, split("target")).otherwise(_names(F.col("target"), "all")).alias("targets"),
-        split("action").alias("actions"),
-        F.when(first, split("object")).otherwise(_names(F.col("object"), "any")).alias("objects"),
+        F.when(first, F.split("target", " ")).otherwise(_names(F.col("target"), "all")).alias("targets"),
+        F.split("action", " ").alias("actions"),
+        F.when(first, F.split("object", " ")).otherwise(_names(F.col("object"), "any")).alias("objects"),
     )
 
 
