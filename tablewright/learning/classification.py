@@ -10,7 +10,6 @@ from pyspark.ml import classification as mlc
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import HashingTF, Tokenizer, VectorIndexer
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
 from pyspark.sql import DataFrame, functions as F
 
@@ -104,25 +103,30 @@ def sparse_svm(
 ) -> np.ndarray:
     """Weights of a linear SVM with an L1 penalty, by proximal gradient descent.
 
-    Each iteration is one aggregation over the cached rows: the vectors of
-    all rows inside the margin are summed per class.  The step shrinks with
-    the square root of the iteration, and descent ends once the weights
-    barely move.
+    The vector's slots are kept as columns, so each iteration is one generated
+    aggregation over the cached rows: the slots of all rows inside the margin
+    are summed with their side.  The step shrinks with the square root of the
+    iteration, and descent ends once the weights barely move.
     """
-    kept = df.select("label", "features").persist()
+    first = df.select("features").first()
+    slots = [f"_s{i}" for i in range(first["features"].size if first else 0)]
+    side = F.when(F.col("label") > 0, 1.0).otherwise(-1.0).alias("_side")
+    values = vector_to_array("features")
+    kept = df.select(side, *[values[i].alias(s) for i, s in enumerate(slots)]).persist()
+    weights = np.zeros(len(slots))
     try:
-        n = kept.count()
-        weights = np.zeros(kept.first()["features"].size if n else 0)
         for i in range(1, max_iter + 1):
-            scored = linear_scores(kept, weights, 0.0)
-            side = F.when(F.col("label") > 0, 1.0).otherwise(-1.0)
-            inside = scored.filter(side * F.col("score") < 1)
-            sums = inside.groupBy("label").agg(Summarizer.sum(F.col("features")).alias("s")).collect()
-            gradient = np.zeros_like(weights)
-            for row in sums:  # one row per class
-                gradient += (-1.0 if row["label"] > 0 else 1.0) * row["s"].toArray()
+            score = F.lit(0.0)
+            for slot, weight in zip(slots, weights):
+                score = score + F.col(slot) * F.lit(float(weight))
+            inside = F.col("_side") * score < 1
+            sums = kept.agg(
+                F.count("*").alias("n"),
+                *[F.sum(F.when(inside, -F.col("_side") * F.col(s))).alias(s) for s in slots],
+            ).first()
+            gradient = np.array([sums[s] or 0.0 for s in slots]) / max(sums["n"], 1)
             size = step / np.sqrt(i)
-            moved = weights - size * gradient / max(n, 1)
+            moved = weights - size * gradient
             moved = np.sign(moved) * np.maximum(np.abs(moved) - size * reg, 0.0)
             still = np.linalg.norm(moved - weights) < tol * max(np.linalg.norm(moved), 1.0)
             weights = moved
