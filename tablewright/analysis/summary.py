@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tablewright.functions.features import number_or_zero
 from tablewright.operators.ordering import running_total
+from tablewright.storage import cut_lineage
 
 
 def long_form(df: DataFrame, groups: Mapping[str, Mapping[str, str]], name: str) -> DataFrame:
@@ -82,7 +83,9 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     one row each.
     """
     pairs = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    counts = pairs.groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count("*").alias("n"))
+    counts = cut_lineage(
+        pairs.groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count("*").alias("n")), "pairs"
+    )
     ranks_x = average_ranks(counts, "x").withColumnRenamed("rank", "rx")
     ranks_y = average_ranks(counts, "y").withColumnRenamed("rank", "ry")
     joined = counts.join(ranks_x, "x").join(ranks_y, "y")

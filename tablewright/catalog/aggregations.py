@@ -112,7 +112,7 @@ TITLE_TOKENS_SQL = f"""SELECT doc_id, token FROM (
 
 @query("d07_distinct_token_count", f"SELECT count(DISTINCT token) AS n FROM ({TITLE_TOKENS_SQL})")
 def distinct_tokens(t: Tables):
-    return text.distinct_tokens(t.documents, "text")
+    return text.distinct_tokens(t.documents, "doc_id", "text")
 
 
 @query(

@@ -49,8 +49,8 @@ def line_vector(t: Tables):
         FROM counts JOIN spread USING (term)""",
 )
 def tfidf(t: Tables):
-    tokens = text.title_tokens(F.col("text"))
-    weighted = text.tfidf(t.documents.select("doc_id", "text"), "doc_id", tokens, 4)
+    tokens = text.title_token_rows(t.documents, "doc_id", "text")
+    weighted = text.tfidf(tokens, "doc_id", t.documents, 4)
     return weighted.withColumn("tfidf", F.round("tfidf", 6))
 
 
@@ -94,8 +94,7 @@ def synonyms(t: Tables):
         WHERE term IN (SELECT term FROM counts GROUP BY term HAVING count(*) >= 2)""",
 )
 def count_terms(t: Tables):
-    tokens = text.title_tokens(F.col("text"))
-    return text.count_terms(t.documents.select("doc_id", "text"), "doc_id", tokens, 2)
+    return text.count_terms(text.title_token_rows(t.documents, "doc_id", "text"), "doc_id", 2)
 
 
 @query(

@@ -20,7 +20,7 @@ CHARACTERS_SQL = text.MESSAGE_IGNORED_CHARACTERS.replace("'", "''")
         GROUP BY doc_id, token""",
 )
 def clean_tokens(t: Tables):
-    tokens = text.clean_tokens(t.documents.select("doc_id", "text"), "doc_id", "text")
+    tokens = text.clean_tokens(t.documents, "doc_id", "text")
     return tokens.groupBy("doc_id", "token").agg(F.count("*").alias("n"))
 
 

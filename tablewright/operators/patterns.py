@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.ml.fpm import FPGrowth, FPGrowthModel, PrefixSpan
 from pyspark.sql import DataFrame, functions as F
 
+from tablewright.storage import cut_lineage
+
 # The sequence miner takes one row per sequence; longer ones are refused.
 MAX_SEQUENCE_ITEMS = 1_000_000
 
@@ -16,7 +18,9 @@ def baskets(df: DataFrame, basket: str, item: str, min_support: float) -> DataFr
     items out first is exact, and it bounds the arrays: at most
     average basket size / support items are that frequent.
     """
-    distinct = df.select(F.col(basket).alias("basket"), F.col(item).alias("item")).distinct()
+    distinct = cut_lineage(
+        df.select(F.col(basket).alias("basket"), F.col(item).alias("item")).distinct(), "baskets"
+    )
     n = distinct.agg(F.count_distinct("basket")).scalar()
     frequent = (
         distinct.groupBy("item")
@@ -33,8 +37,8 @@ def frequent_itemsets(
     items: DataFrame, min_support: float, min_confidence: float = 0.8, partitions: int | None = None
 ) -> FPGrowthModel:
     miner = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence)
-    if partitions:
-        miner.setNumPartitions(partitions)
+    # Adaptive execution may have left few input partitions; mining is costlier than reading.
+    miner.setNumPartitions(partitions or items.sparkSession.sparkContext.defaultParallelism)
     return miner.fit(items)
 
 
