@@ -69,7 +69,7 @@ def ks_custom(df: DataFrame, column: str, cdf: DataFrame) -> DataFrame:
     """
     counts = df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("_n"))
     steps = running_total(counts, ["value"], "_n", "_upto")
-    n = counts.agg(F.sum("_n")).scalar()
+    n = steps.agg(F.max("_upto")).scalar()
     above = F.col("_upto") / n - F.col("probability")
     below = F.col("probability") - (F.col("_upto") - F.col("_n")) / n
     return steps.join(cdf, "value").agg(F.max(F.greatest(above, below)).alias("statistic"))

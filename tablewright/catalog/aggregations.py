@@ -136,10 +136,11 @@ def cooccurrence(t: Tables):
 
 @query(
     "d09_collect_group",
-    """SELECT user_id, chunk, array_to_string(list(value ORDER BY value), ',') AS "values" FROM (
-         SELECT user_id, CAST(value * 100 AS BIGINT) AS value,
-           (row_number() OVER (PARTITION BY user_id ORDER BY CAST(value * 100 AS BIGINT)) - 1) // 20 AS chunk
-         FROM events) GROUP BY user_id, chunk""",
+    """SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY place) - 1 AS chunk, "values" FROM (
+         SELECT user_id, place, array_to_string(list(value ORDER BY value), ',') AS "values" FROM (
+           SELECT user_id, value, (row_number() OVER (ORDER BY user_id, value) - 1) // 20 AS place
+           FROM (SELECT user_id, CAST(value * 100 AS BIGINT) AS value FROM events))
+         GROUP BY user_id, place)""",
 )
 def grouped_values(t: Tables):
     rows = t.events.select("user_id", F.round(F.col("value") * 100).cast("long").alias("value"))

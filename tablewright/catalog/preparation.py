@@ -11,6 +11,7 @@ from tablewright.plans import fitness as fit
 from tablewright.plans.actions import Actions, load_actions, parse_actions
 from tablewright.plans.apply import apply_plan, make_setting, plan_bits
 from tablewright.plans.search import plan_search
+from tablewright.plans.transforms import TRANSFORMS, transform_names
 
 
 @query(
@@ -61,6 +62,22 @@ def applied_plan(t: Tables):
     return made.withColumn("c_acctbal", F.round("c_acctbal", 6))
 
 
+@query(
+    "g11_transform_registry",
+    f"""SELECT c_custkey, c_name, coalesce(c_nationkey, 0) AS c_nationkey,
+          round(CASE WHEN c_acctbal > 0 THEN ln(c_acctbal) END, 6) AS c_acctbal, 5 AS c_mktsegment
+        FROM ({CUSTOMER_WITH_NULLS}) WHERE c_name IS NOT NULL""",
+)
+def registry(t: Tables):
+    """Every registered transform by name, one column choice each."""
+    df = customer_with_nulls(t)
+    setting = make_setting(df, constant=5)
+    choices = [["c_name"], ["c_mktsegment"], ["c_acctbal"], ["c_nationkey"], []]
+    for name, chosen in zip(transform_names(), choices):
+        df = TRANSFORMS[name](df, chosen, setting)
+    return df.withColumn("c_acctbal", F.round("c_acctbal", 6))
+
+
 ACTION_ROWS = [
     ("c_acctbal", "filter", "null"),
     ("n_regionkey n_name", "related_to", "c_nationkey c_mktsegment"),

@@ -199,6 +199,15 @@ def optional_value(t: Tables):
     return filters.filter_optional_value(customer_with_nulls(t), "c_nationkey", None)
 
 
+@query("b17_select_ml_columns", "SELECT l_returnflag, l_quantity, l_tax FROM lineitem")
+def ml_columns(t: Tables):
+    lists = columns.model_columns(
+        t.lineitem.columns, ["l_returnflag", "absent"], ["l_tax", "l_returnflag", "l_quantity"]
+    )
+    chosen = lists["targets"] + lists["features"]
+    return t.lineitem.select(*chosen)
+
+
 @query("e01_order_by_spec", "SELECT * FROM orders ORDER BY o_orderpriority DESC, o_orderkey LIMIT 100")
 def order_spec(t: Tables):
     return request.order_by_spec(t.orders, "o_orderpriority desc,o_orderkey asc").limit(100)

@@ -200,6 +200,49 @@ def linear(t: Tables):
     return model.train_on(stream_in_parts(t, rows, "lines"))
 
 
+@query(
+    "j11_stream_linear_regression_one_batch",
+    """WITH RECURSIVE s AS (SELECT count(*) AS n, sum(x) AS sx, sum(x * x) AS sxx, sum(y) AS sy, sum(x * y) AS sxy FROM (
+         SELECT l_quantity / 50 AS x, l_extendedprice / 10000 AS y FROM lineitem)),
+       w AS (SELECT 0 AS i, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b
+         UNION ALL SELECT i + 1, a - 0.5 / sqrt(i + 1) * (n * a + sx * b - sy) / n,
+           b - 0.5 / sqrt(i + 1) * (sx * a + sxx * b - sxy) / n FROM w, s WHERE i < 20)
+       SELECT 'one' AS feature, round(a, 6) AS weight, 0 AS batch_id FROM w WHERE i = 20
+       UNION ALL SELECT 'quantity', round(b, 6), 0 FROM w WHERE i = 20""",
+)
+def linear_one_batch(t: Tables):
+    rows = stream_of(t, "lineitem").select(
+        (F.col("l_extendedprice") / 10000).alias("label"),
+        F.lit(1.0).alias("one"),
+        (F.col("l_quantity") / 50).alias("quantity"),
+    )
+    model = learners.StreamingLinearRegression(["one", "quantity"], step=0.5, iterations=20)
+    return model.train_on(rows).withColumn("weight", F.round("weight", 6))
+
+
+LOGISTIC_STEP = """(SELECT a - 2 / sqrt({i}) * avg(1 / (1 + exp(-(a + b * x))) - y) AS a,
+  b - 2 / sqrt({i}) * avg((1 / (1 + exp(-(a + b * x))) - y) * x) AS b FROM x, w{j} GROUP BY a, b)"""
+
+
+@query(
+    "j12_stream_logistic_regression_one_batch",
+    f"""WITH x AS (SELECT l_quantity / 25 - 1 AS x,
+           CASE WHEN l_quantity + l_tax * 200 > 34 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS y FROM lineitem),
+        w0 AS (SELECT 0.0::DOUBLE AS a, 0.0::DOUBLE AS b), w1 AS {LOGISTIC_STEP.format(i=1, j=0)},
+        w2 AS {LOGISTIC_STEP.format(i=2, j=1)}, w3 AS {LOGISTIC_STEP.format(i=3, j=2)}
+        SELECT 'one' AS feature, round(a, 6) AS weight, 0 AS batch_id FROM w3
+        UNION ALL SELECT 'quantity', round(b, 6), 0 FROM w3""",
+)
+def logistic_one_batch(t: Tables):
+    rows = stream_of(t, "lineitem").select(
+        (F.col("l_quantity") + F.col("l_tax") * 200 > 34).cast("double").alias("label"),
+        F.lit(1.0).alias("one"),
+        (F.col("l_quantity") / 25 - 1).alias("quantity"),
+    )
+    model = learners.StreamingLogisticRegression(["one", "quantity"], step=2.0, iterations=3)
+    return model.train_on(rows).withColumn("weight", F.round("weight", 6))
+
+
 @query("j12_stream_logistic_regression")
 def logistic(t: Tables):
     rows = t.lineitem.select(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tablewright.operators.ordering import numbered
 
@@ -41,19 +41,19 @@ def count_by(df: DataFrame, category: str, where: str | None = None) -> DataFram
 def rate_table(df: DataFrame, category: str, hit: str) -> DataFrame:
     """Hit rates per category that has a hit, best rate first.
 
-    Overall totals include rows without a category and come in as scalar
-    subqueries, so they cost one row and no join.
+    Overall totals include rows without a category.  They are summed from the
+    category counts and come in as scalar subqueries, so the rows are read
+    once and nothing is joined.
     """
     flag = F.coalesce(F.expr(hit), F.lit(False))
-    marked = df.select(F.col(category), flag.alias("_hit"))
-    all_rows = marked.agg(F.count("*").alias("n")).scalar()
-    all_hits = marked.agg(F.count_if("_hit").alias("n")).scalar()
-    per_category = (
-        marked.filter(F.col(category).isNotNull())
+    counts = (
+        df.select(F.col(category), flag.alias("_hit"))
         .groupBy(category)
         .agg(F.count_if("_hit").alias("hits"), F.count("*").alias("total"))
-        .filter(F.col("hits") > 0)
     )
+    all_rows = counts.agg(F.sum("total")).scalar()
+    all_hits = counts.agg(F.sum("hits")).scalar()
+    per_category = counts.filter(F.col(category).isNotNull() & (F.col("hits") > 0))
     share = F.col("hits") / F.col("total")
     return per_category.select(
         F.col(category),
@@ -71,16 +71,17 @@ def collect_group(
 ) -> DataFrame:
     """All values of each key, sorted, in arrays of at most `chunk_size`.
 
-    Rows are numbered in (key, value) order by a distributed sort, so a key
-    with billions of values becomes many bounded arrays on many tasks.
+    Rows are numbered in (key, value) order by a distributed sort and every
+    `chunk_size` numbers form a chunk, so a key with billions of values
+    becomes many bounded arrays on many tasks.  A key's chunks count from 0.
     """
     positions = numbered(df.select(key, value), [key, value], name="_pos", start=0)
-    firsts = positions.groupBy(F.col(key).alias("_key")).agg(F.min("_pos").alias("_first"))
-    chunk = F.floor((F.col("_pos") - F.col("_first")) / F.lit(chunk_size)).cast("long")
-    chunked = positions.join(firsts, F.col(key).eqNullSafe(F.col("_key"))).select(
-        key, value, chunk.alias("chunk")
+    place = F.floor(F.col("_pos") / F.lit(chunk_size))
+    arrays = positions.groupBy(key, place.alias("_place")).agg(
+        F.sort_array(F.collect_list(value)).alias("values")
     )
-    return chunked.groupBy(key, "chunk").agg(F.sort_array(F.collect_list(value)).alias("values"))
+    number = F.row_number().over(Window.partitionBy(key).orderBy("_place")) - 1
+    return arrays.select(key, number.cast("long").alias("chunk"), "values")
 
 
 def plan_score(df: DataFrame, group: str, error: str, weight: str) -> DataFrame:

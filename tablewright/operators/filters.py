@@ -45,7 +45,8 @@ def filter_keys(
     """
     names = [columns] if isinstance(columns, str) else list(columns)
     if isinstance(keys, DataFrame):
-        return df.join(keys.select(*names), names, "left_semi")
+        # Distinct keys combine on the map side and arrive partitioned for the join.
+        return df.join(keys.select(*names).distinct(), names, "left_semi")
     values = list(keys)
     if not values:
         return df.filter(F.lit(False))

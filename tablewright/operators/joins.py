@@ -37,7 +37,7 @@ def join_star(
 
 def join_unmatched(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows of `left` without a partner."""
-    return left.join(right.select(*keys), list(keys), "left_anti")
+    return left.join(right.select(*keys).distinct(), list(keys), "left_anti")
 
 
 def self_join_counts(

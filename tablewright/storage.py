@@ -59,6 +59,9 @@ def spread(df: DataFrame) -> DataFrame:
     Meant for a plain scan, before text is split.  A table of many files has
     more tasks than the cluster has cores and is left as it is.
     """
+    execution = df._jdf.queryExecution()
+    if execution.executedPlan().nodeName() == "AdaptiveSparkPlan":
+        return df  # already shuffled somewhere, and counting its tasks would run it
     cores = df.sparkSession.sparkContext.defaultParallelism
-    tasks = df._jdf.queryExecution().toRdd().getNumPartitions()
+    tasks = execution.toRdd().getNumPartitions()
     return df.repartition(cores) if tasks < cores else df
