@@ -200,7 +200,7 @@ def polynomial(t: Tables):
 
 @query(
     "k11_dct",
-    """SELECT vec_id, k AS pos, round(sqrt(2.0 / 64) * CASE WHEN k = 0 THEN sqrt(0.5) ELSE 1 END *
+    """SELECT vec_id, CAST(k AS INTEGER) AS pos, round(sqrt(2.0 / 64) * CASE WHEN k = 0 THEN sqrt(0.5) ELSE 1 END *
          sum(x * cos(pi() * (n + 0.5) * k / 64)), 6) + 0.0 AS value
        FROM (SELECT vec_id, unnest(range(64)) AS n, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
             (SELECT unnest(range(64)) AS k)
@@ -229,7 +229,7 @@ def index_to_string(t: Tables):
 
 @query(
     "k14_one_hot",
-    f"""SELECT o_orderkey, pos, CASE WHEN code = pos THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS value
+    f"""SELECT o_orderkey, CAST(pos AS INTEGER) AS pos, CASE WHEN code = pos THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS value
         FROM orders JOIN ({codes_sql('orders', 'o_orderpriority')}) ON o_orderpriority = value,
         (SELECT unnest(range((SELECT count(DISTINCT o_orderpriority) FROM orders) - 1)) AS pos)""",
 )
@@ -336,7 +336,7 @@ def elementwise(t: Tables):
 
 @query(
     "k22_vector_assembler",
-    """SELECT vec_id, pos, round(v, 6) AS value FROM (SELECT vec_id, unnest(range(66)) AS pos,
+    """SELECT vec_id, CAST(pos AS INTEGER) AS pos, round(v, 6) AS value FROM (SELECT vec_id, unnest(range(66)) AS pos,
          unnest(list_concat([CAST(label AS DOUBLE)], CAST(embedding AS DOUBLE[]), [CAST(vec_id AS DOUBLE)])) AS v
        FROM embeddings)""",
 )

@@ -50,11 +50,11 @@ def page_views(t: Tables):
 
 @query(
     "g04_refine_date",
-    """SELECT o_orderkey, year(ts) AS "Year", month(ts) AS "Month", day(ts) AS "Day", week(ts) AS "WeekNum",
-         hour(ts) AS "HourOfDay", CASE WHEN isodow(ts) >= 6 THEN 1 ELSE 0 END AS "Weekend",
+    """SELECT o_orderkey, CAST(year(ts) AS INTEGER) AS "Year", CAST(month(ts) AS INTEGER) AS "Month", CAST(day(ts) AS INTEGER) AS "Day", CAST(week(ts) AS INTEGER) AS "WeekNum",
+         CAST(hour(ts) AS INTEGER) AS "HourOfDay", CASE WHEN isodow(ts) >= 6 THEN 1 ELSE 0 END AS "Weekend",
          CASE WHEN month(ts) IN (3, 4, 5) THEN 'Spring' WHEN month(ts) IN (6, 7, 8) THEN 'Summer'
            WHEN month(ts) IN (9, 10, 11) THEN 'Autumn' ELSE 'Winter' END AS "Season",
-         isodow(ts) AS "WeekDay" FROM (
+         CAST(isodow(ts) AS INTEGER) AS "WeekDay" FROM (
            SELECT o_orderkey, o_orderdate + to_hours(o_orderkey % 24) AS ts FROM orders)""",
 )
 def refined_dates(t: Tables):

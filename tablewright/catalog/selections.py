@@ -108,7 +108,7 @@ def constant_column(t: Tables):
 @query(
     "b09_conditional_log",
     """SELECT o_orderkey, o_totalprice > 0 AS positive, round(ln(o_totalprice), 6) AS o_totalprice,
-         CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE 0.25 END AS rate,
+         CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE 0.25::DOUBLE END AS rate,
          CASE WHEN o_orderkey % 1000 >= 500 THEN round(ln(o_orderkey % 1000 - 499.0), 6) END AS shifted
        FROM orders""",
 )

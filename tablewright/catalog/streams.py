@@ -40,7 +40,7 @@ def plain_windows(df):
     return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ["window_start", "window_end"]})
 
 
-@query("j01_stream_file_source", "SELECT event_type, count(*) AS n, 0 AS batch_id FROM events GROUP BY 1")
+@query("j01_stream_file_source", "SELECT event_type, count(*) AS n, 0::BIGINT AS batch_id FROM events GROUP BY 1")
 def file_source(t: Tables):
     folder = scratch_path(t.spark, "lines")
     t.events.select(F.concat_ws("\t", "event_type", "user_id")).write.text(folder)
@@ -58,7 +58,7 @@ def word_count(t: Tables):
     return metrics.running_counts(metrics.batch_counts(words, "word"), "word")
 
 
-@query("j03_stream_page_counts", "SELECT event_type, count(*) AS n, 0 AS batch_id FROM events GROUP BY 1")
+@query("j03_stream_page_counts", "SELECT event_type, count(*) AS n, 0::BIGINT AS batch_id FROM events GROUP BY 1")
 def page_counts(t: Tables):
     return metrics.batch_counts(stream_of(t, "events"), "event_type")
 
@@ -98,7 +98,7 @@ def active_users(t: Tables):
 
 @query(
     "j07_stream_static_inner",
-    """SELECT event_id, user_id, c_name, 0 AS batch_id FROM events JOIN customer ON user_id = c_custkey
+    """SELECT event_id, user_id, c_name, 0::BIGINT AS batch_id FROM events JOIN customer ON user_id = c_custkey
        WHERE c_mktsegment = 'BUILDING' ORDER BY ts, event_id LIMIT 10""",
 )
 def static_inner(t: Tables):
@@ -116,7 +116,7 @@ def static_inner(t: Tables):
 
 @query(
     "j08_stream_blacklist",
-    """SELECT word, count(*) AS n, 0 AS batch_id FROM (SELECT unnest(string_split(text, ' ')) AS word FROM documents)
+    """SELECT word, count(*) AS n, 0::BIGINT AS batch_id FROM (SELECT unnest(string_split(text, ' ')) AS word FROM documents)
        WHERE word NOT IN (SELECT unnest(string_split(text, ' ')) FROM benchmark) GROUP BY 1""",
 )
 def blacklist(t: Tables):
@@ -171,7 +171,7 @@ def _label_means(t: Tables) -> list[list[float]]:
        d AS (SELECT vec_id, cluster, sum((x - m) * (x - m)) AS d FROM x JOIN c USING (pos) GROUP BY ALL),
        a AS (SELECT vec_id, arg_min(cluster, d) AS cluster FROM d GROUP BY vec_id),
        s AS (SELECT cluster, pos, sum(x) AS s, count(*) AS n FROM x JOIN a USING (vec_id) GROUP BY ALL)
-       SELECT c.cluster, c.pos, round((m + coalesce(s, 0)) / (1 + coalesce(n, 0)), 6) + 0.0 AS value,
+       SELECT c.cluster, CAST(c.pos AS INTEGER) AS pos, round((m + coalesce(s, 0)) / (1 + coalesce(n, 0)), 6) + 0.0 AS value,
          CAST(1 + coalesce(n, 0) AS DOUBLE) AS weight FROM c LEFT JOIN s ON c.cluster = s.cluster AND c.pos = s.pos""",
 )
 def kmeans(t: Tables):
@@ -207,8 +207,8 @@ def linear(t: Tables):
        w AS (SELECT 0 AS i, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b
          UNION ALL SELECT i + 1, a - 0.5 / sqrt(i + 1) * (n * a + sx * b - sy) / n,
            b - 0.5 / sqrt(i + 1) * (sx * a + sxx * b - sxy) / n FROM w, s WHERE i < 20)
-       SELECT 'one' AS feature, round(a, 6) AS weight, 0 AS batch_id FROM w WHERE i = 20
-       UNION ALL SELECT 'quantity', round(b, 6), 0 FROM w WHERE i = 20""",
+       SELECT 'one' AS feature, round(a, 6) AS weight, 0::BIGINT AS batch_id FROM w WHERE i = 20
+       UNION ALL SELECT 'quantity', round(b, 6), 0::BIGINT FROM w WHERE i = 20""",
 )
 def linear_one_batch(t: Tables):
     rows = stream_of(t, "lineitem").select(
@@ -230,8 +230,8 @@ LOGISTIC_STEP = """(SELECT a - 2 / sqrt({i}) * avg(1 / (1 + exp(-(a + b * x))) -
            CASE WHEN l_quantity + l_tax * 200 > 34 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS y FROM lineitem),
         w0 AS (SELECT 0.0::DOUBLE AS a, 0.0::DOUBLE AS b), w1 AS {LOGISTIC_STEP.format(i=1, j=0)},
         w2 AS {LOGISTIC_STEP.format(i=2, j=1)}, w3 AS {LOGISTIC_STEP.format(i=3, j=2)}
-        SELECT 'one' AS feature, round(a, 6) AS weight, 0 AS batch_id FROM w3
-        UNION ALL SELECT 'quantity', round(b, 6), 0 FROM w3""",
+        SELECT 'one' AS feature, round(a, 6) AS weight, 0::BIGINT AS batch_id FROM w3
+        UNION ALL SELECT 'quantity', round(b, 6), 0::BIGINT FROM w3""",
 )
 def logistic_one_batch(t: Tables):
     rows = stream_of(t, "lineitem").select(
@@ -258,7 +258,7 @@ def logistic(t: Tables):
 
 @query(
     "j13_stream_batch_table",
-    "SELECT event_type = 'purchase' AS label, value, 0 AS batch_id FROM events",
+    "SELECT event_type = 'purchase' AS label, value, 0::BIGINT AS batch_id FROM events",
 )
 def batch_table(t: Tables):
     samples = stream_of(t, "events").select((F.col("event_type") == "purchase").alias("label"), "value")

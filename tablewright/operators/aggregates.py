@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tablewright.operators.ordering import numbered
+from tablewright.storage import cut_lineage
 
 
 def sums_sorted(
@@ -41,15 +42,16 @@ def count_by(df: DataFrame, category: str, where: str | None = None) -> DataFram
 def rate_table(df: DataFrame, category: str, hit: str) -> DataFrame:
     """Hit rates per category that has a hit, best rate first.
 
-    Overall totals include rows without a category.  They are summed from the
-    category counts and come in as scalar subqueries, so the rows are read
-    once and nothing is joined.
+    Overall totals include rows without a category.  The category counts are
+    written once; totals are summed from them as scalar subqueries, so the
+    rows are read once and nothing is joined.
     """
     flag = F.coalesce(F.expr(hit), F.lit(False))
-    counts = (
+    counts = cut_lineage(
         df.select(F.col(category), flag.alias("_hit"))
         .groupBy(category)
-        .agg(F.count_if("_hit").alias("hits"), F.count("*").alias("total"))
+        .agg(F.count_if("_hit").alias("hits"), F.count("*").alias("total")),
+        "counts",
     )
     all_rows = counts.agg(F.sum("total")).scalar()
     all_hits = counts.agg(F.sum("hits")).scalar()
