@@ -105,7 +105,11 @@ def labelled(t: Tables):
 
 
 def _one_error(t: Tables, name: str):
-    error = fit.FITNESS[name](labelled(t).persist(), 1234)
+    data = labelled(t).persist()
+    try:
+        error = fit.FITNESS[name](data, 1234)
+    finally:
+        data.unpersist()
     return t.spark.createDataFrame([(name, error)], "model string, error double")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from tablewright.analysis.summary import column_variances
 from tablewright.plans.transforms import LOG_VARIANCE, TRANSFORMS, Setting, transform_names, type_default
@@ -32,13 +32,15 @@ def plan_bits(chosen: Mapping[str, Sequence[str]], columns: Sequence[str]) -> Pl
 def effective_plan(plan: Plan, df: DataFrame, setting: Setting) -> Plan:
     """The plan without bits that change no row of the table.
 
-    Plans with the same effect then share one fitness: the log applies to
-    double columns of large variance, the constant to one column, defaults to
-    types that have one, and sorting leaves a model's input as it is.
+    Plans with the same effect then share one fitness: null rows and defaults
+    matter where there are nulls, the log applies to double columns of large
+    variance, the constant to one column, and sorting leaves a model's input
+    as it is.
     """
     types = {f.name: f.dataType for f in df.schema.fields}
     chosen = chosen_columns(plan, df.columns)
     kept = dict(chosen)
+    kept["trans1"] = [c for c in chosen["trans1"] if c in setting.nullable]
     kept["trans2"] = chosen["trans2"][:1]
     kept["trans3"] = [
         c
@@ -47,16 +49,20 @@ def effective_plan(plan: Plan, df: DataFrame, setting: Setting) -> Plan:
         and setting.variances.get(c, 0.0) > LOG_VARIANCE
         and c not in kept["trans2"]
     ]
+    nulls_left = set(setting.nullable) - set(kept["trans1"]) - set(kept["trans2"])
+    nulls_left |= set(kept["trans3"])  # the log of a number that is not positive
     kept["trans4"] = [
-        c for c in chosen["trans4"] if type_default(types[c]) is not None and c not in kept["trans2"]
+        c for c in chosen["trans4"] if c in nulls_left and type_default(types[c]) is not None
     ]
     kept["trans5"] = []
     return plan_bits(kept, df.columns)
 
 
 def make_setting(df: DataFrame, constant: int = 0, sort: bool = True) -> Setting:
-    """Column variances of the base table, computed in one pass."""
-    return Setting(variances=column_variances(df), constant=constant, sort=sort)
+    """Variances of the base table and which of its columns hold nulls."""
+    nulls = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in df.columns]).first()
+    nullable = frozenset(c for c in df.columns if nulls[c])
+    return Setting(column_variances(df), nullable, constant, sort)
 
 
 def apply_plan(df: DataFrame, plan: Sequence[int], setting: Setting) -> DataFrame:

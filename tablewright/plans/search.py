@@ -9,15 +9,29 @@ from __future__ import annotations
 import math
 import random
 from collections.abc import Callable, Iterable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
+from tablewright.operators.columns import model_columns
 from tablewright.plans.actions import Actions, apply_filters
-from tablewright.plans.apply import Plan, apply_plan, effective_plan, make_setting
-from tablewright.plans.fitness import FITNESS, column_levels, plan_fitness, score
-from tablewright.plans.transforms import Setting, transform_names
+from tablewright.plans.apply import (
+    Plan,
+    apply_plan,
+    chosen_columns,
+    effective_plan,
+    make_setting,
+)
+from tablewright.plans.fitness import (
+    FITNESS,
+    Level,
+    LevelResult,
+    column_levels,
+    plan_fitness,
+    score,
+)
+from tablewright.plans.transforms import transform_names
 
 
 def random_plan(length: int, rng: random.Random) -> Plan:
@@ -95,6 +109,16 @@ class Search:
         return self.best_plan
 
 
+def level_input(plan: Plan, columns: Sequence[str], level: Level) -> tuple:
+    """What a plan changes for one level: the rows it keeps and how it
+    transforms the level's own columns."""
+    usable = model_columns(columns, level.targets, level.features)
+    used = [*usable["targets"][:1], *usable["features"]]
+    chosen = chosen_columns(plan, columns)
+    changes = [tuple(c for c in chosen[t] if c in used) for t in ("trans2", "trans3", "trans4")]
+    return (level, tuple(chosen["trans1"]), *changes)
+
+
 @dataclass
 class SearchResult:
     plan: Plan
@@ -115,21 +139,24 @@ def plan_search(
 ) -> SearchResult:
     """Search plans for a table and return the best one's table.
 
-    The table is filtered by the actions and cached once.  Plans that
-    transform it alike are fitted once.
+    The table is filtered by the actions and cached once.  A level is fitted
+    once for all plans that give it the same rows and columns.
     """
     base = apply_filters(df, actions.filters).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         setting = make_setting(base, constant, sort=False)
         levels = column_levels(base.columns, actions.targets, actions.objects)
-        known: dict[Plan, float | None] = {}
+        known: dict[tuple, LevelResult] = {}
 
         def evaluate(plan: Plan) -> float | None:
             effect = effective_plan(plan, base, setting)
-            if effect not in known:
+            keys = [level_input(effect, base.columns, level) for level in levels]
+            missing = [(k, lv) for k, lv in zip(keys, levels) if k not in known]
+            if missing:
                 table = apply_plan(base, effect, setting)
-                known[effect] = score(plan_fitness(table, levels, models=models))
-            return known[effect]
+                results = plan_fitness(table, [lv for _, lv in missing], models=models)
+                known.update(zip([k for k, _ in missing], results))
+            return score([known[k] for k in keys])
 
         search = Search(
             evaluate,
@@ -146,11 +173,5 @@ def plan_search(
         [(g.number, g.best, g.plans, g.evaluated) for g in search.history],
         "generation int, best double, plans int, evaluated int",
     )
-    final = make_final(df, actions, plan, setting.variances, constant)
+    final = apply_plan(apply_filters(df, actions.filters), plan, replace(setting, sort=True))
     return SearchResult(plan, search.best_fitness, final, history)
-
-
-def make_final(df, actions, plan, variances, constant) -> DataFrame:
-    """The best plan's table, sorted as the plan says."""
-    base = apply_filters(df, actions.filters)
-    return apply_plan(base, plan, Setting(variances, constant, sort=True))

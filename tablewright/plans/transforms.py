@@ -21,6 +21,7 @@ class Setting:
     """What transforms need beyond the chosen columns."""
 
     variances: Mapping[str, float] = field(default_factory=dict)
+    nullable: frozenset[str] = frozenset()
     constant: Any = 0
     sort: bool = True
 

@@ -106,6 +106,24 @@ def test_plans_of_equal_effect_are_one(table):
     ]
 
 
+def test_bits_without_nulls_to_act_on_are_dropped(table):
+    setting = make_setting(table, sort=False)
+    assert setting.nullable == {"n", "s", "narrow"}
+    bits = plan_bits({"trans1": ["n", "wide"], "trans3": ["wide"], "trans4": ["n", "s", "wide", "narrow"]}, table.columns)
+    kept = chosen_columns(effective_plan(bits, table, setting), table.columns)
+    assert kept == {"trans1": ["n"], "trans2": [], "trans3": ["wide"], "trans4": ["s", "wide", "narrow"], "trans5": []}
+
+
+def test_a_level_depends_on_its_own_columns_only():
+    columns = ["a", "b", "c"]
+    level = fit.Level(("a",), ("b",), 4)
+    first = plan_bits({"trans1": ["b"], "trans4": ["c"]}, columns)
+    second = plan_bits({"trans1": ["b"], "trans2": ["c"]}, columns)
+    third = plan_bits({"trans1": ["b"], "trans4": ["b"]}, columns)
+    assert search.level_input(first, columns, level) == search.level_input(second, columns, level)
+    assert search.level_input(first, columns, level) != search.level_input(third, columns, level)
+
+
 def test_levels_and_weights():
     levels = fit.column_levels(["a", "b", "c", "d"], ["a"], ["b"])
     assert [(lv.targets, lv.features, lv.weight) for lv in levels] == [
