@@ -30,7 +30,10 @@ def baskets(df: DataFrame, basket: str, item: str, min_support: float) -> DataFr
     )
     marked = distinct.join(frequent, F.col("item") == F.col("_item"), "left")
     # Baskets left without items stay: they count towards the support.
-    return marked.groupBy("basket").agg(F.collect_list("_item").alias("items"))
+    # Written once: the miner reads its baskets more than once.
+    return cut_lineage(
+        marked.groupBy("basket").agg(F.collect_list("_item").alias("items")), "items"
+    )
 
 
 def frequent_itemsets(
