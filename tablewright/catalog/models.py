@@ -437,24 +437,17 @@ def brand_baskets(t: Tables, support: float):
     return patterns.baskets(joined, "l_orderkey", "p_brand", support)
 
 
-BASKETS_SQL = """b AS (SELECT DISTINCT l_orderkey AS o, p_brand AS i FROM lineitem JOIN part ON l_partkey = p_partkey),
-  least AS (SELECT ceil({support} * count(DISTINCT o)) AS n FROM b),
-  s1 AS (SELECT i AS a, count(*) AS freq FROM b GROUP BY ALL HAVING count(*) >= (SELECT n FROM least)),
-  s2 AS (SELECT x.i AS a, y.i AS b, count(*) AS freq FROM b x JOIN b y ON x.o = y.o AND x.i < y.i
-         GROUP BY ALL HAVING count(*) >= (SELECT n FROM least)),
-  s3 AS (SELECT x.i AS a, y.i AS b, z.i AS c, count(*) AS freq FROM b x JOIN b y ON x.o = y.o AND x.i < y.i
-         JOIN b z ON x.o = z.o AND y.i < z.i GROUP BY ALL HAVING count(*) >= (SELECT n FROM least)),
-  s4 AS (SELECT x.i AS a, y.i AS b, z.i AS c, w.i AS d, count(*) AS freq FROM b x JOIN b y ON x.o = y.o AND x.i < y.i
-         JOIN b z ON x.o = z.o AND y.i < z.i JOIN b w ON x.o = w.o AND z.i < w.i
-         GROUP BY ALL HAVING count(*) >= (SELECT n FROM least))"""
+# Every subset of every basket, counted; items of a set are in order.
+ITEMSETS_SQL = """WITH RECURSIVE b AS (SELECT DISTINCT l_orderkey AS o, p_brand AS i FROM lineitem JOIN part ON l_partkey = p_partkey),
+  subsets AS (SELECT o, i AS last, i AS items, 1 AS size FROM b
+    UNION ALL SELECT s.o, b.i, s.items || ' ' || b.i, s.size + 1 FROM subsets s JOIN b ON s.o = b.o AND b.i > s.last),
+  itemsets AS (SELECT items, size, count(*) AS freq FROM subsets GROUP BY ALL
+    HAVING count(*) >= ceil({support} * (SELECT count(DISTINCT o) FROM b)))"""
 
 
 @query(
     "p07_fp_growth",
-    f"""WITH {BASKETS_SQL.format(support=0.001)}
-        SELECT a AS items, freq FROM s1 UNION ALL SELECT a || ' ' || b, freq FROM s2
-        UNION ALL SELECT a || ' ' || b || ' ' || c, freq FROM s3
-        UNION ALL SELECT a || ' ' || b || ' ' || c || ' ' || d, freq FROM s4""",
+    f"{ITEMSETS_SQL.format(support=0.001)} SELECT items, freq FROM itemsets",
 )
 def fp_growth(t: Tables):
     model = patterns.frequent_itemsets(brand_baskets(t, 0.001), 0.001)
@@ -463,10 +456,12 @@ def fp_growth(t: Tables):
 
 @query(
     "p08_association_rules",
-    f"""WITH {BASKETS_SQL.format(support=0.01)}
-        SELECT r.a AS antecedent, r.b AS consequent, r.freq, round(r.freq / s1.freq, 9) AS confidence FROM
-          (SELECT a, b, freq FROM s2 UNION ALL SELECT b, a, freq FROM s2) r JOIN s1 ON r.a = s1.a
-        WHERE r.freq / s1.freq >= 0.12""",
+    f"""{ITEMSETS_SQL.format(support=0.01)},
+        rules AS (SELECT items, freq, unnest(string_split(items, ' ')) AS consequent FROM itemsets WHERE size > 1),
+        split AS (SELECT *, array_to_string(list_filter(string_split(items, ' '), lambda x: x <> consequent), ' ')
+          AS antecedent FROM rules)
+        SELECT antecedent, consequent, split.freq, round(split.freq / part.freq, 9) AS confidence
+        FROM split JOIN itemsets part ON part.items = antecedent WHERE split.freq / part.freq >= 0.12""",
 )
 def rules(t: Tables):
     itemsets = patterns.frequent_itemsets(brand_baskets(t, 0.01), 0.01).freqItemsets
