@@ -189,7 +189,11 @@ def cross_validate_text(
         seed=seed,
         parallelism=at_once,
     )
-    model = validator.fit(df)
+    kept = df.persist()  # read once per fold and setting
+    try:
+        model = validator.fit(kept)
+    finally:
+        kept.unpersist()
     rows = [
         (int(p[counts.numFeatures]), float(p[learner.regParam]), float(score))
         for p, score in zip(grid, model.avgMetrics)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tablewright.operators.ordering import numbered
 from tablewright.storage import cut_lineage
@@ -75,15 +75,18 @@ def collect_group(
 
     Rows are numbered in (key, value) order by a distributed sort and every
     `chunk_size` numbers form a chunk, so a key with billions of values
-    becomes many bounded arrays on many tasks.  A key's chunks count from 0.
+    becomes many bounded arrays on many tasks.  The sort's last column is
+    random, so that equal rows can be split as well.  A key's chunks are
+    consecutive, and count from 0 after its first one is subtracted.
     """
-    positions = numbered(df.select(key, value), [key, value], name="_pos", start=0)
-    place = F.floor(F.col("_pos") / F.lit(chunk_size))
-    arrays = positions.groupBy(key, place.alias("_place")).agg(
-        F.sort_array(F.collect_list(value)).alias("values")
+    rows = df.select(key, value, F.rand(0).alias("_tie"))
+    positions = numbered(rows, [key, value, "_tie"], name="_pos", start=0)
+    place = F.floor(F.col("_pos") / F.lit(chunk_size)).alias("_place")
+    arrays = positions.groupBy(key, place).agg(F.sort_array(F.collect_list(value)).alias("values"))
+    firsts = positions.groupBy(F.col(key).alias("_key")).agg(F.min(place).alias("_first"))
+    return arrays.join(firsts, F.col(key).eqNullSafe(F.col("_key"))).select(
+        key, (F.col("_place") - F.col("_first")).alias("chunk"), "values"
     )
-    number = F.row_number().over(Window.partitionBy(key).orderBy("_place")) - 1
-    return arrays.select(key, number.cast("long").alias("chunk"), "values")
 
 
 def plan_score(df: DataFrame, group: str, error: str, weight: str) -> DataFrame:

@@ -166,6 +166,14 @@ def test_collect_group_chunks_hold_everything(spark):
     assert {k: sorted(v) for k, v in expected.items()} == dict(got)
 
 
+def test_equal_values_of_one_key_are_split(spark):
+    df = spark.range(0, 1000, 1, 4).selectExpr("'hot' AS k", "1 AS v")
+    out = aggregates.collect_group(df, "k", "v", chunk_size=64).collect()
+    assert sorted(r["chunk"] for r in out) == list(range(16))
+    assert sum(len(r["values"]) for r in out) == 1000
+    assert max(len(r["values"]) for r in out) == 64
+
+
 def test_plan_score_ignores_invalid_levels(spark):
     data = [("p", 0.4, 4), ("p", -1.0, 3), ("p", 0.2, 1), ("q", -1.0, 4)]
     df = spark.createDataFrame(data, "plan string, error double, weight int")
