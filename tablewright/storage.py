@@ -2,29 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local_folders: dict[str, str] = {}
-
 
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach: `spark.checkpoint.dir` of the session.
 
-    Where it is unset, a local session gets a temporary folder of its own; on
-    a cluster there is no safe guess, so that is an error.
+    Where it is unset, a folder inside the warehouse, which a cluster shares
+    for its tables anyway.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    context = spark.sparkContext
-    if not context.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    if context.applicationId not in _local_folders:
-        _local_folders[context.applicationId] = tempfile.mkdtemp(prefix="tablewright-")
-    return _local_folders[context.applicationId]
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
 
 
 def hadoop_path(spark: SparkSession, path: str):
@@ -42,6 +34,12 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return path
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a location of the shared folder once nothing reads it any more."""
+    filesystem, target = hadoop_path(spark, path)
+    filesystem.delete(target, True)
+
+
 def cut_lineage(df: DataFrame, label: str = "table") -> DataFrame:
     """Write `df` to the shared folder once and go on from the written table.
 
