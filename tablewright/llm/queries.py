@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import exact_dedup, language_model, simhash, toxicity, warc
+from tablewright.llm import decontamination, exact_dedup, html_template, language_model, mixing, pii, simhash, substring_dedup, toxicity, warc
 from tablewright.storage import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,3 +62,38 @@ def op7(spark, folder):
 )
 def op10(spark, folder):
     return exact_dedup.exact_dedup(table(spark, folder, "documents"))
+
+
+@query("op1_template_extraction")
+def op1(spark, folder):
+    return html_template.extract(table(spark, folder, "pages"))
+
+
+@query("op3_weakly_supervised_pii")
+def op3(spark, folder):
+    return pii.personal_data(table(spark, folder, "documents"))
+
+
+#: Weights of language and labelled quality that the mix is to have.
+TARGETS = {"en:1": 0.5, "en:0": 0.04, "de:1": 0.15, "de:0": 0.02, "fr:1": 0.15, "fr:0": 0.02, "es:1": 0.1, "es:0": 0.02}
+
+
+def mixed(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    domain = F.concat_ws(":", "lang", F.col("quality").cast("string"))
+    return mixing.mix(docs, mixing.labelled_sample(docs, labels, "doc_id", "text", domain, mixing.MAX_ROWS), TARGETS)
+
+
+@query("op4_soft_mixing")
+def op4(spark, folder):
+    documents = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    return mixed(documents, table(spark, folder, "labels")).select("doc_id", "tokens", "domain", "posterior", "rate")
+
+
+@query("op8_benchmark_alignment")
+def op8(spark, folder):
+    return decontamination.contaminations(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op9_anchored_substrings")
+def op9(spark, folder):
+    return substring_dedup.substring_dedup(table(spark, folder, "documents")).drop("kept_text")

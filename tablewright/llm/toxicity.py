@@ -18,12 +18,12 @@ from pyspark.sql import functions as F
 
 from tablewright.llm.texts import CACHE_WORDS, fold_of, id_and_bytes, id_type
 
-BUCKETS, WIDTH = 1 << 18, 16
+BUCKETS, WIDTH = 1 << 17, 8
 GRAMS = (3, 4, 5)
-SEGMENT_WORDS = 40
+SEGMENT_WORDS = 12
 #: Bounds of the labelled sample that is fitted on the driver: rows, and bytes of one text in it.
 MAX_ROWS, MAX_TEXT_BYTES = 8192, 32768
-EPOCHS, RATE, DECAY, SEED = 80, 0.05, 1e-4, 7
+EPOCHS, RATE, SMOOTHING, SEED = 6, 0.0004, 20.0, 7
 EDGES = "!\"#$%&'()*+,-./:;<=>?[\\]^_`{|}~"
 
 
@@ -46,55 +46,88 @@ class Model:
         return self.vectors @ (self.weights[1] - self.weights[0])
 
 
+def log_odds(counts: np.ndarray) -> np.ndarray:
+    """Smoothed log odds of label 1 for every bucket; counts: (2, buckets).  Rare buckets stay near 0."""
+    share = counts.sum(1) / max(counts.sum(), 1)
+    prior = SMOOTHING * share[:, None]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        odds = np.log((counts[1] + prior[1]) / (counts[0] + prior[0])) - np.log(share[1] / share[0])
+    return np.nan_to_num(odds, nan=0.0, posinf=0.0, neginf=0.0)
+
+
 def train(texts: list[bytes], labels: list[int]) -> Model:
-    """Full-batch Adam on vectors and softmax together; the softmax over segments shares out the gradient."""
+    """Gradient descent on vectors, softmax and bias together, started from the buckets' log odds.
+
+    The step of each array is scaled by the root mean square of its gradient,
+    not entry by entry, so a rare n-gram never learns as fast as a common one.
+    The softmax over a document's segments shares out its gradient.
+    """
     rng = np.random.default_rng(SEED)
-    params = [rng.normal(0, 0.1, (BUCKETS, WIDTH)), rng.normal(0, 0.1, (2, WIDTH)), np.zeros(2)]
-    model = Model(*params)
+    model = Model(rng.normal(0, 0.01, (BUCKETS, WIDTH)).astype(np.float32), rng.normal(0, 0.01, (2, WIDTH)).astype(np.float32), np.zeros(2))
     if not texts:
         return model
     types: dict[bytes, int] = {}
-    tokens, lengths, doc_of = [], [], []
-    for doc, text in enumerate(texts):
-        ids = np.array([types.setdefault(w, len(types)) for w in text.split()], np.int64)
-        for at in range(0, max(len(ids), 1), SEGMENT_WORDS):
-            part = ids[at : at + SEGMENT_WORDS]
-            tokens.append(part)
-            lengths.append(len(part))
-            doc_of.append(doc)
+    ids = [np.array([types.setdefault(w, len(types)) for w in text.split()], np.int64) for text in texts]
+    length, doc_of = [], []
+    for doc, part in enumerate(ids):
+        cuts = range(0, max(len(part), 1), SEGMENT_WORDS)
+        length += [min(SEGMENT_WORDS, len(part) - at) for at in cuts]
+        doc_of += [doc] * len(cuts)
+    length, doc_of, token = np.array(length), np.array(doc_of), np.concatenate(ids)
     subs = [subwords(w) for w in types]
-    sub_len = np.array([len(s) for s in subs], np.int64)
+    sub_len = np.maximum(np.array([len(s) for s in subs], np.int64), 1)
     sub = np.concatenate([np.array(s, np.int64) for s in subs]) if subs else np.empty(0, np.int64)
     sub_word = np.repeat(np.arange(len(types)), sub_len)
-    token = np.concatenate(tokens)
-    length, doc_of = np.array(lengths), np.array(doc_of)
     seg_of = np.repeat(np.arange(len(length)), length)
+    size = np.maximum(length, 1)
     y = np.array(labels, np.float64)
-    first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
+    of_token = y[doc_of][seg_of]
+    counts = np.stack([np.bincount(sub, np.bincount(token, of_token == k, len(types))[sub_word], BUCKETS) for k in (0, 1)])
+    model.vectors[:, 0] += log_odds(counts).astype(np.float32)
+    model.weights[1, 0] += SEGMENT_WORDS
     starts = np.flatnonzero(np.append(True, doc_of[1:] != doc_of[:-1]))
-    for epoch in range(1, EPOCHS + 1):
+    params = [model.vectors, model.weights, model.bias]
+    moves = [np.zeros_like(p) for p in params]
+    for epoch in range(EPOCHS):
         gap = model.weights[1] - model.weights[0]
-        margin = model.vectors @ gap
-        of_word = np.bincount(sub_word, margin[sub], len(types)) / np.maximum(sub_len, 1)
-        of_segment = np.bincount(seg_of, of_word[token], len(length)) / np.maximum(length, 1)
+        of_word = np.bincount(sub_word, (model.vectors @ gap)[sub], len(types)) / sub_len
+        of_segment = np.bincount(seg_of, of_word[token], len(length)) / size
         top = np.maximum.reduceat(of_segment, starts)
+        if epoch in (0, EPOCHS - 1):
+            scale, bias = calibrated(top, y)
+            model.weights *= scale
+            model.bias[:] = -bias / 2, bias / 2
+            gap, of_segment, top = gap * scale, of_segment * scale, top * scale
         share = np.exp(of_segment - top[doc_of])
         share /= np.bincount(doc_of, share)[doc_of]
-        error = 1 / (1 + np.exp(-(top + model.bias[1] - model.bias[0]))) - y
-        to_segment = (error[doc_of] * share / len(y)) / np.maximum(length, 1)
-        to_word = np.bincount(token, to_segment[seg_of], len(types)) / np.maximum(sub_len, 1)
-        to_bucket = np.bincount(sub, to_word[sub_word], BUCKETS)
+        error = 1 / (1 + np.exp(-np.clip(top + model.bias[1] - model.bias[0], -30, 30))) - y
+        to_segment = error[doc_of] * share / len(y) / size
+        to_word = np.bincount(token, to_segment[seg_of], len(types)) / sub_len
+        to_bucket = np.bincount(sub, to_word[sub_word], BUCKETS).astype(np.float32)
         pull = to_bucket @ model.vectors
-        grads = [to_bucket[:, None] * gap + DECAY / len(y) * model.vectors, np.stack([-pull, pull]), np.array([-error.mean(), error.mean()])]
-        for p, g, m, v in zip(params, grads, first, second):
-            m *= 0.9
-            m += 0.1 * g
-            v *= 0.999
-            v += 0.001 * g * g
-            p -= RATE * (m / (1 - 0.9**epoch)) / (np.sqrt(v / (1 - 0.999**epoch)) + 1e-9)
+        grads = [to_bucket[:, None] * gap, np.stack([-pull, pull]), np.array([-error.mean(), error.mean()])]
+        # Vectors and bias of logit scale; weights in proportion to their own size.
+        reach = [float(np.sqrt((model.vectors[:, 0] ** 2).mean())) * 20, float(np.abs(model.weights).max()), 2.0]
+        for p, g, m, r in zip(params, grads, moves, reach):
+            m *= 0.8
+            m += g / (np.sqrt((g[g != 0] ** 2).mean()) + 1e-30) if (g != 0).any() else 0
+            p -= (RATE * r * (1 - epoch / EPOCHS) * 0.2 * m).astype(p.dtype)
     return model
 
 
+def calibrated(top: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """The scale and bias of the logits with the least log loss, by damped Newton steps on two numbers."""
+    spread = float(top.std()) or 1.0
+    x = np.stack([(top - top.mean()) / spread, np.ones_like(top)], 1)
+    w = np.array([1.0, 0.0])
+    for _ in range(40):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        hessian = (x * (p * (1 - p))[:, None]).T @ x + 1e-1 * np.eye(2)
+        w = w - np.clip(np.linalg.solve(hessian, x.T @ (p - y) + 1e-1 * w), -1, 1)
+    scale = max(float(w[0]), 1e-3) / spread
+    return scale, float(w[1] - scale * top.mean())
+
+
 class WordMargins(dict):
     """word -> its logit, filled on demand."""
 
@@ -114,7 +147,7 @@ def score_text(text: bytes, words: WordMargins, bias: float) -> float:
     if len(values):
         starts = np.arange(0, len(values), SEGMENT_WORDS)
         top = float((np.add.reduceat(values, starts) / np.diff(np.append(starts, len(values)))).max())
-    return float(1 / (1 + np.exp(-(top + bias))))
+    return float(1 / (1 + np.exp(-np.clip(top + bias, -30, 30))))
 
 
 def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, folds: int, max_rows: int, max_text_bytes: int) -> tuple[list[bytes], list[int]]:
