@@ -23,6 +23,10 @@ from tablewright.storage import cut_lineage
 GRAM = 8
 #: Bits of the filter of repeated anchors that goes to every task: fixed, whatever the corpus holds.
 FILTER_WORDS = 1 << 20
+#: An anchor stands for fewer windows than this.
+RUN = 256
+#: Found repeats of at most so many bytes are sent to the texts; else both are dealt out by row.
+BROADCAST_BYTES = 32 << 20
 
 
 def anchored(words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -95,20 +99,28 @@ def occurrences(texts: DataFrame, window: int, kind: str) -> DataFrame:
 
 
 def repeats(texts: DataFrame, window: int, kind: str) -> DataFrame:
-    """(row, starts): the windows of a row that also start earlier."""
-    seen = cut_lineage(occurrences(texts, window, kind), "anchor-occurrences")
-    # Where an anchor stands in a document is told by its first window only up to windows that others took; the word it starts at is not needed.
+    """(row, runs): the windows of a row that also start earlier, each run as first window * RUN + their number."""
+    seen = occurrences(texts, window, kind)
+    # An anchor's place is told by the first of its windows: that orders the occurrences as the windows are.
     place = F.struct("id", "start")
     firsts = seen.groupBy("anchor").agg(F.min(place).alias("first"), F.min_by("hashes", place).alias("first_hashes"), F.count(F.lit(1)).alias("n")).where("n > 1")
     later = seen.join(firsts.drop("n"), "anchor").where(place > F.col("first"))
-    known = F.transform("hashes", lambda h, i: F.struct((F.col("start") + i).alias("start"), h.alias("hash"), F.array_contains("first_hashes", h).alias("matched")))
-    windows = later.select("anchor", "id", "row", F.inline(known))
-    windows = cut_lineage(windows, "later-windows")
-    matched = windows.where("matched").select("row", "start")
-    rest = windows.where("not matched").drop("matched")
-    own = rest.groupBy("anchor", "hash").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    further = rest.join(own, ["anchor", "hash"]).where(place > F.col("first")).select("row", "start")
-    return matched.unionByName(further).groupBy("row").agg(F.collect_list("start").alias("starts"))
+    each = F.transform("hashes", lambda h, i: F.struct((F.col("start") + i).alias("start"), h.alias("hash"), F.array_contains("first_hashes", h).alias("matched")))
+    rest = F.transform(F.filter(each, lambda w: ~w["matched"]), lambda w: F.struct(w["start"].alias("start"), w["hash"].alias("hash")))
+    single = F.transform(F.filter(each, lambda w: w["matched"]), lambda w: w["start"].cast("bigint") * RUN + 1)
+    runs = F.when(F.forall(each, lambda w: w["matched"]), F.array(F.col("start").cast("bigint") * RUN + F.size("hashes"))).otherwise(single)
+    compared = cut_lineage(later.select("anchor", "id", "row", runs.alias("runs"), rest.alias("rest")), "compared-anchors")
+    windows = compared.where("size(rest) > 0").select("anchor", "id", "row", F.inline("rest"))
+    own = windows.groupBy("anchor", "hash").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    further = windows.join(own, ["anchor", "hash"]).where(place > F.col("first")).select("row", F.array(F.col("start").cast("bigint") * RUN + 1).alias("runs"))
+    found = compared.where("size(runs) > 0").select("row", "runs").unionByName(further)
+    return cut_lineage(found.groupBy("row").agg(F.flatten(F.collect_list("runs")).alias("runs")), "repeats")
+
+
+def sized(df: DataFrame, limit: int) -> DataFrame:
+    """`df` marked for broadcast where its rows were measured to take at most `limit` bytes; else for an ordinary join."""
+    measured = df.agg(F.sum(24 + 8 * F.size("runs"))).first()[0] or 0
+    return F.broadcast(df) if measured <= limit else df
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20) -> DataFrame:
@@ -119,8 +131,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     others; rows repeated with one id are the same place, so neither removes
     the other.  Null and empty texts have no words and the digest of nothing.
     """
-    if window < 2 * GRAM:
-        raise ValueError(f"a window takes {2 * GRAM} words at least")
+    if not 2 * GRAM <= window < RUN:
+        raise ValueError(f"a window takes {2 * GRAM} to {RUN - 1} words")
     texts = id_and_bytes(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id())
     kind = id_type(docs, id_col)
     found = repeats(texts, window, kind)
@@ -128,12 +140,14 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def cut(batches):
         for batch in batches:
             n_words, n_removed, digest, kept = [], [], [], []
-            for text, starts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            for text, runs in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 words = text.split()
-                if starts:
+                if runs:
+                    packed = np.asarray(runs)
+                    first = packed // RUN
                     edge = np.zeros(len(words) + 1, np.int32)
-                    np.add.at(edge, starts, 1)
-                    np.add.at(edge, np.asarray(starts) + window, -1)
+                    np.add.at(edge, first, 1)
+                    np.add.at(edge, first + packed % RUN - 1 + window, -1)
                     left = [words[i] for i in np.flatnonzero(np.cumsum(edge[:-1]) == 0).tolist()]
                 else:
                     left = words
@@ -147,6 +161,6 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 names=["id", "n_words", "n_removed", "kept_sha256", "kept_text"],
             )
 
-    joined = texts.join(found, "row", "left").select("id", "text", "starts")
+    joined = texts.join(sized(found, BROADCAST_BYTES), "row", "left").select("id", "text", "runs")
     out = joined.mapInArrow(cut, f"id {kind}, n_words bigint, n_removed bigint, kept_sha256 string, kept_text binary")
     return out.select(F.col("id").alias(id_col), "n_words", "n_removed", "kept_sha256", F.col("kept_text").cast("string").alias("kept_text"))
