@@ -8,15 +8,19 @@ a long text does not water down a few words.
 
 from __future__ import annotations
 
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.texts import CACHE_WORDS, fold_of, id_and_bytes, id_type
+from pyspark.sql.functions import ArrowUDFType
+
+from tablewright.llm.texts import CACHE_WORDS, fold_of, id_and_bytes
 
 BUCKETS, WIDTH = 1 << 17, 8
 GRAMS = (3, 4, 5)
@@ -67,22 +71,27 @@ def train(texts: list[bytes], labels: list[int]) -> Model:
     if not texts:
         return model
     types: dict[bytes, int] = {}
-    ids = [np.array([types.setdefault(w, len(types)) for w in text.split()], np.int64) for text in texts]
+    ids = [np.fromiter((types.setdefault(w, len(types)) for w in text.split()), np.int32) for text in texts]
     length, doc_of = [], []
     for doc, part in enumerate(ids):
         cuts = range(0, max(len(part), 1), SEGMENT_WORDS)
         length += [min(SEGMENT_WORDS, len(part) - at) for at in cuts]
         doc_of += [doc] * len(cuts)
     length, doc_of, token = np.array(length), np.array(doc_of), np.concatenate(ids)
-    subs = [subwords(w) for w in types]
-    sub_len = np.maximum(np.array([len(s) for s in subs], np.int64), 1)
-    sub = np.concatenate([np.array(s, np.int64) for s in subs]) if subs else np.empty(0, np.int64)
-    sub_word = np.repeat(np.arange(len(types)), sub_len)
-    seg_of = np.repeat(np.arange(len(length)), length)
+    packed, sub_len = array("i"), np.empty(len(types), np.int32)
+    for at, word in enumerate(types):
+        grams = subwords(word)
+        packed.extend(grams)
+        sub_len[at] = len(grams)
+    n_types = len(types)
+    del types, ids, texts
+    sub = np.frombuffer(packed, np.int32) if packed else np.empty(0, np.int32)
+    sub_word = np.repeat(np.arange(n_types, dtype=np.int32), sub_len)
+    seg_of = np.repeat(np.arange(len(length), dtype=np.int32), length)
     size = np.maximum(length, 1)
     y = np.array(labels, np.float64)
-    of_token = y[doc_of][seg_of]
-    counts = np.stack([np.bincount(sub, np.bincount(token, of_token == k, len(types))[sub_word], BUCKETS) for k in (0, 1)])
+    of_token = (y[doc_of] > 0.5)[seg_of]
+    counts = np.stack([np.bincount(sub, np.bincount(token[of_token == k], minlength=n_types)[sub_word], BUCKETS) for k in (False, True)])
     model.vectors[:, 0] += log_odds(counts).astype(np.float32)
     model.weights[1, 0] += SEGMENT_WORDS
     starts = np.flatnonzero(np.append(True, doc_of[1:] != doc_of[:-1]))
@@ -90,7 +99,7 @@ def train(texts: list[bytes], labels: list[int]) -> Model:
     moves = [np.zeros_like(p) for p in params]
     for epoch in range(EPOCHS):
         gap = model.weights[1] - model.weights[0]
-        of_word = np.bincount(sub_word, (model.vectors @ gap)[sub], len(types)) / sub_len
+        of_word = np.bincount(sub_word, (model.vectors @ gap)[sub], n_types) / sub_len
         of_segment = np.bincount(seg_of, of_word[token], len(length)) / size
         top = np.maximum.reduceat(of_segment, starts)
         if epoch in (0, EPOCHS - 1):
@@ -102,7 +111,7 @@ def train(texts: list[bytes], labels: list[int]) -> Model:
         share /= np.bincount(doc_of, share)[doc_of]
         error = 1 / (1 + np.exp(-np.clip(top + model.bias[1] - model.bias[0], -30, 30))) - y
         to_segment = error[doc_of] * share / len(y) / size
-        to_word = np.bincount(token, to_segment[seg_of], len(types)) / sub_len
+        to_word = np.bincount(token, to_segment[seg_of], n_types) / sub_len
         to_bucket = np.bincount(sub, to_word[sub_word], BUCKETS).astype(np.float32)
         pull = to_bucket @ model.vectors
         grads = [to_bucket[:, None] * gap, np.stack([-pull, pull]), np.array([-error.mean(), error.mean()])]
@@ -163,6 +172,23 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
     return rows["text"].to_pylist(), rows["label"].to_pylist()
 
 
+def fitted(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, folds: int, max_rows: int, max_text_bytes: int):
+    """The trained scorer: a function of a text column."""
+    texts, marks = sample(docs, labels, id_col, text_col, label_col, folds, max_rows, max_text_bytes)
+    model = train(texts, marks)
+    # One number per bucket goes to the tasks, whatever the corpus holds.
+    sent = docs.sparkSession.sparkContext.broadcast((model.margins().astype(np.float32), float(model.bias[1] - model.bias[0])))
+
+    def score(parts):
+        margins, bias = sent.value
+        words = WordMargins(margins)
+        for part in parts:
+            yield pa.array([score_text(text, words, bias) for text in part.to_pylist()], pa.float64())
+
+    scorer = F.arrow_udf(score, "double", functionType=ArrowUDFType.SCALAR_ITER)
+    return lambda text: scorer(F.coalesce(text, F.lit("")).cast("binary"))
+
+
 def toxicity(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
     folds: int = 5, max_rows: int = MAX_ROWS, max_text_bytes: int = MAX_TEXT_BYTES,
@@ -175,21 +201,13 @@ def toxicity(
     of unknown documents are not used; an id labelled twice takes the larger
     label.  Without any label all scores are the untrained 0.5.
     """
-    import pyarrow.compute  # noqa: F401  makes pa.compute known
-
-    texts, marks = sample(docs, labels, id_col, text_col, label_col, folds, max_rows, max_text_bytes)
-    model = train(texts, marks)
-    # One number per bucket goes to the tasks, whatever the corpus holds.
-    sent = docs.sparkSession.sparkContext.broadcast((model.margins().astype(np.float32), float(model.bias[1] - model.bias[0])))
-
-    def compute(batches):
-        margins, bias = sent.value
-        words = WordMargins(margins)
-        for batch in batches:
-            scores = [score_text(t, words, bias) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["id", "score"])
-
-    scored = id_and_bytes(docs, id_col, text_col).mapInArrow(compute, f"id {id_type(docs, id_col)}, score double")
+    score = fitted(docs, labels, id_col, text_col, label_col, folds, max_rows, max_text_bytes)
+    scored = docs.select(docs[id_col].alias("id"), score(docs[text_col]).alias("score"))
     return scored.select(
         F.col("id").alias(id_col), (fold_of(F.col("id"), folds) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )
+
+
+def clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 5, max_rows: int = MAX_ROWS, max_text_bytes: int = MAX_TEXT_BYTES) -> DataFrame:
+    """The rows of docs that `toxicity` would not reject, with all their columns; nothing is shuffled."""
+    return docs.where(fitted(docs, labels, id_col, text_col, label_col, folds, max_rows, max_text_bytes)(docs[text_col]) < 0.5)
