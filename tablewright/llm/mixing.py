@@ -23,9 +23,9 @@ STEPS, NEAR, WRITE_EVERY = 60, 1e-4, 10
 
 
 def word_rows(docs: DataFrame) -> DataFrame:
-    """The columns but `text`, and one row per word with its `feature`; a text without words has one row with null."""
+    """The columns but `text`, and one row per word with its place `at` and `feature`; a text without words has one row with null."""
     words = F.split(F.lower("text"), r"[\x20\x09-\x0D]+")
-    rows = docs.select(*[c for c in docs.columns if c != "text"], F.explode(words).alias("word"))
+    rows = docs.select(*[c for c in docs.columns if c != "text"], F.posexplode(words).alias("at", "word"))
     return rows.select(*[c for c in rows.columns if c != "word"], F.when(F.col("word") != "", F.pmod(F.xxhash64("word"), F.lit(FEATURES))).alias("feature"))
 
 
@@ -39,7 +39,7 @@ def model_of(labelled: DataFrame, domains: list[str]) -> DataFrame:
 
 
 def posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str]) -> DataFrame:
-    """docs (row, id, text) -> (row, id, tokens, p0, p1, ...).
+    """docs (row, id, text) -> (row, id, copies, tokens, p0, p1, ...); `copies` rows of one id and row are one text.
 
     The evidence is divided by the root of the document's length, so words
     that depend on each other do not make every posterior 0 or 1.
@@ -53,18 +53,21 @@ def posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str]) -> Data
         word_rows(docs)
         .join(model, "feature", "left")
         .groupBy("row", "id")
-        .agg(F.count("feature").alias("tokens"), *[F.coalesce(F.sum(f"l{i}"), F.lit(0.0)).alias(f"l{i}") for i in range(n)])
+        .agg(
+            F.sum(F.when(F.col("at") == 0, 1).otherwise(0)).alias("copies"), F.count("feature").alias("tokens"), *[F.coalesce(F.sum(f"l{i}"), F.lit(0.0)).alias(f"l{i}") for i in range(n)]
+        )
+        .select("row", "id", "copies", (F.col("tokens") / F.col("copies")).cast("bigint").alias("tokens"), *[(F.col(f"l{i}") / F.col("copies")).alias(f"l{i}") for i in range(n)])
     )
     scale = F.sqrt(F.greatest(F.col("tokens"), F.lit(1)))
-    logits = sums.select("row", "id", "tokens", *[(F.col(f"l{i}") / scale + prior[i]).alias(f"l{i}") for i in range(n)])
+    logits = sums.select("row", "id", "copies", "tokens", *[(F.col(f"l{i}") / scale + prior[i]).alias(f"l{i}") for i in range(n)])
     top = F.greatest(*[F.col(f"l{i}") for i in range(n)]) if n > 1 else F.col("l0")
-    weights = logits.select("row", "id", "tokens", *[F.exp(F.col(f"l{i}") - top).alias(f"w{i}") for i in range(n)])
+    weights = logits.select("row", "id", "copies", "tokens", *[F.exp(F.col(f"l{i}") - top).alias(f"w{i}") for i in range(n)])
     whole = sum((F.col(f"w{i}") for i in range(1, n)), F.col("w0"))
-    return weights.select("row", "id", "tokens", *[(F.col(f"w{i}") / whole).alias(f"p{i}") for i in range(n)])
+    return weights.select("row", "id", "copies", "tokens", *[(F.col(f"w{i}") / whole).alias(f"p{i}") for i in range(n)])
 
 
 def fitted_rates(members: DataFrame, targets: list[float]) -> DataFrame:
-    """Adds `rate` >= 0 to (..., tokens, p0, p1, ...), by projected gradient steps from rate 1.
+    """Adds `rate` >= 0 to (..., copies, tokens, p0, p1, ...), by projected gradient steps from rate 1.
 
     Minimises the squared domain errors, each over the domain's own curvature.
     A step is one aggregate of as many sums as there are domains, and the
@@ -72,7 +75,8 @@ def fitted_rates(members: DataFrame, targets: list[float]) -> DataFrame:
     """
     n = len(targets)
     p = [F.col(f"p{i}") for i in range(n)]
-    first = members.agg(*[F.sum(F.col("tokens") * c) for c in p], *[F.sum(F.col("tokens") * c * c) for c in p]).first()
+    weight = F.col("tokens") * F.col("copies")
+    first = members.agg(*[F.sum(weight * c) for c in p], *[F.sum(weight * c * c) for c in p]).first()
     mass, curve = [float(v or 0) for v in first[:n]], [float(v or 0) for v in first[n:]]
     table = members.withColumn("rate", F.lit(1.0))
     held = [i for i in range(n) if curve[i] > 0]
@@ -81,7 +85,7 @@ def fitted_rates(members: DataFrame, targets: list[float]) -> DataFrame:
     step = 1 / max(mass[i] / curve[i] for i in held)
     scale = sum(targets) or 1.0
     for number in range(1, STEPS + 1):
-        reached = table.agg(*[F.sum(F.col("rate") * F.col("tokens") * p[i]) for i in held]).first()
+        reached = table.agg(*[F.sum(F.col("rate") * weight * p[i]) for i in held]).first()
         errors = [float(got or 0) - targets[i] for got, i in zip(reached, held)]
         if max(abs(e) for e in errors) <= NEAR * scale:
             break
@@ -116,14 +120,16 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col:
     domains = sorted(seen | set(targets))
     if len(domains) > MAX_DOMAINS:
         raise ValueError(f"more than {MAX_DOMAINS} domains")
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
+    # Id and text hash name a text: unlike row numbers they are the same in every pass.
+    whole_text = F.coalesce(docs[text_col], F.lit(""))
+    numbered = docs.withColumn("_row", F.xxhash64(whole_text))
     source = numbered.select(F.col("_row").alias("row"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     members = cut_lineage(posteriors(source, labelled, domains), "memberships")
-    tokens = members.agg(F.sum("tokens")).first()[0] or 0
+    tokens = members.agg(F.sum(F.col("tokens") * F.col("copies"))).first()[0] or 0
     whole = sum(targets.values()) or 1.0
     rated = fitted_rates(members, [tokens * targets.get(d, 0.0) / whole for d in domains])
     shares = F.array(*[F.struct(F.col(f"p{i}").alias("p"), F.lit(-i).alias("at"), F.lit(d).alias("domain")) for i, d in enumerate(domains)])
     best = F.array_max(shares)
-    facts = rated.select(F.col("row").alias("_row"), "tokens", best["domain"].alias("domain"), best["p"].alias("posterior"), "rate")
+    facts = rated.select(F.col("row").alias("_hash"), F.col("id").alias("_id"), "tokens", best["domain"].alias("domain"), best["p"].alias("posterior"), "rate")
     own = [c for c in numbered.columns if c not in ("tokens", "domain", "posterior", "rate")]
-    return numbered.select(own).join(facts, "_row").drop("_row")
+    return numbered.select(own).join(facts, (F.col("_row") == F.col("_hash")) & F.col(id_col).eqNullSafe(F.col("_id"))).drop("_row", "_hash", "_id")

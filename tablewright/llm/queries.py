@@ -37,7 +37,10 @@ def op2(spark, folder):
 def op5(spark, folder):
     pages, path = table(spark, folder, "pages"), scratch_path(spark, "archives")
     warc.write_archives(pages, path)
-    found = warc.resolved(warc.assemble(warc.read_archives(spark, path)))
+    records = warc.read_archives(spark, path)
+    # Only what the digest columns come from goes through the joins: the bodies of responses stay behind.
+    narrow = records.withColumn("payload", F.when(F.col("kind") == "metadata", F.col("payload"))).withColumn("http", F.lit(None).cast("string"))
+    found = warc.resolved(warc.assemble(narrow))
     kind = pages.schema["page_id"].dataType
     return found.select(
         F.col("page").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to")

@@ -99,7 +99,7 @@ def occurrences(texts: DataFrame, window: int, kind: str) -> DataFrame:
 
 
 def repeats(texts: DataFrame, window: int, kind: str) -> DataFrame:
-    """(row, runs): the windows of a row that also start earlier, each run as first window * RUN + their number."""
+    """(id, row, runs): the windows of a text that also start earlier, each run as first window * RUN + their number."""
     seen = occurrences(texts, window, kind)
     # An anchor's place is told by the first of its windows: that orders the occurrences as the windows are.
     place = F.struct("id", "start")
@@ -112,9 +112,9 @@ def repeats(texts: DataFrame, window: int, kind: str) -> DataFrame:
     compared = cut_lineage(later.select("anchor", "id", "row", runs.alias("runs"), rest.alias("rest")), "compared-anchors")
     windows = compared.where("size(rest) > 0").select("anchor", "id", "row", F.inline("rest"))
     own = windows.groupBy("anchor", "hash").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    further = windows.join(own, ["anchor", "hash"]).where(place > F.col("first")).select("row", F.array(F.col("start").cast("bigint") * RUN + 1).alias("runs"))
-    found = compared.where("size(runs) > 0").select("row", "runs").unionByName(further)
-    return cut_lineage(found.groupBy("row").agg(F.flatten(F.collect_list("runs")).alias("runs")), "repeats")
+    further = windows.join(own, ["anchor", "hash"]).where(place > F.col("first")).select("id", "row", F.array(F.col("start").cast("bigint") * RUN + 1).alias("runs"))
+    found = compared.where("size(runs) > 0").select("id", "row", "runs").unionByName(further)
+    return cut_lineage(found.groupBy("id", "row").agg(F.flatten(F.collect_list("runs")).alias("runs")), "repeats")
 
 
 def sized(df: DataFrame, limit: int) -> DataFrame:
@@ -133,7 +133,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     if not 2 * GRAM <= window < RUN:
         raise ValueError(f"a window takes {2 * GRAM} to {RUN - 1} words")
-    texts = id_and_bytes(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id())
+    texts = id_and_bytes(docs, id_col, text_col).withColumn("row", F.xxhash64("text"))
     kind = id_type(docs, id_col)
     found = repeats(texts, window, kind)
 
@@ -161,6 +161,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 names=["id", "n_words", "n_removed", "kept_sha256", "kept_text"],
             )
 
-    joined = texts.join(sized(found, BROADCAST_BYTES), "row", "left").select("id", "text", "runs")
+    # Id and text hash name a text; repeated rows are the same text.
+    found = sized(found.withColumnRenamed("id", "of").withColumnRenamed("row", "hash"), BROADCAST_BYTES)
+    joined = texts.join(found, F.col("id").eqNullSafe(F.col("of")) & (F.col("row") == F.col("hash")), "left").select("id", "text", "runs")
     out = joined.mapInArrow(cut, f"id {kind}, n_words bigint, n_removed bigint, kept_sha256 string, kept_text binary")
     return out.select(F.col("id").alias(id_col), "n_words", "n_removed", "kept_sha256", F.col("kept_text").cast("string").alias("kept_text"))

@@ -69,6 +69,7 @@ def train(texts: list[bytes], labels: list[int]) -> Model:
     rng = np.random.default_rng(SEED)
     model = Model(rng.normal(0, 0.01, (BUCKETS, WIDTH)).astype(np.float32), rng.normal(0, 0.01, (2, WIDTH)).astype(np.float32), np.zeros(2))
     if not texts:
+        model.vectors[:] = 0
         return model
     types: dict[bytes, int] = {}
     ids = [np.fromiter((types.setdefault(w, len(types)) for w in text.split()), np.int32) for text in texts]
