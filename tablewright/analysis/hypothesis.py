@@ -46,7 +46,8 @@ def chi_square_goodness(
         weighted = counts.withColumn("w", F.lit(1.0))
     else:
         wanted = expected.select(F.col(category), F.col("weight").cast("double").alias("w"))
-        weighted = wanted.join(counts, category, "left").fillna(0.0, ["o"])
+        unknown = F.raise_error(F.lit("an observed category is not expected")).cast("double")
+        weighted = wanted.join(counts, category, "full").select(F.coalesce("o", F.lit(0.0)).alias("o"), F.coalesce("w", unknown).alias("w"))
     # sum((o - e)^2 / e) with e = N * w / W equals W / N * sum(o^2 / w) - N.
     n, w = F.sum("o"), F.sum("w")
     return weighted.agg(
@@ -65,14 +66,16 @@ def ks_custom(df: DataFrame, column: str, cdf: DataFrame) -> DataFrame:
     """Kolmogorov-Smirnov statistic against a table (value, probability).
 
     Values are counted, accumulated by a distributed running total and joined
-    with the table; every sample value must be in the table.
+    with the table; a sample value that is not in the table is an error.
     """
     counts = df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("_n"))
     steps = running_total(counts, ["value"], "_n", "_upto")
     n = steps.agg(F.max("_upto")).scalar()
     above = F.col("_upto") / n - F.col("probability")
     below = F.col("probability") - (F.col("_upto") - F.col("_n")) / n
-    return steps.join(cdf, "value").agg(F.max(F.greatest(above, below)).alias("statistic"))
+    unknown = F.raise_error(F.lit("a sample value is not in the table of the distribution")).cast("double")
+    steps = steps.join(cdf, "value", "left").withColumn("probability", F.coalesce(F.col("probability").cast("double"), unknown))
+    return steps.agg(F.max(F.greatest(above, below)).alias("statistic"))
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:

@@ -72,7 +72,10 @@ def random_split(df: DataFrame, weights: Sequence[float], seed: int) -> list[Dat
 def hash_split(
     df: DataFrame, key: str, train_share: float
 ) -> tuple[DataFrame, DataFrame]:
-    """Train and test rows by id hash: repeatable, whatever the partitioning."""
+    """Train and test rows by id hash: repeatable, whatever the partitioning.
+
+    Rows without a key go to the training part.
+    """
     border = int(train_share * HASH_RANGE)
-    train = arithmetic_hash(F.col(key)) < F.lit(border)
+    train = F.coalesce(arithmetic_hash(F.col(key)) < F.lit(border), F.lit(True))
     return df.filter(train), df.filter(~train)

@@ -286,10 +286,10 @@ def many(t: Tables):
          CAST(max(CASE WHEN s_suppkey % 3 = 0 THEN 1 ELSE 0 END) AS INTEGER) AS rank,
          CAST(max(CASE WHEN s_suppkey % 3 = 1 THEN 1 ELSE 0 END) AS INTEGER) AS city,
          CAST(max(CASE WHEN s_suppkey % 3 = 2 THEN 1 ELSE 0 END) AS INTEGER) AS income
-       FROM supplier WHERE s_acctbal > 0 GROUP BY 1""",
+       FROM supplier GROUP BY 1""",
 )
 def matrix(t: Tables):
-    chosen = t.supplier.filter("s_acctbal > 0").select(
+    chosen = t.supplier.select(
         F.concat(F.lit("trans"), F.col("s_nationkey") % 5 + 1).alias("transform"),
         F.element_at(
             F.array(F.lit("rank"), F.lit("city"), F.lit("income")),

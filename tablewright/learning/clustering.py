@@ -28,7 +28,8 @@ def topics(
     df: DataFrame, tokens: str, k: int = 10, max_iter: int = 10, least_documents: float = 2.0, seed: int = 1
 ) -> tuple[mlc.LDAModel, list[str], DataFrame]:
     """Topic model of token lists: the model, its vocabulary and the counts."""
-    vectorizer = CountVectorizer(inputCol=tokens, outputCol="features", minDF=least_documents)
+    terms = df.select(F.explode(tokens).alias("term")).distinct().count()  # room for all of them
+    vectorizer = CountVectorizer(inputCol=tokens, outputCol="features", minDF=least_documents, vocabSize=max(terms, 1))
     counter = vectorizer.fit(df)
     counts = counter.transform(df)
     model = mlc.LDA(k=k, maxIter=max_iter, seed=seed).fit(counts)

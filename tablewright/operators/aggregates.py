@@ -82,7 +82,10 @@ def collect_group(
     rows = df.select(key, value, F.rand(0).alias("_tie"))
     positions = numbered(rows, [key, value, "_tie"], name="_pos", start=0)
     place = F.floor(F.col("_pos") / F.lit(chunk_size)).alias("_place")
-    arrays = positions.groupBy(key, place).agg(F.sort_array(F.collect_list(value)).alias("values"))
+    arrays = positions.groupBy(key, place).agg(
+        # In a struct, as collecting bare values would leave nulls out; they come first.
+        F.transform(F.sort_array(F.collect_list(F.struct(value))), lambda s: s[value]).alias("values")
+    )
     firsts = positions.groupBy(F.col(key).alias("_key")).agg(F.min(place).alias("_first"))
     return arrays.join(firsts, F.col(key).eqNullSafe(F.col("_key"))).select(
         key, (F.col("_place") - F.col("_first")).alias("chunk"), "values"

@@ -258,15 +258,20 @@ class StreamingWelchTest:
 
     def merged(self, moments: DataFrame) -> DataFrame:
         """Moments of all batches together: counts, means and variances."""
+        # Around the joint mean the squares add up without cancelling, however large the values are.
+        joint = moments.groupBy("label").agg(F.try_divide(F.sum(F.col("n") * F.col("mean")), F.sum("n")).alias("mean"))
+        centre = {r["label"]: r["mean"] for r in joint.collect()}
         aggregates = []
         for side, keep in (("a", F.col("label")), ("b", ~F.col("label"))):
             n = F.sum(F.when(keep, F.col("n")))
-            mean = F.sum(F.when(keep, F.col("n") * F.col("mean"))) / n
-            spread = F.sum(F.when(keep, F.col("m2") + F.col("n") * F.col("mean") * F.col("mean")))
+            middle = F.lit(centre.get(side == "a")).cast("double")
+            apart = F.col("mean") - middle
+            shift = F.sum(F.when(keep, F.col("n") * apart)) / n
+            spread = F.sum(F.when(keep, F.col("m2") + F.col("n") * apart * apart)) - n * shift * shift
             aggregates += [
                 n.alias(f"n_{side}"),
-                mean.alias(f"mean_{side}"),
-                F.try_divide(spread - n * mean * mean, n - 1).alias(f"var_{side}"),
+                (middle + shift).alias(f"mean_{side}"),
+                F.try_divide(spread, n - 1).alias(f"var_{side}"),
             ]
         return moments.agg(*aggregates).withColumns(welch_columns())
 
