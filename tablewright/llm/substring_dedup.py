@@ -25,8 +25,6 @@ GRAM = 8
 FILTER_WORDS = 1 << 20
 #: An anchor stands for fewer windows than this.
 RUN = 256
-#: Found repeats of at most so many bytes are sent to the texts; else both are dealt out by row.
-BROADCAST_BYTES = 32 << 20
 
 
 def anchored(words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -117,12 +115,6 @@ def repeats(texts: DataFrame, window: int, kind: str) -> DataFrame:
     return cut_lineage(found.groupBy("id", "row").agg(F.flatten(F.collect_list("runs")).alias("runs")), "repeats")
 
 
-def sized(df: DataFrame, limit: int) -> DataFrame:
-    """`df` marked for broadcast where its rows were measured to take at most `limit` bytes; else for an ordinary join."""
-    measured = df.agg(F.sum(24 + 8 * F.size("runs"))).first()[0] or 0
-    return F.broadcast(df) if measured <= limit else df
-
-
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 20) -> DataFrame:
     """Per row: id, n_words, n_removed, kept_sha256, kept_text.
 
@@ -161,8 +153,9 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 names=["id", "n_words", "n_removed", "kept_sha256", "kept_text"],
             )
 
-    # Id and text hash name a text; repeated rows are the same text.
-    found = sized(found.withColumnRenamed("id", "of").withColumnRenamed("row", "hash"), BROADCAST_BYTES)
+    # Id and text hash name a text; repeated rows are the same text.  At every size both sides are dealt out
+    # by them and the runs, one row a text, are hashed, so texts are never sorted.
+    found = found.withColumnRenamed("id", "of").withColumnRenamed("row", "hash").hint("shuffle_hash")
     joined = texts.join(found, F.col("id").eqNullSafe(F.col("of")) & (F.col("row") == F.col("hash")), "left").select("id", "text", "runs")
     out = joined.mapInArrow(cut, f"id {kind}, n_words bigint, n_removed bigint, kept_sha256 string, kept_text binary")
     return out.select(F.col("id").alias(id_col), "n_words", "n_removed", "kept_sha256", F.col("kept_text").cast("string").alias("kept_text"))
