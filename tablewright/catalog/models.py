@@ -291,11 +291,12 @@ def aft_survival(t: Tables):
     joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     days = F.date_diff(F.col("l_shipdate"), F.col("o_orderdate"))
     rows = joined.select(
-        days.cast("double").alias("label"),
+        # Survival times are positive; a shipment dated before its order counts by the length of the gap.
+        (F.abs(days) + 1).cast("double").alias("label"),
         F.when(F.col("l_linestatus") == "F", 1.0).otherwise(0.0).alias("censor"),
         (F.col("l_quantity") / 50).alias("quantity"),
         (F.col("o_totalprice") / 500000).alias("price"),
-    ).filter("label > 0")
+    )
     model = rg.survival(ft.assemble(rows, ["quantity", "price"]))
     return t.spark.createDataFrame(
         [

@@ -27,6 +27,8 @@ Fitness = Callable[[DataFrame, int], float | None]
 
 def _rmse(learner, data: DataFrame, weights: Sequence[float], seed: int) -> float | None:
     train, test = data.randomSplit(list(weights), seed)
+    if train.isEmpty() or test.isEmpty():
+        return None
     return regression_errors(learner.fit(train).transform(test)).first()["rmse"]
 
 
@@ -53,6 +55,8 @@ def perceptron_error(data: DataFrame, seed: int) -> float | None:
     if first is None:
         return None
     train, test = scaled.randomSplit([0.6, 0.4], seed)
+    if train.isEmpty() or test.isEmpty():
+        return None
     model = perceptron([first["features"].size, 5, 4, 3]).fit(train)
     return classification_scores(model.transform(test)).first()["test_error"]
 

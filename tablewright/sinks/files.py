@@ -6,14 +6,10 @@ import uuid
 from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tablewright.storage import hadoop_path
 
-# A result up to this size may be written as one file by one task.
-SINGLE_FILE_BYTES = 256 * 1024 * 1024
-
 
 def csv_line(df: DataFrame, name: str = "line") -> DataFrame:
     """Each row as one comma-joined line; null is written as ``null``."""
@@ -37,44 +33,15 @@ def _swap_in(spark: SparkSession, fresh: str, target: str) -> None:
         filesystem.delete(old, True)
 
 
-def _single_part(spark: SparkSession, folder: str, suffix: str) -> str:
-    filesystem, path = hadoop_path(spark, folder)
-    names = [s.getPath().toString() for s in filesystem.listStatus(path)]
-    parts = [n for n in names if n.rsplit("/", 1)[1].startswith("part-") and n.endswith(suffix)]
-    if len(parts) != 1:
-        raise OSError(f"expected one part in {folder}, found {len(parts)}")
-    return parts[0]
-
+def write_csv(df: DataFrame, target: str) -> None:
+    """Write a folder of CSV parts with headers and swap it in over an existing target.
 
-def write_csv(df: DataFrame, target: str, single_file: bool = False) -> str:
-    """Write CSV with a header and swap it in over an existing target.
-
-    Parts are written by all executors.  With `single_file`, a result whose
-    written size is at most SINGLE_FILE_BYTES is then written again by one
-    task as one file; a larger one stays a folder of parts.  Returns
-    ``"file"`` or ``"folder"``.
+    Between the two renames of the swap there is no target.
     """
     spark = df.sparkSession
     fresh = f"{target}.new-{uuid.uuid4().hex}"
-    if not single_file:
-        df.write.csv(fresh, header=True)
-        _swap_in(spark, fresh, target)
-        return "folder"
-    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        kept.write.csv(fresh, header=True)
-        filesystem, path = hadoop_path(spark, fresh)
-        if filesystem.getContentSummary(path).getLength() > SINGLE_FILE_BYTES:
-            _swap_in(spark, fresh, target)
-            return "folder"
-        one = f"{target}.one-{uuid.uuid4().hex}"
-        kept.coalesce(1).write.csv(one, header=True)
-        _swap_in(spark, _single_part(spark, one, ".csv"), target)
-        filesystem.delete(path, True)
-        filesystem.delete(hadoop_path(spark, one)[1], True)
-        return "file"
-    finally:
-        kept.unpersist()
+    df.write.csv(fresh, header=True)
+    _swap_in(spark, fresh, target)
 
 
 def write_many(

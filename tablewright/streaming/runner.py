@@ -36,14 +36,18 @@ def event_time(df: DataFrame, column: str = "ts") -> DataFrame:
     return df.withColumn(column, F.col(column).cast("timestamp"))
 
 
-def run_to_table(stream: DataFrame, label: str, checkpoint: str | None = None) -> DataFrame:
-    """Run an append stream over all present input; return what it wrote.
+def run_to_table(
+    stream: DataFrame, label: str, checkpoint: str | None = None, target: str | None = None
+) -> DataFrame:
+    """Run an append stream over all present input; return what the target holds.
 
-    Files are committed per batch, so a restart with the same checkpoint
-    neither loses nor repeats rows.
+    Files are committed per batch, so a restart with the same checkpoint and
+    target, which belong together, neither loses nor repeats rows.
     """
+    if (checkpoint is None) != (target is None):
+        raise ValueError("a checkpoint and its target are given together")
     spark = stream.sparkSession
-    target = scratch_path(spark, label)
+    target = target or scratch_path(spark, label)
     query = (
         stream.writeStream.outputMode("append")
         .format("parquet")

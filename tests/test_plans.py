@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import pytest
+from pyspark.ml.functions import array_to_vector
 
 from tablewright.plans import fitness as fit
 from tablewright.plans import search, transforms
@@ -216,3 +217,15 @@ def test_whole_search_returns_its_table(learnable):
     assert result.history.count() == 2
     assert len(result.plan) == 5 * 4
     assert result.table.count() <= 80
+
+
+@pytest.mark.parametrize("rows", [1, 2])
+@pytest.mark.parametrize("name", sorted(fit.FITNESS))
+def test_a_split_left_without_rows_has_no_error(spark, name, rows):
+    data = spark.range(rows).selectExpr("double(id) AS label", "array(double(id), 1.0D) AS f")
+    data = data.select("label", array_to_vector("f").alias("features")).persist()
+    for seed in (1, 2, 3):
+        train, test = data.randomSplit([0.6 if name == "perceptron" else 0.7, 0.4 if name == "perceptron" else 0.3], seed)
+        error = fit.FITNESS[name](data, seed)
+        assert (error is None) == (train.isEmpty() or test.isEmpty())
+    data.unpersist()

@@ -150,22 +150,14 @@ def test_partitioned_read_passes_its_ranges(spark):
     assert (given["column"], given["lowerBound"], given["upperBound"], given["numPartitions"]) == ("ID", 0, 90, 3)
 
 
-def test_single_csv_replaces_the_old_one_in_order(spark, tmp_path):
+def test_csv_parts_replace_the_old_target(spark, tmp_path):
     target = tmp_path / "out.csv"
     target.write_text("old")
-    df = spark.range(0, 200, 1, 4).orderBy("id")
-    assert sinks.write_csv(df, str(target), single_file=True) == "file"
-    assert target.read_text().split() == ["id", *map(str, range(200))]
+    sinks.write_csv(spark.range(0, 200, 1, 4), str(target))
+    assert sorted(int(r["id"]) for r in spark.read.csv(str(target), header=True).collect()) == list(range(200))
     assert [p.name for p in tmp_path.iterdir() if not p.name.startswith(".")] == ["out.csv"]
 
 
-def test_large_single_csv_stays_a_folder(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(sinks, "SINGLE_FILE_BYTES", 10)
-    target = tmp_path / "out.csv"
-    assert sinks.write_csv(spark.range(100), str(target), single_file=True) == "folder"
-    assert spark.read.csv(str(target), header=True).count() == 100
-
-
 def test_write_many_uses_the_default_table(spark, tmp_path):
     one, other = spark.range(3), spark.range(5)
     targets = {"a": str(tmp_path / "a"), "b": str(tmp_path / "b")}

@@ -88,6 +88,16 @@ def test_a_restart_reads_only_new_files(spark):
     assert seen == [[1, 2], [3]]
 
 
+def test_a_restarted_table_goes_on_where_it_stopped(spark):
+    folder, checkpoint, target = (scratch_path(spark, n) for n in ("input", "checkpoint", "target"))
+    for numbers, want in (([1, 2], [1, 2]), ([3], [1, 2, 3]), ([], [1, 2, 3])):
+        spark.createDataFrame([(n,) for n in numbers], "n int").coalesce(1).write.mode("append").parquet(folder)
+        stream = runner.parquet_stream(spark, folder, spark.read.parquet(folder).schema)
+        assert sorted(r["n"] for r in runner.run_to_table(stream, "x", checkpoint, target).collect()) == want
+    with pytest.raises(ValueError):
+        runner.run_to_table(stream, "x", checkpoint)
+
+
 def test_kmeans_update_by_hand(spark):
     df = spark.createDataFrame([([0.0, 0.0],), ([2.0, 0.0],), ([10.0, 10.0],)], "v array<double>")
     model = learners.StreamingKMeans([[1.0, 1.0], [9.0, 9.0]], weight=2.0, decay=0.5)
