@@ -10,12 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach: `spark.checkpoint.dir` of the session.
 
-    Where it is unset, a folder inside the warehouse, which a cluster shares
-    for its tables anyway.
+    Where it is unset, a session inside one process takes a folder of its
+    warehouse; on a cluster there is no safe guess, so that is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
 
 

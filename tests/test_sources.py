@@ -188,7 +188,8 @@ class FakeConf:
 
 class FakeCluster:
     def __init__(self, master, **conf):
-        self.conf = FakeConf(**conf)
+        # A real session always has a warehouse.
+        self.conf = FakeConf(**{"spark.sql.warehouse.dir": "/warehouse"} | conf)
         self.sparkContext = type("Context", (), {"master": master, "applicationId": "app"})
 
 
