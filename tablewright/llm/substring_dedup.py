@@ -102,7 +102,10 @@ def repeats(texts: DataFrame, window: int, kind: str) -> DataFrame:
     # An anchor's place is told by the first of its windows: that orders the occurrences as the windows are.
     place = F.struct("id", "start")
     firsts = seen.groupBy("anchor").agg(F.min(place).alias("first"), F.min_by("hashes", place).alias("first_hashes"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    later = seen.join(firsts.drop("n"), "anchor").where(place > F.col("first"))
+    # First occurrences are written before they are joined: adaptive execution splits a hot key
+    # only where both sides come straight from a shuffle, not from an aggregate behind one.
+    firsts = cut_lineage(firsts.drop("n"), "first-occurrences")
+    later = seen.join(firsts, "anchor").where(place > F.col("first"))
     each = F.transform("hashes", lambda h, i: F.struct((F.col("start") + i).alias("start"), h.alias("hash"), F.array_contains("first_hashes", h).alias("matched")))
     rest = F.transform(F.filter(each, lambda w: ~w["matched"]), lambda w: F.struct(w["start"].alias("start"), w["hash"].alias("hash")))
     single = F.transform(F.filter(each, lambda w: w["matched"]), lambda w: w["start"].cast("bigint") * RUN + 1)
@@ -110,6 +113,7 @@ def repeats(texts: DataFrame, window: int, kind: str) -> DataFrame:
     compared = cut_lineage(later.select("anchor", "id", "row", runs.alias("runs"), rest.alias("rest")), "compared-anchors")
     windows = compared.where("size(rest) > 0").select("anchor", "id", "row", F.inline("rest"))
     own = windows.groupBy("anchor", "hash").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    own = cut_lineage(own, "first-windows")
     further = windows.join(own, ["anchor", "hash"]).where(place > F.col("first")).select("id", "row", F.array(F.col("start").cast("bigint") * RUN + 1).alias("runs"))
     found = compared.where("size(runs) > 0").select("id", "row", "runs").unionByName(further)
     return cut_lineage(found.groupBy("id", "row").agg(F.flatten(F.collect_list("runs")).alias("runs")), "repeats")
