@@ -27,18 +27,38 @@ FILTER_WORDS = 1 << 20
 RUN = 256
 
 
-def anchored(words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(chosen gram of each window, gram hashes, window hashes)."""
+def first_smallest(values: np.ndarray, width: int) -> np.ndarray:
+    """Place of the first smallest value in every run of `width`, by runs of doubled length."""
+    low, places, span = values, np.arange(len(values)), 1
+    while span < width:
+        step = min(span, width - span)
+        right = low[step:] < low[:-step]
+        low, places = np.where(right, low[step:], low[:-step]), np.where(right, places[step:], places[:-step])
+        span += step
+    return places
+
+
+def runs_of(chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first window, number of windows) of each chosen place; places never go back."""
+    first = np.flatnonzero(np.diff(chosen, prepend=-1))
+    return first, np.diff(first, append=len(chosen))
+
+
+def anchored(words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(chosen gram of each window, gram hashes)."""
     grams = gram_hashes(words, GRAM)
     width = window - GRAM + 1
     if len(grams) < width:
-        return np.empty(0, np.int64), grams, np.empty(0, np.uint64)
-    chosen = np.lib.stride_tricks.sliding_window_view(grams, width).argmin(axis=1) + np.arange(len(grams) - width + 1)
-    n = len(chosen)
+        return np.empty(0, np.int64), grams
+    return first_smallest(grams, width), grams
+
+
+def window_hashes(grams: np.ndarray, n: int, window: int) -> np.ndarray:
+    """A hash of each of the first n windows, from the grams that cover it."""
     hashes = np.zeros(n, np.uint64)
-    for at in [*range(0, window - GRAM, GRAM), window - GRAM]:
+    for at in [*range(0, window - GRAM, GRAM), window - GRAM] if n else []:
         hashes = hashes * MIX + grams[at : at + n]
-    return chosen, grams, mixed(hashes)
+    return mixed(hashes)
 
 
 def repeated_anchors(texts: DataFrame, window: int) -> DataFrame:
@@ -49,8 +69,8 @@ def repeated_anchors(texts: DataFrame, window: int) -> DataFrame:
         for batch in batches:
             found = []
             for text in batch.column(0).to_pylist():
-                chosen, grams, _ = anchored(words.array(text.split()), window)
-                found.append(grams[np.unique(chosen)])
+                chosen, grams = anchored(words.array(text.split()), window)
+                found.append(grams[chosen[runs_of(chosen)[0]]])
             values, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.empty(0, np.uint64), np.empty(0, np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(n.astype(np.int64))], names=["anchor", "n"])
 
@@ -75,21 +95,25 @@ def occurrences(texts: DataFrame, window: int, kind: str) -> DataFrame:
     def find(batches):
         words, table = WordHashes(), sent.value
         for batch in batches:
-            ids, rows, anchors, starts, hashes = [], [], [], [], []
+            taken, anchors, starts, counts, hashes = [], [], [], [], []
             for at, text in enumerate(batch.column(2).to_pylist()):
-                chosen, grams, windows = anchored(words.array(text.split()), window)
-                places, first, n = np.unique(chosen, return_index=True, return_counts=True)
-                values = grams[places]
+                chosen, grams = anchored(words.array(text.split()), window)
+                first, n = runs_of(chosen)
+                values = grams[chosen[first]]
                 slots = ((values >> np.uint64(6)) & np.uint64(FILTER_WORDS - 1)).astype(np.int64)
                 keep = (table[slots] >> (values & np.uint64(63))) & np.uint64(1) == 1
-                for value, start, count in zip(values[keep].view(np.int64).tolist(), first[keep].tolist(), n[keep].tolist()):
-                    ids.append(at)
-                    anchors.append(value)
-                    starts.append(start)
-                    hashes.append(windows[start : start + count].view(np.int64))
-            taken = pa.array(ids, pa.int32())
+                taken.append(np.full(np.count_nonzero(keep), at, np.int32))
+                anchors.append(values[keep].view(np.int64))
+                starts.append(first[keep].astype(np.int32))
+                counts.append(n[keep])
+                hashes.append(window_hashes(grams, len(chosen), window)[np.repeat(keep, n)].view(np.int64))
+            if not taken:
+                continue
+            of = pa.array(np.concatenate(taken))
+            ends = np.concatenate([[0], np.cumsum(np.concatenate(counts))]).astype(np.int32)
+            runs = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(hashes)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(anchors, pa.int64()), batch.column(0).take(taken), batch.column(1).take(taken), pa.array(starts, pa.int32()), pa.array(hashes, pa.list_(pa.int64()))],
+                [pa.array(np.concatenate(anchors)), batch.column(0).take(of), batch.column(1).take(of), pa.array(np.concatenate(starts)), runs],
                 names=["anchor", "id", "row", "start", "hashes"],
             )
 
