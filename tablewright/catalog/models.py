@@ -382,13 +382,43 @@ def bisecting(t: Tables):
 def mixture(t: Tables):
     rows = ft.assemble(t.events, ["value", "user_id"]).select("features")
     model = clustering.gaussian_mixture(rows, 2)
-    parts = model.gaussiansDF.select(
-        vector_to_array("mean").alias("mean"), F.col("cov").cast("string").alias("covariance")
+    return clustering.components(model)
+
+
+@query("p01_kmeans_centres")
+def kmeans_centres(t: Tables):
+    return clustering.centres(clustering.kmeans(embedding_rows(t), 8))
+
+
+def far_groups(t: Tables):
+    """Quantities of open and of closed lines, a thousand apart."""
+    apart = F.when(F.col("l_linestatus") == "F", 1000.0).otherwise(0.0)
+    rows = t.lineitem.select((F.col("l_quantity") + apart).alias("quantity"), F.col("l_tax").alias("tax"))
+    return ft.assemble(rows, ["quantity", "tax"]).select("features")
+
+
+FAR_GROUPS_SQL = """SELECT round(avg(l_quantity + CASE l_linestatus WHEN 'F' THEN 1000 ELSE 0 END), 5) AS quantity,
+  round(avg(l_tax), 7) AS tax, count(*) AS n FROM lineitem GROUP BY CASE l_linestatus WHEN 'F' THEN 1 ELSE 0 END"""
+
+
+def sized_centres(model, rows):
+    sizes = model.transform(rows).groupBy(F.col("prediction").alias("cluster")).agg(F.count("*").alias("n"))
+    return clustering.centres(model).join(sizes, "cluster").select(
+        F.round(F.col("centre")[0], 5).alias("quantity"), F.round(F.col("centre")[1], 7).alias("tax"), "n"
     )
-    weights = [(i, float(w)) for i, w in enumerate(model.weights)]
-    means = [[float(x) for x in r["mean"]] for r in parts.collect()]
-    rows = [(i, w, m) for (i, w), m in zip(weights, means)]
-    return t.spark.createDataFrame(rows, "component int, weight double, mean array<double>")
+
+
+@query("p01_kmeans_groups", FAR_GROUPS_SQL)
+def kmeans_groups(t: Tables):
+    """Groups far apart are the clusters; centres are their means."""
+    rows = far_groups(t)
+    return sized_centres(clustering.kmeans(rows, 2), rows)
+
+
+@query("p02_bisecting_groups", FAR_GROUPS_SQL)
+def bisecting_groups(t: Tables):
+    rows = far_groups(t)
+    return sized_centres(clustering.bisecting_kmeans(rows, 2), rows)
 
 
 @query("p04_lda")
@@ -398,6 +428,23 @@ def lda(t: Tables):
     return clustering.topic_terms(model, vocabulary, 3)
 
 
+@query("p04_lda_fit")
+def lda_fit(t: Tables):
+    """Likelihood and perplexity of the topic model over its documents."""
+    docs = t.documents.select("doc_id", text.title_tokens(F.col("text")).alias("tokens"))
+    model, _, counts = clustering.topics(docs, "tokens", 10, 10, least_documents=4.0)
+    rows = [("log_likelihood", model.logLikelihood(counts)), ("log_perplexity", model.logPerplexity(counts))]
+    return t.spark.createDataFrame(rows, "metric string, value double")
+
+
+@query("p04_lda_documents")
+def lda_documents(t: Tables):
+    """Mix of topics of every document."""
+    docs = t.documents.select("doc_id", text.title_tokens(F.col("text")).alias("tokens"))
+    model, _, counts = clustering.topics(docs, "tokens", 10, 10, least_documents=4.0)
+    return model.transform(counts).select("doc_id", vector_to_array("topicDistribution").alias("mix"))
+
+
 def brand_ratings(t: Tables):
     lines = t.lineitem.select("l_orderkey", "l_partkey", "l_quantity")
     orders = t.orders.select("o_orderkey", F.col("o_custkey").cast("int").alias("user"))
@@ -423,6 +470,21 @@ def svd(t: Tables):
     return t.spark.createDataFrame(rows, "place int, singular_value double")
 
 
+@query(
+    "p06_svd_pair",
+    """WITH s AS (SELECT sum(l_quantity * l_quantity) AS a, sum(l_quantity * l_tax) AS b, sum(l_tax * l_tax) AS c FROM lineitem),
+       e AS (SELECT (a + c) / 2 AS mid, sqrt(power((a - c) / 2, 2) + b * b) AS half, a * c - b * b AS det FROM s)
+       SELECT 0 AS place, round(sqrt(mid + half), 3) AS singular_value FROM e
+       UNION ALL SELECT 1, round(sqrt(det / (mid + half)), 3) FROM e""",
+)
+def svd_pair(t: Tables):
+    """Two columns have a closed form."""
+    pairs = t.lineitem.select(F.array(F.col("l_quantity").cast("double"), F.col("l_tax").cast("double")).alias("v"))
+    values, _ = clustering.singular_values(pairs, "v", 2, 2)
+    df = t.spark.createDataFrame([(i, float(v)) for i, v in enumerate(values)], "place int, singular_value double")
+    return df.withColumn("singular_value", F.round("singular_value", 3))
+
+
 @query("p06_svd_left")
 def svd_left(t: Tables):
     values, right = clustering.singular_values(t.embeddings, "embedding", 64, 5)
@@ -475,15 +537,26 @@ def rules(t: Tables):
     )
 
 
-def priority_sequences(t: Tables):
-    return patterns.sequences(t.orders, "o_custkey", ["o_orderdate", "o_orderkey"], "o_orderpriority")
+def priority_sequences(t: Tables, length: int):
+    """Frequent runs of order priorities of a customer."""
+    found = patterns.mine_sequences(t.orders, "o_custkey", ["o_orderdate", "o_orderkey"], "o_orderpriority", 0.2, length)
+    return found.select(F.array_join("sequence", " > ").alias("sequence"), "freq")
 
 
-@query("p09_prefix_span")
+@query(
+    "p09_prefix_span",
+    """WITH RECURSIVE s AS (SELECT o_custkey AS c, o_orderpriority AS p,
+           row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rn FROM orders),
+       step AS (SELECT a.c, a.rn, b.p, min(b.rn) AS nrn FROM (SELECT c, rn FROM s UNION SELECT c, 0 FROM s) a
+         JOIN s b ON a.c = b.c AND b.rn > a.rn GROUP BY ALL),
+       found AS (SELECT c, p AS sequence, nrn AS rn, 1 AS size FROM step WHERE rn = 0
+         UNION ALL SELECT f.c, f.sequence || ' > ' || step.p, step.nrn, f.size + 1
+         FROM found f JOIN step ON f.c = step.c AND f.rn = step.rn WHERE f.size < 5)
+       SELECT sequence, count(*) AS freq FROM found GROUP BY 1
+       HAVING count(*) >= ceil(0.2 * (SELECT count(DISTINCT c) FROM s))""",
+)
 def prefix_span(t: Tables):
-    found = patterns.frequent_sequences(priority_sequences(t), 0.2, 5)
-    steps = F.transform("sequence", lambda s: F.array_join(F.array_sort(s), "+"))
-    return found.select(F.array_join(steps, " > ").alias("sequence"), "freq")
+    return priority_sequences(t, 5)
 
 
 @query(
@@ -492,8 +565,7 @@ def prefix_span(t: Tables):
        HAVING count(DISTINCT o_custkey) >= ceil(0.2 * (SELECT count(DISTINCT o_custkey) FROM orders))""",
 )
 def prefix_span_single(t: Tables):
-    found = patterns.frequent_sequences(priority_sequences(t), 0.2, 1)
-    return found.select(F.col("sequence")[0][0].alias("sequence"), "freq")
+    return priority_sequences(t, 1)
 
 
 @query(
@@ -506,6 +578,4 @@ def prefix_span_single(t: Tables):
        GROUP BY 1 HAVING count(DISTINCT x.c) >= (SELECT n FROM least)""",
 )
 def prefix_span_pairs(t: Tables):
-    found = patterns.frequent_sequences(priority_sequences(t), 0.2, 2)
-    steps = F.transform("sequence", lambda s: s[0])
-    return found.select(F.array_join(steps, " > ").alias("sequence"), "freq")
+    return priority_sequences(t, 2)

@@ -6,10 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import clustering as mlc
 from pyspark.ml.feature import CountVectorizer
 from pyspark.ml.recommendation import ALS, ALSModel
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def kmeans(df: DataFrame, k: int = 2, max_iter: int = 20, seed: int = 1) -> mlc.KMeansModel:
@@ -74,20 +75,21 @@ def recommender(
 
 def gram_matrix(df: DataFrame, values: str, dimensions: int) -> np.ndarray:
     """X'X of an array column: each task adds up its own rows, and only
-    dimensions squared sums are combined."""
+    dimensions squared sums are combined.  A null row adds nothing."""
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((dimensions, dimensions))
         for batch in batches:
-            if len(batch):
-                x = np.asarray(batch[values].tolist(), dtype=float)
+            if batch.num_rows:
+                x = batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, dimensions)
                 total += x.T @ x
         rows, columns = np.indices(total.shape)
-        yield pd.DataFrame({"i": rows.ravel(), "j": columns.ravel(), "v": total.ravel()})
+        arrays = [pa.array(rows.ravel(), pa.int32()), pa.array(columns.ravel(), pa.int32()), pa.array(total.ravel())]
+        yield pa.RecordBatch.from_arrays(arrays, names=["i", "j", "v"])
 
     sums = (
         df.select(values)
-        .mapInPandas(partial, "i int, j int, v double")
+        .mapInArrow(partial, "i int, j int, v double")
         .groupBy("i", "j")
         .agg(F.sum("v").alias("v"))
         .collect()
@@ -110,12 +112,35 @@ def singular_values(
 def left_vectors(
     df: DataFrame, values: str, singular: np.ndarray, right: np.ndarray, output: str = "u"
 ) -> DataFrame:
-    """Rows of U = X V / s, as an expression per row."""
-    slots = []
-    for s, vector in zip(singular, right.T):
-        terms = F.zip_with(
-            values, F.array(*[F.lit(float(v)) for v in vector]), lambda x, v: x * v
-        )
-        dot = F.aggregate(terms, F.lit(0.0), lambda a, b: a + b)
-        slots.append(dot / F.lit(float(s)) if s > 0 else F.lit(0.0))
-    return df.withColumn(output, F.array(*slots))
+    """Rows of U = X V / s; a null row has none.
+
+    The matrix goes to the tasks once, not into the plan; a singular value of
+    zero has zeros.
+    """
+    scaled = right * np.divide(1.0, singular, out=np.zeros_like(singular), where=singular > 0)
+
+    @F.pandas_udf("array<double>")
+    def rotated(batch: pd.Series) -> pd.Series:
+        given = batch.dropna()
+        rows = np.stack(given.to_list()) @ scaled if len(given) else []
+        return pd.Series(list(rows), index=given.index, dtype=object).reindex(batch.index)
+
+    return df.withColumn(output, rotated(values))
+
+
+def components(model: mlc.GaussianMixtureModel) -> DataFrame:
+    """(component, weight, mean, covariance) of a mixture, the matrix by rows."""
+    rows = [
+        (i, float(w), g.mean.toArray().tolist(), g.cov.toArray().tolist())
+        for i, (w, g) in enumerate(zip(model.weights, model.gaussians))
+    ]
+    spark = SparkSession.active()
+    return spark.createDataFrame(
+        rows, "component int, weight double, mean array<double>, covariance array<array<double>>"
+    )
+
+
+def centres(model: mlc.KMeansModel | mlc.BisectingKMeansModel) -> DataFrame:
+    """(cluster, centre) of a fitted model."""
+    rows = [(i, c.tolist()) for i, c in enumerate(model.clusterCenters())]
+    return SparkSession.active().createDataFrame(rows, "cluster int, centre array<double>")

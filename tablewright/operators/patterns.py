@@ -5,11 +5,9 @@ from __future__ import annotations
 from pyspark.ml.fpm import FPGrowth, FPGrowthModel, PrefixSpan
 from pyspark.sql import DataFrame, functions as F
 
+from tablewright.operators.ordering import numbered
 from tablewright.storage import cut_lineage
 
-# The sequence miner takes one row per sequence; longer ones are refused.
-MAX_SEQUENCE_ITEMS = 1_000_000
-
 
 def baskets(df: DataFrame, basket: str, item: str, min_support: float) -> DataFrame:
     """One array of distinct items per basket, without items too rare to matter.
@@ -62,24 +60,43 @@ def association_rules(itemsets: DataFrame, min_confidence: float) -> DataFrame:
     )
 
 
-def sequences(df: DataFrame, key: str, order: list[str], item: str) -> DataFrame:
-    """One sequence of single items per key, in order.
+def mine_sequences(
+    df: DataFrame, key: str, order: list[str], item: str, min_support: float, max_length: int = 5
+) -> DataFrame:
+    """Frequent sequences of single items, from long rows: (sequence, freq).
 
-    The longest sequence is measured first; one that would not fit in a row
-    is an error, never cut.
+    A key's rows in `order` are its sequence, of any length: none is gathered
+    in a row.  A prefix keeps, per key, the earliest place it can end at; the
+    next item is sought behind it.  Ties in `order` go by item.  Null is a key
+    like any other; a null item is no item, but its key counts.
     """
-    longest = df.groupBy(key).agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first()["n"]
-    if longest is not None and longest > MAX_SEQUENCE_ITEMS:
-        raise ValueError(f"a sequence of {longest} items is too long to mine")
-    ordered = F.sort_array(F.collect_list(F.struct(*order, item)))
-    return df.groupBy(key).agg(
-        F.transform(ordered, lambda s: F.array(s[item])).alias("sequence")
-    )
+    numbers = numbered(df.select(F.col(key).alias("key"), F.col(item).alias("item"), *order), ["key", *order, "item"], "place")
+    rows = cut_lineage(numbers.select("key", "item", "place"), "sequences")
+    least = F.ceil(F.lit(min_support) * rows.select("key").distinct().count())
+    ends = cut_lineage(rows.groupBy("item", "key").agg(F.min("place").alias("end")), "ends").filter("item IS NOT NULL")
+    common = ends.groupBy("item").agg(F.count("*").alias("freq")).filter(F.col("freq") >= least)
+    found = cut_lineage(common.select(F.array("item").alias("sequence"), "freq"), "frequent")
+    steps = rows.join(found.select(F.col("sequence")[0].alias("item")), "item", "left_semi")
+    steps = cut_lineage(steps.select(F.col("key").alias("of"), F.col("item").alias("next"), "place"), "steps")
+    ends = ends.select(F.array("item").alias("sequence"), "key", "end")
+    result = found
+    for _ in range(1, max_length):
+        open_ends = ends.join(found.select("sequence"), "sequence", "left_semi")
+        behind = F.col("key").eqNullSafe(F.col("of")) & (F.col("place") > F.col("end"))
+        longer = open_ends.join(steps, behind).groupBy("sequence", "next", "key").agg(F.min("place").alias("end"))
+        grown = F.concat("sequence", F.array("next")).alias("sequence")
+        ends = cut_lineage(longer.select(grown, "key", "end"), "ends")
+        counted = ends.groupBy("sequence").agg(F.count("*").alias("freq")).filter(F.col("freq") >= least)
+        found = cut_lineage(counted, "frequent")
+        if found.isEmpty():
+            break
+        result = result.unionByName(found)
+    return result
 
 
 def frequent_sequences(
     df: DataFrame, min_support: float = 0.5, max_length: int = 5, column: str = "sequence"
 ) -> DataFrame:
-    """Frequent sequences of item-sets and their counts."""
+    """Frequent sequences of item-sets and their counts, where a row holds a sequence."""
     miner = PrefixSpan(minSupport=min_support, maxPatternLength=max_length, sequenceCol=column)
     return miner.findFrequentSequentialPatterns(df)

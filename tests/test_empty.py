@@ -56,7 +56,7 @@ def test_encoders_of_nothing(nothing):
 
 def test_baskets_of_nothing(nothing):
     assert patterns.baskets(nothing, "v", "k", 0.5).collect() == []
-    assert patterns.sequences(nothing, "k", ["v"], "w").collect() == []
+    assert patterns.mine_sequences(nothing, "k", ["v"], "w", 0.5).collect() == []
 
 
 def test_streams_without_files(spark, no_files):

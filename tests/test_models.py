@@ -202,8 +202,9 @@ def test_sequences_of_the_published_rows(spark):
     assert out == {"[[1]]": 3, "[[2]]": 3, "[[3]]": 2, "[[1, 2]]": 3, "[[1], [3]]": 2}
 
 
-def test_a_sequence_too_long_for_a_row_is_refused(spark, monkeypatch):
-    monkeypatch.setattr(patterns, "MAX_SEQUENCE_ITEMS", 2)
-    df = spark.createDataFrame([(1, t, "x") for t in range(3)], "k int, t int, item string")
-    with pytest.raises(ValueError):
-        patterns.sequences(df, "k", ["t"], "item")
+def test_long_sequences_are_mined_from_rows(spark):
+    """A key of 3,000 rows, ties, repeats, a null key and a null item."""
+    rows = [(1, i, "abc"[i % 3]) for i in range(3000)] + [(2, 0, "b"), (2, 0, "a"), (None, 1, "a"), (None, 2, "a"), (3, 0, None)]
+    df = spark.createDataFrame(rows, "k int, t int, item string")
+    out = {"".join(r["sequence"]): r["freq"] for r in patterns.mine_sequences(df, "k", ["t"], "item", 0.5, 3).collect()}
+    assert out == {"a": 3, "b": 2, "aa": 2, "ab": 2}
