@@ -14,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tablewright.llm import decontamination, exact_dedup, html_template, language_model, mixing, pii, simhash, substring_dedup, toxicity, warc
+from tablewright.llm import decontamination, exact_dedup, html_template, language_model, mixing, pii, similar, simhash, substring_dedup, toxicity, warc
 from tablewright.storage import scratch_path
 
 WORDS = [a + b for a in "th an er on re at en nd".split() for b in "a e i o u ing ed ly".split()]
@@ -261,3 +261,39 @@ def test_pipeline_keeps_what_each_stage_keeps(spark):
     got = [r.doc_id for r in out.collect()]
     assert len(got) == len(set(got)) and set(got) <= ids
     assert out.select(F.min("rate")).first()[0] > 0
+
+
+def test_pipeline_drops_near_copies_as_brute_force_does(spark):
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    texts = {}
+    for base in range(12):
+        words = prose(rng.randrange(60, 400), 900 + base).split()
+        for copy in range(6):
+            edited = list(words)
+            for _ in range(copy * len(words) // 150):
+                edited[rng.randrange(len(words))] = "changed"
+            texts[len(texts)] = " ".join(edited)
+    hot = prose(200, 999).split()
+    for i in range(150):  # one group of copies whose edits lie at the limit
+        edited = list(hot)
+        for _ in range(i % 7):
+            edited[rng.randrange(200)] = f"new{i}"
+        texts[len(texts)] = " ".join(edited)
+    texts |= {len(texts): None, len(texts) + 1: "", len(texts) + 2: "only three words", len(texts) + 3: "Only THREE  words"}
+
+    def shingle_set(text):
+        words = (text or "").lower().split()
+        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+    sets = {i: shingle_set(t) for i, t in texts.items()}
+    linked = [(i, j) for i in texts for j in texts if i < j and sets[i] and sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    label = {i: i for i in texts}
+    while any(label[i] != label[j] for i, j in linked):
+        for i, j in linked:
+            label[i] = label[j] = min(label[i], label[j])
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    got = {r.doc_id for r in corpus_pipeline.near_copies(spark, docs, "").collect()}
+    assert got == {i for i in texts if label[i] == i} and len(got) < len(texts) - 100
+    assert similar.near_copies(docs.limit(0)).count() == 0
