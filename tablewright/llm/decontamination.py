@@ -1,9 +1,9 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-The n-grams of the test items are counted over the whole corpus.  The rare
-ones are seeds: a document that holds one is aligned, word by word, with the
-items the seed comes from.  The alignment score finds copies with words
-changed, left out or put in.
+Every n-gram of a test item is a seed, however common: a document that holds
+one is aligned, word by word, with the items the seed comes from, unless it
+has too few of an item's words there for any alignment to reach the score.
+The alignment score finds copies with words changed, left out or put in.
 """
 
 from __future__ import annotations
@@ -19,8 +19,6 @@ from tablewright.llm.texts import WordHashes, gram_hashes, id_and_bytes, id_type
 from tablewright.storage import cut_lineage
 
 GRAM = 3
-#: A seed stands in at most this share of all documents, or is among the rarer ones of its item.
-RARE_SHARE, RARE_FACTOR = 0.002, 8
 MATCH, MISMATCH, GAP = 1.0, -0.5, -0.5
 #: Share of an item's words that the alignment has to reach, and the words that are no chance.
 LEAST_SCORE, LEAST_WORDS = 0.5, 6
@@ -56,11 +54,11 @@ class Block:
         return at[real], seed[real]
 
 
-def block_of(rows: list[tuple], kept: set | None = None) -> Block | None:
-    """Items and their seeds; `kept`: the hashes that may be seeds (None: all)."""
+def block_of(rows: list[tuple]) -> Block | None:
+    """Items and their seeds; None if no item has words."""
     hashes = WordHashes()
     words = [hashes.array(words_of(text)) for _, text in rows]
-    pairs = [(int(g), i) for i, w in enumerate(words) if len(w) for g in set(gram_hashes(w, gram_size(len(w))).tolist()) if kept is None or (int(g), i) in kept]
+    pairs = [(int(g), i) for i, w in enumerate(words) if len(w) for g in set(gram_hashes(w, gram_size(len(w))).tolist())]
     if not pairs:
         return None
     pairs.sort()
@@ -112,6 +110,10 @@ def matches(words: np.ndarray, block: Block):
         for run in np.split(place[cut], np.flatnonzero(np.diff(place[cut]) > 2 * size) + 1):
             low, high = max(0, int(run[0]) - 2 * size), int(run[-1]) + 2 * size + GRAM
             passage = words[low:high]
+            # Each matching word scores one, so the words in common bound the score.
+            common = np.isin(passage, own)
+            if common.sum() < needed(size) or np.isin(own, passage[common]).sum() < needed(size):
+                continue
             score, end = align(own, passage)
             if score > best[0] and score >= needed(size):
                 back, start = align(own[::-1], passage[: end + 1][::-1])
@@ -120,33 +122,6 @@ def matches(words: np.ndarray, block: Block):
             yield int(item[cut[0]]), best[0] / size, best[1], best[2]
 
 
-def seeds(docs: DataFrame, block: Block, n_docs: int) -> set:
-    """(gram, item) of the rare n-grams, by the documents they stand in over the whole corpus."""
-    sent = docs.sparkSession.sparkContext.broadcast(block)
-
-    def count(batches):
-        b, hashes = sent.value, WordHashes()
-        total = np.zeros(len(b.grams), np.int64)
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                words = hashes.array(words_of(text))
-                found = np.concatenate([b.hits(gram_hashes(words, n))[1] for n in range(1, GRAM + 1)])
-                total[np.unique(found)] += 1
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], names=["seed", "n"])
-
-    found = docs.select("text").mapInArrow(count, "seed bigint, n bigint").groupBy("seed").agg(F.sum("n").alias("n")).toArrow()  # as many rows as the block has grams at most
-    total = np.zeros(len(block.grams), np.int64)
-    total[found["seed"].to_numpy()] = found["n"].to_numpy()
-    sent.unpersist()
-    each = np.repeat(total, np.diff(block.first))
-    least = np.full(len(block.ids), np.iinfo(np.int64).max // RARE_FACTOR)
-    np.minimum.at(least, block.items, each)
-    rare = each <= np.maximum(RARE_SHARE * n_docs, RARE_FACTOR * least[block.items])
-    grams = np.repeat(block.grams, np.diff(block.first))
-    return set(zip(grams[rare].tolist(), block.items[rare].tolist()))
-
-
 def contaminations(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """Per document and item it holds: id, item, score, start_word, end_word.
 
@@ -160,7 +135,6 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     kind, item_kind = id_type(docs, id_col), id_type(benchmark, item_col)
     size = items.agg(F.sum(F.octet_length("text")), F.max(F.octet_length("text"))).first()
     blocks = -(-2 * (size[0] or 0) // BLOCK_BYTES) or 1
-    n_docs = source.count()
     ddl = f"id {kind}, item {item_kind}, score double, start_word bigint, end_word bigint"
     results = None
     for number in range(blocks):
@@ -168,7 +142,6 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
         found = part.toArrow()
         rows = sorted(zip(found["id"].to_pylist(), found["text"].to_pylist()))
         block = block_of(rows)
-        block = block_of(rows, seeds(source, block, n_docs)) if block else None
         if block is None:
             continue
         item_type = found.schema.field("id").type

@@ -228,6 +228,17 @@ def test_contamination(spark):
     assert decontamination.contaminations(docs, bench.limit(0)).count() == 0
 
 
+def test_contamination_by_edited_copies_alone(spark):
+    item = prose(40, 70).split()
+    item[17] = "unchanged"
+    edited = " ".join(item[:17] + ["altered"] + item[18:])
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    for n_docs, copies in ((400, range(7, 8)), (3000, range(0, 3000, 3))):
+        texts = {i: prose(20, 5000 + i) + (" " + edited + " " if i in copies else " ") + prose(20, 9000 + i) for i in range(n_docs)}
+        docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+        assert {r.doc_id for r in decontamination.contaminations(docs, bench).collect()} == set(copies)
+
+
 def test_mixing_meets_its_targets(spark):
     kinds = {"a": WORDS[:20], "b": WORDS[20:40]}
     rng = random.Random(2)
