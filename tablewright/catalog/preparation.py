@@ -159,9 +159,9 @@ def plan_fitness(t: Tables):
 @query("q09_plan_search_table")
 def searched_table(t: Tables):
     """The table that the best plan found makes."""
-    return plan_search(base_table(t), actions(t), population=4, generations=1, seed=9).table
+    return plan_search(base_table(t), actions(t), seed=9).table
 
 
 @query("q09_plan_search")
 def searched(t: Tables):
-    return plan_search(base_table(t), actions(t), population=4, generations=1, seed=9).history
+    return plan_search(base_table(t), actions(t), seed=9).history

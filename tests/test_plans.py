@@ -211,6 +211,25 @@ def test_crossing_keeps_length():
         assert tuple(x + y for x, y in zip(c, d)) == (1,) * 8
 
 
+@pytest.mark.parametrize("key", ["q09_plan_search", "q09_plan_search_table"])
+def test_registered_search_has_the_size_of_the_operator(spark, monkeypatch, key):
+    import inspect
+    from types import SimpleNamespace
+
+    from tablewright.catalog import QUERIES, preparation
+
+    asked = []
+
+    def recorded(*args, **kwargs):
+        asked.append(inspect.signature(search.plan_search).bind(*args, **kwargs))
+        return SimpleNamespace(table=None, history=None)
+
+    monkeypatch.setattr(preparation, "plan_search", recorded)
+    QUERIES[key](spark, "/root/testdata/sf0.001")
+    asked[0].apply_defaults()
+    assert (asked[0].arguments["population"], asked[0].arguments["generations"]) == (100, 100)
+
+
 def test_whole_search_returns_its_table(learnable):
     wanted = Actions(filters=[("name", "filter", "g2")], targets=["flag"], objects=["copy"])
     result = search.plan_search(learnable, wanted, population=3, generations=1, seed=2, models=["tree", "text"])
