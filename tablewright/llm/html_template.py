@@ -3,9 +3,9 @@
 A token is a tag in its place (its path of open elements).  Tokens of one host that occur equally often in every page have
 the same occurrence vector and form an equivalence class.  Classes that most
 pages of the host share, and whose places nest, are the template; what the
-template leaves open are its slots.  The innermost
-slot that holds most of the text is where the host keeps its articles; the main text of a page is
-read from there.
+template leaves open are its slots.  The slot of the article or main element
+around most of the text, or else the innermost that holds all of it, is where
+the host keeps its articles; the main text of a page is read from there.
 """
 
 from __future__ import annotations
@@ -156,8 +156,9 @@ def templates(classes_: DataFrame) -> DataFrame:
     """(host, slots): the place of a host's articles in its template.
 
     A class is valid if it occurs once in each of its pages and its places
-    nest.  Among their slots, the article's is the innermost that holds most
-    of the text.
+    nest.  Most of the text points at the article; its slot is the outermost
+    article or main element around that, or else the innermost place that
+    leaves no text out, so a heading or lead beside the body stays.
     """
     schema = pa.schema([("host", pa.string()), ("slots", pa.list_(pa.string()))])
 
@@ -177,7 +178,10 @@ def templates(classes_: DataFrame) -> DataFrame:
             most = max(chars[p] for p in nested)
             if most > 0:
                 holders = [p for p in nested if chars[p] >= 0.6 * most]
-                slots = [max(holders, key=lambda p: (p.count("/"), chars[p], p))]
+                inner = max(holders, key=lambda p: (p.count("/"), chars[p], p))
+                around = [p for p in nested if (inner + "/").startswith(p + "/") and p.rsplit("/", 1)[-1].split(".")[0] in ("article", "main")]
+                whole = [p for p in nested if chars[p] == most]
+                slots = [min(around, key=len) if around else max(whole, key=lambda p: (p.count("/"), p))]
         return pa.Table.from_arrays([pa.array([key[0].as_py()]), pa.array([slots], pa.list_(pa.string()))], schema=schema)
 
     return classes_.groupBy("host").applyInArrow(deduce, "host string, slots array<string>")

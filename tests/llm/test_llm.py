@@ -214,6 +214,24 @@ def test_main_text(spark):
     assert (got[9].text, got[10].text, got[11].text, got[12].text) == ("Head 9\nLone", "", "", "only text")
 
 
+def test_main_text_beside_the_body_wrapper(spark):
+    layouts = {
+        "wrapped.example": '<article><h1>Head {i}</h1><p>Lead {i}</p><div class="body"><p>{a}</p><p>{b}</p></div><ul><li>Item {i}</ul></article>',
+        "single.example": "<article><h1>Head {i}</h1><p>{a}</p></article>",
+        "plain.example": '<div class="post"><h1>Head {i}</h1><p>Lead {i}</p><div class="text"><p>{a}</p><p>{b}</p></div></div>',
+    }
+    rows, want = [], {}
+    for host, layout in layouts.items():
+        for i in range(6):
+            a, b = prose(60, i), prose(40, 100 + i)
+            html = f"<html><body><nav><ul><li>menu</ul></nav>{layout.format(i=i, a=a, b=b)}<footer>foot</footer></body></html>"
+            rows.append((len(rows), f"http://{host}/{i}", html))
+            lines = {"wrapped.example": [f"Lead {i}", a, b, f"Item {i}"], "single.example": [a], "plain.example": [f"Lead {i}", a, b]}[host]
+            want[len(rows) - 1] = "\n".join([f"Head {i}", *lines])
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html_template.extract(pages).collect()} == want
+
+
 def test_contamination(spark):
     items = {1: prose(40, 50), 2: prose(35, 51), 3: "Short one here", 4: None}
     edited = items[1].split()
