@@ -101,17 +101,19 @@ def word2vec_model(
 def count_vectors(
     df: DataFrame,
     tokens: str,
-    size: int = 1 << 18,
+    size: int | None = None,
     least_documents: float = 1.0,
     vocabulary: Sequence[str] | None = None,
     output: str = "counts",
 ) -> DataFrame:
-    """Term count vectors over a learnt or a given vocabulary."""
+    """Term count vectors over a learnt or a given vocabulary; without a size, every term is learnt."""
     if vocabulary is not None:
         model = mlf.CountVectorizerModel.from_vocabulary(
             list(vocabulary), inputCol=tokens, outputCol=output
         )
     else:
+        if size is None:
+            size = max(1, df.select(F.explode(tokens).alias("term")).distinct().count())
         model = mlf.CountVectorizer(
             inputCol=tokens, outputCol=output, vocabSize=size, minDF=least_documents
         ).fit(df)

@@ -172,3 +172,10 @@ def test_pca_of_the_published_vectors(spark):
     shares = model.explainedVariance.toArray()
     assert sum(shares) == pytest.approx(1.0)
     assert all(a >= b for a, b in zip(shares, shares[1:]))
+
+
+def test_learnt_counts_keep_every_term(spark):
+    # One term more than the vocabulary CountVectorizer takes by itself.
+    df = spark.range(0, (1 << 18) + 1, 1, 4).selectExpr("array(concat('t', id)) AS words")
+    counts = ft.count_vectors(df, "words").select("counts")
+    assert counts.first().counts.size == (1 << 18) + 1
