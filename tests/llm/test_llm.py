@@ -326,3 +326,19 @@ def test_pipeline_drops_near_copies_as_brute_force_does(spark):
     got = {r.doc_id for r in corpus_pipeline.near_copies(spark, docs, "").collect()}
     assert got == {i for i in texts if label[i] == i} and len(got) < len(texts) - 100
     assert similar.near_copies(docs.limit(0)).count() == 0
+
+
+def test_pipeline_tells_rows_of_one_id_apart(spark, tmp_path):
+    import corpus_pipeline
+
+    item = prose(40, 80)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(1, item), (1, prose(50, 81)), (None, prose(50, 82)), (None, item), (2, prose(50, 83)), (2, prose(50, 84)), (3, prose(50, 83)), (None, prose(50, 83))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def left(stage):
+        return sorted(map(str, map(tuple, stage(spark, docs, str(tmp_path)).collect())))
+
+    assert left(corpus_pipeline.benchmark_copies) == sorted(str(r) for r in rows if r[1] != item)
+    assert left(corpus_pipeline.exact_copies) == sorted(str(rows[i]) for i in (0, 1, 2, 5, 6))
+    assert left(corpus_pipeline.near_copies) == sorted(str(rows[i]) for i in (0, 1, 2, 4, 5))
