@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import decontamination, exact_dedup, html_template, language_model, mixing, pii, simhash, substring_dedup, toxicity, warc
+from tablewright.llm import decontamination, exact_dedup, html_template, language_model, mixing, pii, rule_ensemble, simhash, substring_dedup, toxicity, warc
 from tablewright.storage import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,3 +100,8 @@ def op8(spark, folder):
 @query("op9_anchored_substrings")
 def op9(spark, folder):
     return substring_dedup.substring_dedup(table(spark, folder, "documents")).drop("kept_text")
+
+
+@query("op13_sparse_rules")
+def op13(spark, folder):
+    return rule_ensemble.quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
