@@ -51,7 +51,21 @@ def cut_lineage(df: DataFrame, label: str = "table") -> DataFrame:
     """
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    written = df.sparkSession.read.schema(df.schema).parquet(path)
+    written.scratch_path = path
+    return written
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that `cut_lineage` wrote, once what was made of them is written too.
+
+    Only the very DataFrame that `cut_lineage` gave back names its table; any
+    other is left alone.
+    """
+    for table in tables:
+        path = table.__dict__.get("scratch_path")
+        if path:
+            remove(table.sparkSession, path)
 
 
 def spread(df: DataFrame) -> DataFrame:
