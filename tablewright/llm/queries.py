@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import decontamination, exact_dedup, html_template, language_model, mixing, pii, rule_ensemble, simhash, substring_dedup, token_alignment, toxicity, warc
+from tablewright.llm import decontamination, exact_dedup, html_template, language_model, mixing, pii, rule_ensemble, simhash, spelling_variants, substring_dedup, token_alignment, toxicity, warc
 from tablewright.storage import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,6 +107,11 @@ def op13(spark, folder):
     return rule_ensemble.quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+@query("op11_gram_variants")
+def op11(spark, folder):
+    return spelling_variants.spelling_variants(table(spark, folder, "documents"))
+
+
 @query("op12_distinct_alignment")
 def op12(spark, folder):
     measures, _ = token_alignment.token_alignment(table(spark, folder, "documents"))
