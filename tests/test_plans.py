@@ -180,12 +180,16 @@ def ones(plan):
     return float(len(plan) - sum(plan))
 
 
+def each(fitness):
+    return lambda plans: [fitness(p) for p in plans]
+
+
 def test_search_improves_and_counts_each_plan_once():
     calls = []
 
-    def evaluate(plan):
-        calls.append(plan)
-        return ones(plan)
+    def evaluate(plans):
+        calls.extend(plans)
+        return [ones(p) for p in plans]
 
     s = search.Search(evaluate, length=20, population=20, generations=15, seed=3)
     best = s.run()
@@ -193,11 +197,94 @@ def test_search_improves_and_counts_each_plan_once():
     assert s.best_fitness == ones(best) < min(ones(p) for p in calls[:20])
     bests = [g.best for g in s.history]
     assert bests == sorted(bests, reverse=True)
-    assert search.Search(ones, length=20, population=20, generations=15, seed=3).run() == best
+    assert search.Search(each(ones), length=20, population=20, generations=15, seed=3).run() == best
+
+
+def plain_search(fitness, length, population, generations, rate, seed):
+    """The search one plan at a time: (best fitness, plans seen) after every generation."""
+    import random
+
+    rng, seen, found = random.Random(seed), {}, []
+
+    def of(plan):
+        if plan not in seen:
+            seen[plan] = fitness(plan)
+        return seen[plan]
+
+    plans = [tuple(rng.randint(0, 1) for _ in range(length)) for _ in range(population)]
+    best = min(of(p) for p in plans)
+    found.append((best, len(seen)))
+    for _ in range(generations):
+        half = sorted(plans, key=lambda p: (of(p), p))[: max(2, population // 2)]
+        children = []
+        for i, plan in enumerate(half):
+            children += search.cross(plan, rng.choice([p for j, p in enumerate(half) if j != i]), rng)
+        plans = []
+        for child in children[:population]:
+            changed = search.flip_one(child, rng) if rng.random() < rate else child
+            plans.append(changed if of(changed) <= of(child) else child)
+        best = min(best, *[of(p) for p in plans])
+        found.append((best, len(seen)))
+    return found
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_a_generation_at_once_is_the_search_plan_by_plan(seed):
+    def rough(plan):
+        return float(sum((i * 7) % 5 * b for i, b in enumerate(plan))) / (1 + sum(plan))
+
+    s = search.Search(each(rough), length=14, population=10, generations=20, seed=seed)
+    s.run()
+    assert [(g.best, g.evaluated) for g in s.history] == plain_search(rough, 14, 10, 20, 0.1, seed)
+
+
+def test_a_generation_is_evaluated_in_one_call():
+    calls = []
+
+    def evaluate(plans):
+        calls.append(len(plans))
+        return [ones(p) for p in plans]
+
+    search.Search(evaluate, length=30, population=20, generations=5, seed=3).run()
+    assert len(calls) <= 6 and calls[0] == 20
+
+
+def test_levels_with_the_same_data_are_one(spark):
+    df = spark.createDataFrame([(1, None, None, "x"), (2, 5, "a", None), (3, 6, "b", "y")], "a int, b int, c string, d string")
+    setting = make_setting(df, sort=False)
+    patterns = search.null_patterns(df, setting.nullable)
+    assert patterns == {frozenset({"b", "c"}): 1, frozenset({"d"}): 1, frozenset(): 1}
+    level = fit.Level(("a",), ("b", "c"), 4)
+
+    def key(**chosen):
+        return search.level_input(plan_bits(chosen, df.columns), df.columns, level, patterns, ["c", "d"])
+
+    assert key(trans1=["b"]) == key(trans1=["c"]) == key(trans1=["b", "c"]) != key(trans1=["d"])
+    assert key(trans4=["b"]) == key() != key(trans4=["c"])
+    assert key(trans1=["b"], trans4=["c"]) == key(trans1=["b"])
+    assert search.null_patterns(df.limit(0), ["b"]) == {} and search.null_patterns(df, []) == {frozenset(): 1}
+
+
+def test_shared_levels_fit_alike(spark):
+    """Plans whose level keys agree give the models the same rows."""
+    from tablewright.functions.features import index_strings, label_features
+
+    rows = [(i, None if i % 7 == 0 else i % 5, None if i % 7 == 0 else f"g{i % 3}", float(i)) for i in range(60)]
+    df = spark.createDataFrame(rows, "a int, b int, c string, d double")
+    setting = make_setting(df, sort=False)
+    patterns, level = search.null_patterns(df, setting.nullable), fit.Level(("a",), ("b", "c"), 4)
+    data = {}
+    for chosen in ({"trans1": ["b"]}, {"trans1": ["c"]}, {}, {"trans4": ["b"]}, {"trans1": ["c"], "trans4": ["c"]}):
+        plan = plan_bits(chosen, df.columns)
+        key = search.level_input(plan, df.columns, level, patterns, ["c"])
+        made = label_features(index_strings(apply_plan(df, plan, setting)), level.targets, level.features)
+        found = [tuple(r) for r in made.collect()]
+        assert data.setdefault(key, found) == found
+    assert len(data) == 2
 
 
 def test_search_ranks_plans_without_fitness_last():
-    s = search.Search(lambda p: None if p[0] else ones(p), length=6, population=10, generations=5, seed=1)
+    s = search.Search(each(lambda p: None if p[0] else ones(p)), length=6, population=10, generations=5, seed=1)
     assert s.run()[0] == 0
 
 
