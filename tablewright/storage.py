@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_records: list[list[str]] = []
+
 
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach: `spark.checkpoint.dir` of the session.
@@ -34,9 +38,23 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     filesystem, target = hadoop_path(spark, path)
     filesystem.deleteOnExit(target)
+    for record in _records:
+        record.append(path)
     return path
 
 
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The scratch locations handed out inside the block, to be removed once nothing reads them."""
+    paths: list[str] = []
+    _records.append(paths)
+    try:
+        yield paths
+    finally:
+        # By identity: two empty records are equal.
+        _records[:] = [record for record in _records if record is not paths]
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a location of the shared folder once nothing reads it any more."""
     filesystem, target = hadoop_path(spark, path)
