@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.storage import cut_lineage
+from tablewright.storage import cut_lineage, discard
 
 
 def connected(links: DataFrame) -> DataFrame:
@@ -25,10 +25,12 @@ def connected(links: DataFrame) -> DataFrame:
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         large = cut_lineage(large, "arcs")
+        discard(arcs)
         small_least = large.groupBy("a").agg(F.min("b").alias("m"))
         handed = large.join(small_least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         own = small_least.select("a", F.col("m").alias("b"))
         arcs = cut_lineage(handed.unionByName(own).distinct(), "arcs")
+        discard(large)
         if arcs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first() == mark:
             break
     roots = arcs.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node")
