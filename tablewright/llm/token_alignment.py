@@ -5,13 +5,20 @@ A distinct text is encoded by both tokenizers; the byte offsets at which both
 end a token cut it into groups, and tokens whose bytes overlap are linked.
 Links are counted over the corpus with the text's multiplicity, the counts go
 back to the texts, and the texts' measures go to the ids by the text's hash.
+
+Neither tokenizer joins a space to what stands before it, so a text falls into
+stretches, each a space and what follows up to the next space that comes after
+no white space.  Stretches are encoded and aligned by themselves, and a task
+remembers those it has met.
 """
 
 from __future__ import annotations
 
 import hashlib
 import os
+import re
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +32,10 @@ TOKENIZERS = "/opt/tokenizers"
 BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Id pairs of a counted table that is sent to every task (16 bytes each); a larger one is joined by a shuffle.
 SENT_PAIRS = 2_000_000
-#: Texts given to a tokenizer at once, and their characters.
-BATCH_TEXTS, BATCH_CHARS = 256, 1 << 20
+#: Texts aligned at once, and their characters; stretches a task remembers, and the characters of the longest of them.
+BATCH_TEXTS, BATCH_CHARS, REMEMBERED, LONGEST = 256, 1 << 20, 50_000, 64
+#: Before such a space neither tokenizer's tokens go on.
+BOUNDARY = re.compile(r"(?<=\S)(?= )")
 #: A text of more than one row in HOT_SHARE is dealt over SALTS tasks when measures go back to ids.
 HOT_SHARE, SALTS = 1000, 64
 
@@ -39,19 +48,19 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class Side:
-    """One tokenizer: ids of texts, and the bytes of every id."""
+    """One tokenizer: ids of a text that begins with a space, and the bytes of every id."""
 
     def __init__(self, pieces: list[bytes | None]):
         self.pieces = [p if p is not None else b"" for p in pieces]
         self.sizes = np.array([len(p) for p in self.pieces], np.int64)
-        self.names = [str(i) for i in range(len(pieces))]
+        self.names = [str(i) for i in range(len(self.pieces))]
 
     def joined(self, ids: list[int]) -> bytes:
         return b"".join(map(self.pieces.__getitem__, ids))
 
 
 class ByteSide(Side):
-    """A byte-level vocabulary; it is given a space and the text."""
+    """A byte-level vocabulary."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -63,12 +72,12 @@ class ByteSide(Side):
         entries = [self.encoder.id_to_token(i) for i in range(size)]
         super().__init__([bytes(map(alphabet.__getitem__, e)) if e is not None and all(c in alphabet for c in e) else None for e in entries])
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.encoder.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+    def encode(self, text: str) -> list[int]:
+        return self.encoder.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
 
 class PieceSide(Side):
-    """A piece vocabulary with byte fallback, which adds the space itself."""
+    """A piece vocabulary with byte fallback; it adds a space to what it is given, so a letter goes ahead."""
 
     def __init__(self, path: str):
         from sentencepiece import SentencePieceProcessor
@@ -77,12 +86,15 @@ class PieceSide(Side):
         n = self.encoder.get_piece_size()
         pieces = [self.encoder.id_to_piece(i) for i in range(n)]
         special = [self.encoder.is_control(i) or self.encoder.is_unknown(i) for i in range(n)]
+        if any(re.search("[^▁]▁", p) for i, p in enumerate(pieces) if not special[i]):
+            raise ValueError("a piece that goes on over a space: texts do not fall into stretches")
         super().__init__(
             [None if special[i] else bytes([int(p[3:5], 16)]) if self.encoder.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         )
+        self.ahead = len(self.encoder.encode("a"))
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return self.encoder.encode(texts, num_threads=1)
+    def encode(self, text: str) -> list[int]:
+        return self.encoder.encode("a" + text)[self.ahead :]
 
 
 @lru_cache(maxsize=2)
@@ -95,38 +107,85 @@ MEASURES = ["sha", "copies", "n_a", "n_b", "n_groups", "n_links", "groups_sha256
 NO_TOKENS = (0, 0, 0, 0, "", np.empty(0, np.int64), np.empty(0, np.int64))
 
 
-def align(a: Side, b: Side, ids_a: list[int], ids_b: list[int]) -> tuple:
-    """(n_a, n_b, n_groups, n_links, digest, linked id pairs, their links) of two encodings of the same bytes."""
+Alignment = tuple[int, int, int, str, list[int]]
+
+
+def align(a: Side, b: Side, stretches: list[str]) -> list[Alignment] | None:
+    """(n_a, n_b, n_groups, groups, linked id pairs in order) of each stretch, all encoded in one go.
+
+    None if a tokenizer does not give the bytes back, or has a token across
+    two stretches.
+    """
+    text = "".join(stretches)
+    ids_a, ids_b, whole = a.encode(text), b.encode(text), text.encode()
+    if a.joined(ids_a) != whole or b.joined(ids_b) != whole:
+        return None
     row_a, row_b = np.array(ids_a, np.int64), np.array(ids_b, np.int64)
     ends_a, ends_b = a.sizes[row_a].cumsum(), b.sizes[row_b].cumsum()
     # Between two neighbouring ends of either side lies one piece of one token each: a link.
-    ends = np.union1d(ends_a, ends_b)
-    links = row_a[np.searchsorted(ends_a, ends)] * len(b.pieces) + row_b[np.searchsorted(ends_b, ends)]
-    pairs, counts = np.unique(links, return_counts=True)
-    shared = np.intersect1d(ends_a, ends_b, assume_unique=True)
-    # The tokens of A that end a group, then those of B; what follows a token says which.
-    last_a, last_b = np.searchsorted(ends_a, shared), np.searchsorted(ends_b, shared)
+    ends, shared = np.union1d(ends_a, ends_b), np.intersect1d(ends_a, ends_b, assume_unique=True)
+    links = (row_a[np.searchsorted(ends_a, ends)] * len(b.pieces) + row_b[np.searchsorted(ends_b, ends)]).tolist()
+    cuts = np.cumsum([len(s.encode()) for s in stretches])
+    if not np.isin(cuts, shared, assume_unique=True).all():
+        return None
+    to_a, to_b = (np.searchsorted(ends_a, shared) + 1).tolist(), (np.searchsorted(ends_b, shared) + 1).tolist()
     names_a, names_b = list(map(a.names.__getitem__, ids_a)), list(map(b.names.__getitem__, ids_b))
     groups, from_a, from_b = [], 0, 0
-    for to_a, to_b in zip((last_a + 1).tolist(), (last_b + 1).tolist()):
-        groups.append(",".join(names_a[from_a:to_a]) + "|" + ",".join(names_b[from_b:to_b]))
-        from_a, from_b = to_a, to_b
-    digest = hashlib.sha256(";".join(groups).encode()).hexdigest()
-    return len(ids_a), len(ids_b), len(shared), len(ends), digest, pairs, counts
-
-
-def aligned(a: Side, b: Side, texts: list[str]):
-    """`align` of each text; an empty text, or one that a tokenizer does not give back whole, has no tokens."""
-    for text, ids_a, ids_b in zip(texts, a.encode(texts), b.encode(texts)):
-        whole = b" " + text.encode()
-        if not text or a.joined(ids_a) != whole or b.joined(ids_b) != whole:
+    for i, j in zip(to_a, to_b):
+        # Most groups are a token of each.
+        first = names_a[from_a] if i == from_a + 1 else ",".join(names_a[from_a:i])
+        groups.append(f"{first}|{names_b[from_b] if j == from_b + 1 else ','.join(names_b[from_b:j])}")
+        from_a, from_b = i, j
+    found, at = [], (0, 0, 0, 0)
+    for g, k in zip((np.searchsorted(shared, cuts) + 1).tolist(), (np.searchsorted(ends, cuts) + 1).tolist()):
+        now = (to_a[g - 1], to_b[g - 1], g, k)
+        found.append((now[0] - at[0], now[1] - at[1], g - at[2], ";".join(groups[at[2] : g]), links[at[3] : k]))
+        at = now
+    return found
+
+
+class Stretches(dict):
+    """stretch -> its alignment, None where a tokenizer does not give it back."""
+
+    def __init__(self, a: Side, b: Side):
+        self.a, self.b = a, b
+
+    def learn(self, stretches: list[str]) -> None:
+        # White space at the end would run on into the next one.
+        plain = [s for s in stretches if not s[-1].isspace()]
+        found = align(self.a, self.b, plain) if plain else []
+        if found is not None:
+            self.update(zip(plain, found))
+        for text in stretches:
+            if text not in self:
+                self[text] = (align(self.a, self.b, [text]) or [None])[0]
+
+    def forget(self) -> None:
+        """Keep memory bounded: long stretches go at once, all of them when they are many."""
+        if len(self) > REMEMBERED:
+            self.clear()
+        for long in [s for s in self if len(s) > LONGEST]:
+            del self[long]
+
+
+def aligned(known: Stretches, texts: list[str]):
+    """A row of MEASURES[2:] for each text; an empty text, or one that a tokenizer does not give back whole, has no tokens."""
+    cut = [BOUNDARY.split(" " + text) if text else [] for text in texts]
+    new = [s for s in dict.fromkeys(chain.from_iterable(cut)) if s not in known]
+    known.learn(new)
+    for stretches in cut:
+        parts = [known[s] for s in stretches]
+        if not parts or None in parts:
             yield NO_TOKENS
-        else:
-            yield align(a, b, ids_a, ids_b)
+            continue
+        n_a, n_b, n_groups, groups, links = zip(*parts)
+        pairs, counts = np.unique(np.fromiter(chain.from_iterable(links), np.int64), return_counts=True)
+        yield sum(n_a), sum(n_b), sum(n_groups), int(counts.sum()), hashlib.sha256(";".join(groups).encode()).hexdigest(), pairs, counts
+    known.forget()
 
 
 def runs_of(texts: list[str]):
-    """Runs of texts that are small enough to be encoded at once; a long text is a run of its own."""
+    """Runs of texts that are small enough to be aligned at once; a long text is a run of its own."""
     run, chars = [], 0
     for text in texts:
         if run and (len(run) == BATCH_TEXTS or chars + len(text) > BATCH_CHARS):
@@ -145,11 +204,11 @@ def measured_texts(texts: DataFrame, byte_path: str, piece_path: str) -> DataFra
     """
 
     def measure(batches):
-        a, b = side("byte", byte_path), side("piece", piece_path)
+        known = Stretches(side("byte", byte_path), side("piece", piece_path))
         for batch in batches:
             at = 0
             for run in runs_of(batch.column(0).to_pylist()):
-                rows, part = list(aligned(a, b, run)), batch.slice(at, len(run))
+                rows, part = list(aligned(known, run)), batch.slice(at, len(run))
                 at += len(run)
                 ends = pa.array(np.append(0, np.cumsum([len(r[5]) for r in rows])), pa.int32())
                 lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([r[k] for r in rows]))) for k in (5, 6)]
