@@ -10,12 +10,11 @@ from tablewright.streaming import learners, metrics, runner
 
 WINDOW, SLIDE, DELAY = "6 hours", "2 hours", "1 hour"
 
-# Every event in each of its three windows, without windows still open at the end.
-WINDOWED_SQL = """(SELECT * FROM (
+# Every event in each of its three windows, up to the end of the input.
+WINDOWED_SQL = """(
   SELECT e.*, time_bucket(INTERVAL 2 HOUR, ts, TIMESTAMP '1970-01-01') - to_hours(2 * k) AS window_start,
     time_bucket(INTERVAL 2 HOUR, ts, TIMESTAMP '1970-01-01') - to_hours(2 * k) + INTERVAL 6 HOUR AS window_end
-  FROM events e, (SELECT unnest([0, 1, 2]) AS k))
-  WHERE window_end <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR)"""
+  FROM events e, (SELECT unnest([0, 1, 2]) AS k))"""
 
 
 def stream_of(t: Tables, name: str):
@@ -68,8 +67,10 @@ def page_counts(t: Tables):
     f"SELECT window_start, window_end, event_type, count(*) AS n FROM {WINDOWED_SQL} GROUP BY ALL",
 )
 def sliding_counts(t: Tables):
-    counts = metrics.sliding_counts(events(t), "ts", "event_type", WINDOW, SLIDE, DELAY)
-    return plain_windows(runner.run_to_table(counts, "sliding"))
+    def counts(stream):
+        return metrics.sliding_counts(stream, "ts", "event_type", WINDOW, SLIDE, DELAY)
+
+    return plain_windows(runner.run_to_end(events(t), "ts", counts, "sliding"))
 
 
 @query(
@@ -81,10 +82,11 @@ def sliding_counts(t: Tables):
 )
 def error_rate(t: Tables):
     views = events(t).withColumn("zip_code", F.get_json_object("props", "$.k").cast("int") % 10)
-    rates = metrics.error_rates(
-        views, "ts", "zip_code", F.col("event_type") == "error", WINDOW, SLIDE, DELAY
-    )
-    return plain_windows(runner.run_to_table(rates, "errors")).withColumn("rate", F.round("rate", 9))
+
+    def rates(stream):
+        return metrics.error_rates(stream, "ts", "zip_code", F.col("event_type") == "error", WINDOW, SLIDE, DELAY)
+
+    return plain_windows(runner.run_to_end(views, "ts", rates, "errors")).withColumn("rate", F.round("rate", 9))
 
 
 @query(
@@ -92,8 +94,10 @@ def error_rate(t: Tables):
     f"SELECT window_start, window_end, count(DISTINCT user_id) AS users FROM {WINDOWED_SQL} GROUP BY ALL",
 )
 def active_users(t: Tables):
-    users = metrics.active_users(events(t), "ts", "user_id", WINDOW, SLIDE, DELAY)
-    return plain_windows(runner.run_to_table(users, "users"))
+    def users(stream):
+        return metrics.active_users(stream, "ts", "user_id", WINDOW, SLIDE, DELAY)
+
+    return plain_windows(runner.run_to_end(events(t), "ts", users, "users"))
 
 
 @query(
@@ -125,16 +129,19 @@ def blacklist(t: Tables):
     return metrics.batch_counts(metrics.drop_listed(words, listed, "word"), "word")
 
 
-@query(
-    "j09_stream_welch_test",
-    """SELECT round((ma - mb) / sqrt(va / na + vb / nb), 6) AS t,
+WELCH_SQL = """SELECT round((ma - mb) / sqrt(va / na + vb / nb), 6) AS t,
          round(power(va / na + vb / nb, 2) / (power(va / na, 2) / (na - 1) + power(vb / nb, 2) / (nb - 1)), 4) AS df
        FROM (SELECT avg(value) FILTER (WHERE event_type = 'purchase') AS ma,
            avg(value) FILTER (WHERE event_type <> 'purchase') AS mb,
            var_samp(value) FILTER (WHERE event_type = 'purchase') AS va,
            var_samp(value) FILTER (WHERE event_type <> 'purchase') AS vb,
            count(*) FILTER (WHERE event_type = 'purchase') AS na,
-           count(*) FILTER (WHERE event_type <> 'purchase') AS nb FROM events)""",
+           count(*) FILTER (WHERE event_type <> 'purchase') AS nb FROM events)"""
+
+
+@query(
+    "j09_stream_welch_test",
+    WELCH_SQL,
 )
 def welch(t: Tables):
     samples = stream_of(t, "events").select((F.col("event_type") == "purchase").alias("label"), "value")
@@ -142,6 +149,19 @@ def welch(t: Tables):
     return test.select(F.round("t", 6).alias("t"), F.round("df", 4).alias("df"))
 
 
+@query("j09_stream_welch_resumed", WELCH_SQL)
+def welch_resumed(t: Tables):
+    """The same test broken off: the second run takes up the state of the first and reads what is new."""
+    folder, kept = scratch_path(t.spark, "samples"), scratch_path(t.spark, "welch")
+    samples = t.events.select((F.col("event_type") == "purchase").alias("label"), "value", "event_id")
+    test = None
+    for half in (0, 1):
+        samples.where(F.col("event_id") % 2 == half).drop("event_id").repartition(2).write.mode("append").parquet(folder)
+        parts = runner.parquet_stream(t.spark, folder, samples.drop("event_id").schema, files_per_batch=1)
+        test = learners.StreamingWelchTest(level=0.0).run(parts, "label", "value", kept)
+    return test.select(F.round("t", 6).alias("t"), F.round("df", 4).alias("df"))
+
+
 @query("j09_stream_welch_p")
 def welch_p(t: Tables):
     samples = t.events.select((F.col("event_type") == "purchase").alias("label"), "value")

@@ -130,9 +130,118 @@ def test_a_stored_batch_is_not_applied_twice(spark):
     assert store.load(1) is None
     model.restore(store.load(0))
     assert (model.weights[0], model.centres[0][0]) == (7.0, 3.0)
+    assert [r["weight"] for r in store.latest()] == [7.0]
     assert df.count() == 2
 
 
+def numbers(i):
+    """A batch of labelled points, with nulls, that differs from batch to batch."""
+    rng = np.random.default_rng(i)
+    rows = [([float(a), float(b)], 1.0, float(a), float(a + b > i / 3), bool(a > 0), float(b) + i / 10) for a, b in rng.normal(0, 1, (40, 2))]
+    return [*rows, (None, 1.0, None, 1.0, None, 2.0), ([0.5, 0.5], 1.0, 0.5, None, True, None)]
+
+
+POINTS = "v array<double>, one double, x double, label double, side boolean, value double"
+LEARNERS = {
+    "kmeans": (lambda: learners.StreamingKMeans([[0.5, 0.0], [-0.5, 0.1]], weight=1.0, decay=0.9), lambda m, s, f: m.train_on(s, "v", f), lambda m: [*m.weights, *m.centres.ravel()]),
+    "linear": (lambda: learners.StreamingLinearRegression(["one", "x"], step=0.5, iterations=20), lambda m, s, f: m.train_on(s, f), lambda m: [*m.weights]),
+    "logistic": (lambda: learners.StreamingLogisticRegression(["one", "x"], step=1.0, iterations=3), lambda m, s, f: m.train_on(s, f), lambda m: [*m.weights]),
+    "welch": (lambda: learners.StreamingWelchTest(level=0.0), lambda m, s, f: m.run(s, "side", "value", f), lambda m: [m.t, m.df, m.p, m.batches]),
+}
+
+
+@pytest.mark.parametrize("name", sorted(LEARNERS))
+def test_a_learner_goes_on_in_a_new_session(spark, name):
+    make, train, numbers_of = LEARNERS[name]
+    whole, parts, kept = scratch_path(spark, "whole"), scratch_path(spark, "parts"), scratch_path(spark, "kept")
+    unbroken = make()
+    for i in range(4):
+        spark.createDataFrame(numbers(i), POINTS).coalesce(1).write.mode("append").parquet(whole)
+    schema = spark.read.parquet(whole).schema
+    # Files are read in the order they were written, one a batch.
+    train(unbroken, runner.parquet_stream(spark, whole, schema, files_per_batch=1), None)
+    for run, batches in enumerate([range(2), range(2, 4), range(0)]):
+        for i in batches:
+            spark.createDataFrame(numbers(i), POINTS).coalesce(1).write.mode("append").parquet(parts)
+        session = spark.newSession()
+        again = make()
+        train(again, runner.parquet_stream(session, parts, schema, files_per_batch=1), kept)
+        if run:
+            assert numbers_of(again) == pytest.approx(numbers_of(unbroken), rel=1e-12)
+        else:
+            assert numbers_of(again) != pytest.approx(numbers_of(unbroken), rel=1e-6)
+
+
+def test_a_version_left_half_written_is_not_taken_up(spark):
+    store = learners.StateStore(spark, "n int")
+    assert store.latest() is None
+    store.save(0, [(1,)])
+    store.save(10, [(2,)])
+    filesystem, path = learners.hadoop_path(spark, f"{store.folder}/batch_id=11")
+    filesystem.mkdirs(path)
+    assert store.latest()[0]["n"] == 2
+
+
+def test_many_centres_as_brute_force(spark):
+    rng = np.random.default_rng(1)
+    points, centres = rng.integers(0, 6, (700, 4)).astype(float), rng.integers(0, 6, (500, 4)).astype(float)
+    slow = [min(range(500), key=lambda c: (((centres[c] - p) ** 2).sum(), c)) for p in points]
+    assert learners.nearest(points, centres).tolist() == slow
+    df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)] + [(700, None)], "i int, v array<double>")
+    model = learners.StreamingKMeans(centres)
+    got = {r["i"]: r["cluster"] for r in model.predict_on(df, "v").collect()}
+    assert [got[i] for i in range(700)] == slow and got[700] is None
+    plans = [learners.StreamingKMeans(centres[:k]).predict_on(df, "v")._jdf.queryExecution().toString() for k in (2, 500)]
+    assert abs(len(plans[0]) - len(plans[1])) < 50
+    model.update(df, "v")
+    for c in set(slow):
+        assert model.centres[c] == pytest.approx(np.mean([p for p, s in zip(points, slow) if s == c], axis=0))
+
+
+def test_wide_gradients_have_small_plans(spark):
+    """One vector is added up, not a column for each pair of features."""
+    rng = np.random.default_rng(2)
+    x, names = rng.normal(0, 1, (50, 30)), [f"f{i}" for i in range(30)]
+    y = x @ np.arange(30) / 30
+    df = spark.createDataFrame([(*map(float, r), float(t)) for r, t in zip(x, y)], ", ".join(f"{n} double" for n in [*names, "label"]))
+    model = learners.StreamingLinearRegression(names, step=0.1, iterations=3)
+    model.update(df)
+    w = np.zeros(30)
+    for i in range(1, 4):
+        w = w - 0.1 / np.sqrt(i) * (x.T @ (x @ w - y)) / 50
+    assert model.weights == pytest.approx(w)
+    logistic = learners.StreamingLogisticRegression(names, step=0.1, iterations=2)
+    logistic.update(df.withColumn("label", (F.col("label") > 0).cast("double")))
+    w = np.zeros(30)
+    for i in range(1, 3):
+        w = w - 0.1 / np.sqrt(i) * (x.T @ (1 / (1 + np.exp(-x @ w)) - (y > 0))) / 50
+    assert logistic.weights == pytest.approx(w)
+    model.update(df.limit(0))
+
+
+def test_windows_close_at_the_end_of_input(spark, clicks):
+    from collections import Counter
+
+    seen = Counter()
+    late = clicks.limit(1)
+    # Spark drops rows behind the watermark of the batch before the last.
+    source = files_of(spark, [clicks, clicks.where("url = '/z'"), late])
+
+    def counts(stream):
+        return metrics.sliding_counts(stream, "ts", "url", "10 seconds", "2 seconds", "5 seconds")
+
+    out = runner.run_to_end(source, "ts", counts, "end", seen=seen)
+    assert {r["url"]: r["n"] for r in in_window(out, 0)} == {"/a": 3, "/b": 1}  # the late click is not in it
+    assert {r["url"]: r["n"] for r in in_window(out, 40)} == {"/z": 2}
+    assert out.where("url = '/z'").count() == 5 and out.where("url is null").count() == 0
+    assert seen["rows"] == 8 and seen["late_rows"] >= 1
+    users = runner.run_to_end(files_of(spark, [clicks]), "ts", lambda s: metrics.active_users(s, "ts", "user", "10 seconds", "2 seconds", "5 seconds"), "end")
+    assert [r["users"] for r in in_window(users, 0)] == [2] and [r["users"] for r in in_window(users, 40)] == [1]
+    assert runner.run_to_end(files_of(spark, [clicks.limit(0)]), "ts", counts, "end").count() == 0
+    with pytest.raises(ValueError):
+        runner.run_to_end(source, "ts", counts, "end", target="x")
+
+
 def test_linear_regression_reaches_least_squares(spark):
     frames = [
         spark.createDataFrame([(1.0, x / 10, 2.0 + 3.0 * x / 10) for x in range(i, 30, 3)], "one double, x double, label double")
