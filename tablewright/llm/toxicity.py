@@ -8,35 +8,78 @@ a long text does not water down a few words.
 
 from __future__ import annotations
 
-from array import array
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pyspark.sql.functions import ArrowUDFType
 
-from tablewright.llm.texts import CACHE_WORDS, fold_of, id_and_bytes
+from tablewright.llm.texts import CACHE_WORDS, MIX, fold_of, id_and_bytes, mixed
 
 BUCKETS, WIDTH = 1 << 17, 8
 GRAMS = (3, 4, 5)
 SEGMENT_WORDS = 12
 #: Bounds of the labelled sample that is fitted on the driver: rows, and bytes of one text in it.
-MAX_ROWS, MAX_TEXT_BYTES = 8192, 32768
-EPOCHS, RATE, SMOOTHING, SEED = 6, 0.0004, 20.0, 7
+MAX_ROWS, MAX_TEXT_BYTES = 8192, 4096
+#: Steps over the whole sample, the step, what stays of the last one, the pull towards 0, and how far the first vectors lie from 0.
+EPOCHS, RATE, MOMENTUM, DECAY, START, SEED = 60, 0.1, 0.9, 0.02, 0.01, 7
 EDGES = "!\"#$%&'()*+,-./:;<=>?[\\]^_`{|}~"
+#: Characters of texts scored at once, and of words hashed at once.
+TEXT_CHARS, WORD_CHARS = 1 << 20, 1 << 18
 
 
-def subwords(word: bytes) -> list[int]:
-    """Buckets of a word's n-grams and of the word itself, punctuation at its edges left off."""
-    text = word.decode("utf-8", "replace").lower()
-    text = f"<{text.strip(EDGES) or text}>"
-    grams = {text} | {text[i : i + n] for n in GRAMS for i in range(len(text) - n + 1)}
-    return [xxhash.xxh32_intdigest(g.encode()) % BUCKETS for g in sorted(grams)]
+@dataclass
+class Subwords:
+    """The n-grams of words: a row of buckets for each character, of which BUCKETS stands for none."""
+
+    buckets: np.ndarray  # (characters, len(GRAMS) + 1)
+    starts: np.ndarray  # the first character of each word
+    sizes: np.ndarray  # how many n-grams each word has
+
+    @classmethod
+    def of(cls, words: list[bytes]) -> Subwords:
+        """Of every word in lower case, punctuation at its edges left off: its n-grams and itself."""
+        plain = [w.decode("utf-8", "replace").lower() for w in words]
+        marked = [f"<{w.strip(EDGES) or w}>" for w in plain]
+        codes = np.frombuffer("".join(marked).encode("utf-32-le"), np.uint32).astype(np.uint64)
+        lengths = np.array([len(w) for w in marked], np.int64)
+        starts = np.append(0, lengths.cumsum()[:-1]) if len(marked) else np.empty(0, np.int64)
+        left = np.repeat(starts + lengths, lengths) - np.arange(len(codes))  # characters up to the word's end
+        buckets = np.full((len(codes), len(GRAMS) + 1), BUCKETS, np.int32)
+        for column, n in enumerate(GRAMS):
+            at = np.flatnonzero(left >= n)
+            total = np.full(len(at), n, np.uint64)
+            for i in range(n):
+                total = total * MIX + codes[at + i]
+            buckets[at, column] = (mixed(total) % np.uint64(BUCKETS)).astype(np.int32)
+        if len(marked):
+            place = (np.arange(len(codes)) - np.repeat(starts, lengths)).astype(np.uint64)
+            whole = np.add.reduceat(mixed(codes * MIX + place), starts)
+            buckets[starts, -1] = (mixed(whole) % np.uint64(BUCKETS)).astype(np.int32)
+        sizes = 1 + sum((np.maximum(lengths - n + 1, 0) for n in GRAMS), np.zeros(len(lengths), np.int64))
+        return cls(buckets, starts, sizes)
+
+    def means(self, margins: np.ndarray) -> np.ndarray:
+        """The mean margin of each word's n-grams."""
+        if not len(self.starts):
+            return np.empty(0)
+        known, each = np.append(margins, 0).astype(np.float32), np.empty(len(self.buckets), np.float32)
+        for at in range(0, len(each), WORD_CHARS):
+            each[at : at + WORD_CHARS] = known[self.buckets[at : at + WORD_CHARS]].sum(1)
+        return np.add.reduceat(each, self.starts).astype(np.float64) / self.sizes
+
+    def spread(self, of_word: np.ndarray) -> np.ndarray:
+        """What each bucket gets when a word hands a number to all its n-grams alike."""
+        lengths = np.diff(np.append(self.starts, len(self.buckets)))
+        each, total = np.repeat(of_word / self.sizes, lengths), np.zeros(BUCKETS + 1)
+        for at in range(0, len(each), WORD_CHARS):
+            part = self.buckets[at : at + WORD_CHARS]
+            total += np.bincount(part.ravel(), np.repeat(each[at : at + WORD_CHARS], part.shape[1]), BUCKETS + 1)
+        return total[:-1]
 
 
 @dataclass
@@ -50,24 +93,17 @@ class Model:
         return self.vectors @ (self.weights[1] - self.weights[0])
 
 
-def log_odds(counts: np.ndarray) -> np.ndarray:
-    """Smoothed log odds of label 1 for every bucket; counts: (2, buckets).  Rare buckets stay near 0."""
-    share = counts.sum(1) / max(counts.sum(), 1)
-    prior = SMOOTHING * share[:, None]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        odds = np.log((counts[1] + prior[1]) / (counts[0] + prior[0])) - np.log(share[1] / share[0])
-    return np.nan_to_num(odds, nan=0.0, posinf=0.0, neginf=0.0)
-
+def train(texts: list[bytes], labels: list[int], epochs: int = EPOCHS) -> Model:
+    """Gradient descent on vectors, softmax and bias together, from a small random start.
 
-def train(texts: list[bytes], labels: list[int]) -> Model:
-    """Gradient descent on vectors, softmax and bias together, started from the buckets' log odds.
-
-    The step of each array is scaled by the root mean square of its gradient,
-    not entry by entry, so a rare n-gram never learns as fast as a common one.
-    The softmax over a document's segments shares out its gradient.
+    The vectors of a segment's words are averaged and go into the softmax.
+    Which segment of a toxic document is toxic is not labelled: the softmax
+    over its segments' logits shares out the document's gradient.  A step is
+    scaled by the root mean square of its whole gradient, not entry by entry,
+    so a rare n-gram never learns as fast as a common one.
     """
     rng = np.random.default_rng(SEED)
-    model = Model(rng.normal(0, 0.01, (BUCKETS, WIDTH)).astype(np.float32), rng.normal(0, 0.01, (2, WIDTH)).astype(np.float32), np.zeros(2))
+    model = Model(rng.normal(0, START, (BUCKETS, WIDTH)).astype(np.float32), rng.normal(0, 1, (2, WIDTH)).astype(np.float32), np.zeros(2))
     if not texts:
         model.vectors[:] = 0
         return model
@@ -78,50 +114,41 @@ def train(texts: list[bytes], labels: list[int]) -> Model:
         cuts = range(0, max(len(part), 1), SEGMENT_WORDS)
         length += [min(SEGMENT_WORDS, len(part) - at) for at in cuts]
         doc_of += [doc] * len(cuts)
-    length, doc_of, token = np.array(length), np.array(doc_of), np.concatenate(ids)
-    packed, sub_len = array("i"), np.empty(len(types), np.int32)
-    for at, word in enumerate(types):
-        grams = subwords(word)
-        packed.extend(grams)
-        sub_len[at] = len(grams)
-    n_types = len(types)
+    length, doc_of, token = np.array(length), np.array(doc_of, np.int32), np.concatenate(ids)
+    words, n_types = Subwords.of(list(types)), len(types)
     del types, ids, texts
-    sub = np.frombuffer(packed, np.int32) if packed else np.empty(0, np.int32)
-    sub_word = np.repeat(np.arange(n_types, dtype=np.int32), sub_len)
     seg_of = np.repeat(np.arange(len(length), dtype=np.int32), length)
     size = np.maximum(length, 1)
     y = np.array(labels, np.float64)
-    of_token = (y[doc_of] > 0.5)[seg_of]
-    counts = np.stack([np.bincount(sub, np.bincount(token[of_token == k], minlength=n_types)[sub_word], BUCKETS) for k in (False, True)])
-    model.vectors[:, 0] += log_odds(counts).astype(np.float32)
-    model.weights[1, 0] += SEGMENT_WORDS
     starts = np.flatnonzero(np.append(True, doc_of[1:] != doc_of[:-1]))
-    params = [model.vectors, model.weights, model.bias]
-    moves = [np.zeros_like(p) for p in params]
-    for epoch in range(EPOCHS):
+    prior = np.log((y.sum() + 1) / (len(y) - y.sum() + 1))
+    model.bias[:] = -prior / 2, prior / 2
+    moves = [np.zeros_like(model.vectors), np.zeros_like(model.weights)]
+    for epoch in range(epochs):
         gap = model.weights[1] - model.weights[0]
-        of_word = np.bincount(sub_word, (model.vectors @ gap)[sub], n_types) / sub_len
-        of_segment = np.bincount(seg_of, of_word[token], len(length)) / size
+        of_segment = np.bincount(seg_of, words.means(model.vectors @ gap)[token], len(length)) / size
         top = np.maximum.reduceat(of_segment, starts)
-        if epoch in (0, EPOCHS - 1):
-            scale, bias = calibrated(top, y)
-            model.weights *= scale
-            model.bias[:] = -bias / 2, bias / 2
-            gap, of_segment, top = gap * scale, of_segment * scale, top * scale
         share = np.exp(of_segment - top[doc_of])
         share /= np.bincount(doc_of, share)[doc_of]
         error = 1 / (1 + np.exp(-np.clip(top + model.bias[1] - model.bias[0], -30, 30))) - y
-        to_segment = error[doc_of] * share / len(y) / size
-        to_word = np.bincount(token, to_segment[seg_of], n_types) / sub_len
-        to_bucket = np.bincount(sub, to_word[sub_word], BUCKETS).astype(np.float32)
+        to_word = np.bincount(token, (error[doc_of] * share / size)[seg_of], n_types)
+        to_bucket = words.spread(to_word).astype(np.float32)
         pull = to_bucket @ model.vectors
-        grads = [to_bucket[:, None] * gap, np.stack([-pull, pull]), np.array([-error.mean(), error.mean()])]
-        # Vectors and bias of logit scale; weights in proportion to their own size.
-        reach = [float(np.sqrt((model.vectors[:, 0] ** 2).mean())) * 20, float(np.abs(model.weights).max()), 2.0]
-        for p, g, m, r in zip(params, grads, moves, reach):
-            m *= 0.8
-            m += g / (np.sqrt((g[g != 0] ** 2).mean()) + 1e-30) if (g != 0).any() else 0
-            p -= (RATE * r * (1 - epoch / EPOCHS) * 0.2 * m).astype(p.dtype)
+        grads = [to_bucket[:, None] * gap, np.stack([-pull, pull])]
+        step = RATE * (1 - epoch / epochs)
+        for p, g, m in zip([model.vectors, model.weights], grads, moves):
+            norm = float(np.sqrt((g[g != 0] ** 2).mean())) if (g != 0).any() else 1.0
+            m *= MOMENTUM
+            m += (1 - MOMENTUM) * g / norm
+            p -= (step * m + step * DECAY * p).astype(p.dtype)
+        scale, bias = calibrated(top, y)
+        model.bias[:] = -bias / 2, bias / 2
+        model.weights *= np.clip(scale, 0.5, 2)
+    gap = model.weights[1] - model.weights[0]
+    top = np.maximum.reduceat(np.bincount(seg_of, words.means(model.vectors @ gap)[token], len(length)) / size, starts)
+    scale, bias = calibrated(top, y)
+    model.weights *= scale
+    model.bias[:] = -bias / 2, bias / 2
     return model
 
 
@@ -139,20 +166,28 @@ def calibrated(top: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 class WordMargins(dict):
-    """word -> its logit, filled on demand."""
+    """word -> its logit, learnt for the words of some texts at a time."""
 
     def __init__(self, margins: np.ndarray):
         self.margins = margins
 
-    def __missing__(self, word: bytes) -> float:
-        if len(self) >= CACHE_WORDS:
+    def learn(self, words: set[bytes]) -> None:
+        if len(self) + len(words) > CACHE_WORDS // 4:
             self.clear()
-        value = self[word] = float(self.margins[subwords(word)].mean())
-        return value
-
-
-def score_text(text: bytes, words: WordMargins, bias: float) -> float:
-    values = np.fromiter(map(words.__getitem__, text.split()), np.float64)
+        run, chars = [], 0
+        for word in words:
+            if word in self:
+                continue
+            run.append(word)
+            chars += len(word)
+            if chars > WORD_CHARS:
+                self.update(zip(run, Subwords.of(run).means(self.margins).tolist()))
+                run, chars = [], 0
+        self.update(zip(run, Subwords.of(run).means(self.margins).tolist()))
+
+
+def score_text(words: list[bytes], margins: dict[bytes, float], bias: float) -> float:
+    values = np.fromiter(map(margins.__getitem__, words), np.float64, len(words))
     top = 0.0
     if len(values):
         starts = np.arange(0, len(values), SEGMENT_WORDS)
@@ -160,6 +195,18 @@ def score_text(text: bytes, words: WordMargins, bias: float) -> float:
     return float(1 / (1 + np.exp(-np.clip(top + bias, -30, 30))))
 
 
+def scores(texts: list[bytes], margins: WordMargins, bias: float):
+    """The score of each text, a bounded number of characters at a time."""
+    run, chars = [], 0
+    for at, text in enumerate(texts):
+        run.append(text.split())
+        chars += len(text)
+        if chars > TEXT_CHARS or at == len(texts) - 1:
+            margins.learn(set().union(*run))
+            yield from (score_text(words, margins, bias) for words in run)
+            run, chars = [], 0
+
+
 def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, folds: int, max_rows: int, max_text_bytes: int) -> tuple[list[bytes], list[int]]:
     """A bounded sample of labelled rows outside fold 0, in the order of a hash of the id."""
     known = labels.select(labels[id_col].alias("id"), labels[label_col].cast("int").alias("label")).where("id is not null and label is not null")
@@ -184,7 +231,7 @@ def fitted(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
         margins, bias = sent.value
         words = WordMargins(margins)
         for part in parts:
-            yield pa.array([score_text(text, words, bias) for text in part.to_pylist()], pa.float64())
+            yield pa.array(list(scores(part.to_pylist(), words, bias)), pa.float64())
 
     scorer = F.arrow_udf(score, "double", functionType=ArrowUDFType.SCALAR_ITER)
     return lambda text: scorer(F.coalesce(text, F.lit("")).cast("binary"))
