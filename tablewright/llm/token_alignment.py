@@ -33,7 +33,7 @@ BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Id pairs of a counted table that is sent to every task (16 bytes each); a larger one is joined by a shuffle.
 SENT_PAIRS = 2_000_000
 #: Texts aligned at once, and their characters; stretches a task remembers, and the characters of the longest of them.
-BATCH_TEXTS, BATCH_CHARS, REMEMBERED, LONGEST = 256, 1 << 20, 50_000, 64
+BATCH_TEXTS, BATCH_CHARS, REMEMBERED, LONGEST = 256, 1 << 20, 100_000, 64
 #: Before such a space neither tokenizer's tokens go on.
 BOUNDARY = re.compile(r"(?<=\S)(?= )")
 #: A text of more than one row in HOT_SHARE is dealt over SALTS tasks when measures go back to ids.
@@ -149,8 +149,13 @@ class Stretches(dict):
 
     def __init__(self, a: Side, b: Side):
         self.a, self.b = a, b
+        self.before: dict[str, Alignment | None] = {}
+        self.long: list[str] = []
 
     def learn(self, stretches: list[str]) -> None:
+        self.update((s, self.before[s]) for s in stretches if s in self.before)
+        stretches = [s for s in stretches if s not in self.before]
+        self.long += [s for s in stretches if len(s) > LONGEST]
         # White space at the end would run on into the next one.
         plain = [s for s in stretches if not s[-1].isspace()]
         found = align(self.a, self.b, plain) if plain else []
@@ -161,11 +166,13 @@ class Stretches(dict):
                 self[text] = (align(self.a, self.b, [text]) or [None])[0]
 
     def forget(self) -> None:
-        """Keep memory bounded: long stretches go at once, all of them when they are many."""
+        """Keep memory bounded: long stretches go at once, others when REMEMBERED more have come without them."""
+        for long in [s for s in self.long if s in self]:
+            del self[long]
+        self.long.clear()
         if len(self) > REMEMBERED:
+            self.before = dict(self)
             self.clear()
-        for long in [s for s in self if len(s) > LONGEST]:
-            del self[long]
 
 
 def aligned(known: Stretches, texts: list[str]):
