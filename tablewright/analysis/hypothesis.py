@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.ml.stat import ChiSquareTest, KolmogorovSmirnovTest
-from pyspark.sql import DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.stat import ChiSquareTest
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.functions import ArrowUDFType
 
 from tablewright.operators.ordering import running_total
 
@@ -56,10 +59,104 @@ def chi_square_goodness(
     )
 
 
+def normal_probability(value: Column, mean: float, deviation: float) -> Column:
+    """The normal distribution function, which Spark does not have: half the complementary error function."""
+    scale = deviation * math.sqrt(2)
+
+    def below(column: pa.Array) -> pa.Array:
+        values = column.to_numpy(zero_copy_only=False)
+        return pa.array([0.5 * math.erfc((mean - v) / scale) for v in values], pa.float64())
+
+    return F.arrow_udf(below, "double", functionType=ArrowUDFType.SCALAR)(value)
+
+
+def kolmogorov_p(statistic: float, n: int) -> float:
+    """Probability that n draws lie at least that far from their own distribution.
+
+    Exact up to EXACT_N draws, by the power of a matrix whose size follows
+    n * statistic; the limiting series beyond, with its corrections in 1 / n.
+    """
+    if not n or math.isnan(statistic):
+        return math.nan
+    if statistic * n <= 0.5:
+        return 1.0
+    if statistic >= 1:
+        return 0.0
+    if n <= EXACT_N:
+        return min(1.0, max(0.0, 1.0 - _kolmogorov_exact(statistic, n)))
+    x = statistic * math.sqrt(n)
+    x += 1 / (6 * math.sqrt(n)) + (x - 1) / (4 * n)
+    if x < 0.3:
+        return 1.0
+    total = sum((-1) ** (j - 1) * math.exp(-2 * j * j * x * x) for j in range(1, 101))
+    return min(1.0, max(0.0, 2 * total))
+
+
+#: Draws up to which the Kolmogorov distribution is taken exactly.
+EXACT_N = 1000
+
+
+def _kolmogorov_exact(statistic: float, n: int) -> float:
+    """P(D_n < statistic) = n! / n^n times the middle entry of H^n, H of size 2k - 1 with k = ceil(n * statistic)."""
+    k = math.ceil(n * statistic)
+    m, h = 2 * k - 1, k - n * statistic
+    i, j = np.indices((m, m))
+    matrix = (i - j + 1 >= 0).astype(float)
+    powers = h ** np.arange(1, m + 1)
+    matrix[:, 0] -= powers
+    matrix[-1, :] -= powers[::-1]
+    if 2 * h > 1:
+        matrix[-1, 0] += (2 * h - 1) ** m
+    matrix /= np.array([math.factorial(max(d, 0)) for d in range(m + 1)], float)[np.clip(i - j + 1, 0, m)]
+    power, exponent, result, shift = matrix, 0, np.eye(m), 0
+    left = n
+    while left:
+        if left & 1:
+            result, shift = result @ power, shift + exponent
+            result, shift = _scaled(result, shift)
+        power, exponent = _scaled(power @ power, 2 * exponent)
+        left >>= 1
+    log_value = math.log(max(result[k - 1, k - 1], 1e-300)) + shift * math.log(2) + math.lgamma(n + 1) - n * math.log(n)
+    return math.exp(min(log_value, 0.0))
+
+
+def _scaled(matrix: np.ndarray, exponent: int) -> tuple[np.ndarray, int]:
+    """The matrix over a power of two, so that high powers neither overflow nor vanish."""
+    top = float(matrix.max())
+    if 1e-100 < top < 1e100 or top <= 0:
+        return matrix, exponent
+    by = math.frexp(top)[1]
+    return matrix * 2.0**-by, exponent + by
+
+
 def ks_normal(df: DataFrame, column: str, mean: float = 0.0, deviation: float = 1.0) -> DataFrame:
-    """One-sample Kolmogorov-Smirnov test against a normal distribution."""
-    sample = df.select(F.col(column).cast("double").alias(column))
-    return KolmogorovSmirnovTest.test(sample, column, "norm", mean, deviation)
+    """One-sample Kolmogorov-Smirnov test against a normal distribution: pValue, statistic.
+
+    Nulls are left out; without values both are null.  Values are counted
+    first and accumulated by a distributed running total.
+    """
+    if deviation is None or not deviation > 0:
+        raise ValueError("the deviation of a normal distribution is positive")
+    sample = df.select(F.col(column).cast("double").alias("value")).where("value is not null")
+    steps, n = _steps(sample, "value")
+    farthest = steps.withColumn("probability", normal_probability(F.col("value"), float(mean), float(deviation)))
+    found = _farthest(farthest, n).first()
+    row = (None, None) if found["statistic"] is None else (kolmogorov_p(found["statistic"], found["n"]), found["statistic"])
+    return df.sparkSession.createDataFrame([row], "pValue double, statistic double")
+
+
+def _steps(df: DataFrame, column: str) -> tuple[DataFrame, Column]:
+    """(value, _n, _upto) for each distinct value, and how many there are in all."""
+    counts = df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("_n"))
+    steps = running_total(counts, ["value"], "_n", "_upto")
+    return steps, steps.agg(F.max("_upto")).scalar()
+
+
+def _farthest(steps: DataFrame, n: Column) -> DataFrame:
+    """One row: the largest distance of the steps from `probability`, above or below, and the sample's size n."""
+    above = F.col("_upto") / n - F.col("probability")
+    below = F.col("probability") - (F.col("_upto") - F.col("_n")) / n
+    return steps.agg(F.max(F.greatest(above, below)).alias("statistic"), F.max("_upto").alias("n"))
 
 
 def ks_custom(df: DataFrame, column: str, cdf: DataFrame) -> DataFrame:
@@ -68,14 +165,10 @@ def ks_custom(df: DataFrame, column: str, cdf: DataFrame) -> DataFrame:
     Values are counted, accumulated by a distributed running total and joined
     with the table; a sample value that is not in the table is an error.
     """
-    counts = df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("_n"))
-    steps = running_total(counts, ["value"], "_n", "_upto")
-    n = steps.agg(F.max("_upto")).scalar()
-    above = F.col("_upto") / n - F.col("probability")
-    below = F.col("probability") - (F.col("_upto") - F.col("_n")) / n
+    steps, n = _steps(df, column)
     unknown = F.raise_error(F.lit("a sample value is not in the table of the distribution")).cast("double")
     steps = steps.join(cdf, "value", "left").withColumn("probability", F.coalesce(F.col("probability").cast("double"), unknown))
-    return steps.agg(F.max(F.greatest(above, below)).alias("statistic"))
+    return _farthest(steps, n).select("statistic")
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tablewright.catalog.aggregations import TITLE_TOKENS_SQL
 from tablewright.catalog.registry import Tables, query
 from tablewright.functions import features as ft, text
+from tablewright.learning import spectral
 
 # Words as the white-space tokenizer makes them: trailing blanks give no word.
 WORDS_SQL = r"""SELECT doc_id, string_split_regex(regexp_replace(lower(text), '\s+$', ''), '\s') AS words
@@ -166,20 +167,34 @@ def binarizer(t: Tables):
 
 @query("k09_pca")
 def pca(t: Tables):
-    vectors = ft.array_vector(t.embeddings, "embedding").select("vec_id", "features")
-    model = ft.pca_model(vectors, "features", 4)
-    projected = ft.vector_rows(model.transform(vectors), ["vec_id"], "pca")
+    model = spectral.principal_components(t.embeddings, "embedding", 4)
+    projected = model.transform(t.embeddings, "embedding").select("vec_id", F.posexplode("pca").alias("pos", "value"))
     return projected.withColumn("value", F.abs("value"))
 
 
 @query("k09_pca_variance")
 def pca_variance(t: Tables):
-    vectors = ft.array_vector(t.embeddings, "embedding")
-    shares = ft.pca_model(vectors, "features", 5).explainedVariance.toArray()
+    shares = spectral.principal_components(t.embeddings, "embedding", 5).explained
     rows = [(i, round(float(v), 6)) for i, v in enumerate(shares)]
     return t.spark.createDataFrame(rows, "component int, explained double")
 
 
+PAIR_SQL = """WITH s AS (SELECT var_samp(l_quantity) AS a, covar_samp(l_quantity, l_tax) AS b, var_samp(l_tax) AS c FROM lineitem),
+  e AS (SELECT (a + c) / 2 + sqrt(power((a - c) / 2, 2) + b * b) AS top, a + c AS whole FROM s)"""
+
+
+@query(
+    "k09_pca_variance_pair",
+    f"""{PAIR_SQL} SELECT 0 AS component, round(top / whole, 6) AS explained FROM e
+        UNION ALL SELECT 1, round(1 - top / whole, 6) FROM e""",
+)
+def pca_variance_pair(t: Tables):
+    """Two columns have a closed form."""
+    pairs = t.lineitem.select(F.array(F.col("l_quantity").cast("double"), F.col("l_tax").cast("double")).alias("v"))
+    shares = spectral.principal_components(pairs, "v", 2).explained
+    df = t.spark.createDataFrame([(i, float(v)) for i, v in enumerate(shares)], "component int, explained double")
+    return df.withColumn("explained", F.round("explained", 6))
+
 
 @query(
     "k10_polynomial_expansion",

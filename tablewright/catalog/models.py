@@ -6,10 +6,12 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tablewright.analysis import evaluation, sampling, summary
+from tablewright.catalog.aggregations import TITLE_TOKENS_SQL
 from tablewright.catalog.registry import Tables, query
 from tablewright.functions import features as ft, text
-from tablewright.learning import classification as cl, clustering, regression as rg
+from tablewright.learning import classification as cl, clustering, regression as rg, spectral, topics
 from tablewright.operators import patterns
+from tablewright.storage import cut_lineage
 
 # --- inputs -----------------------------------------------------------------
 
@@ -421,28 +423,43 @@ def bisecting_groups(t: Tables):
     return sized_centres(clustering.bisecting_kmeans(rows, 2), rows)
 
 
+def title_terms(t: Tables):
+    """The words of every document, counted; words of at least four documents."""
+    docs = t.documents.select("doc_id", text.title_tokens(F.col("text")).alias("tokens"))
+    return cut_lineage(topics.term_counts(docs, "doc_id", "tokens", 4.0), "title-terms")
+
+
 @query("p04_lda")
 def lda(t: Tables):
-    docs = t.documents.select("doc_id", text.title_tokens(F.col("text")).alias("tokens"))
-    model, vocabulary, counts = clustering.topics(docs, "tokens", 10, 10, least_documents=4.0)
-    return clustering.topic_terms(model, vocabulary, 3)
+    return topics.fit_topics(title_terms(t), 10).top_terms(3)
 
 
 @query("p04_lda_fit")
 def lda_fit(t: Tables):
     """Likelihood and perplexity of the topic model over its documents."""
-    docs = t.documents.select("doc_id", text.title_tokens(F.col("text")).alias("tokens"))
-    model, _, counts = clustering.topics(docs, "tokens", 10, 10, least_documents=4.0)
-    rows = [("log_likelihood", model.logLikelihood(counts)), ("log_perplexity", model.logPerplexity(counts))]
-    return t.spark.createDataFrame(rows, "metric string, value double")
+    counts = title_terms(t)
+    return topics.fit_topics(counts, 10).log_likelihood(counts)
 
 
 @query("p04_lda_documents")
 def lda_documents(t: Tables):
     """Mix of topics of every document."""
-    docs = t.documents.select("doc_id", text.title_tokens(F.col("text")).alias("tokens"))
-    model, _, counts = clustering.topics(docs, "tokens", 10, 10, least_documents=4.0)
-    return model.transform(counts).select("doc_id", vector_to_array("topicDistribution").alias("mix"))
+    counts = title_terms(t)
+    return topics.fit_topics(counts, 10).documents(counts).withColumnRenamed("doc", "doc_id")
+
+
+@query(
+    "p04_lda_one_topic",
+    f"""WITH w AS (SELECT doc_id, token AS term FROM ({TITLE_TOKENS_SQL})),
+          k AS (SELECT term FROM w GROUP BY term HAVING count(DISTINCT doc_id) >= 4),
+          c AS (SELECT term, count(*) AS n FROM w WHERE term IN (SELECT term FROM k) GROUP BY term)
+        SELECT term, round((n + 1.0) / (SELECT sum(n + 1.0) FROM c), 12) AS weight FROM c""",
+)
+def lda_one_topic(t: Tables):
+    """A single topic has a closed form: the smoothed share of each term."""
+    model = topics.fit_topics(title_terms(t), 1, steps=2)
+    whole = float(model.totals()[0])
+    return model.terms.select("term", F.round(F.col("weights")[0] / whole, 12).alias("weight"))
 
 
 def brand_ratings(t: Tables):
@@ -465,7 +482,7 @@ def als(t: Tables):
 
 @query("p06_svd")
 def svd(t: Tables):
-    values, right = clustering.singular_values(t.embeddings, "embedding", 64, 5)
+    values, right = spectral.singular_values(t.embeddings, "embedding", 64, 5)
     rows = [(i, float(s)) for i, s in enumerate(values)]
     return t.spark.createDataFrame(rows, "place int, singular_value double")
 
@@ -480,14 +497,14 @@ def svd(t: Tables):
 def svd_pair(t: Tables):
     """Two columns have a closed form."""
     pairs = t.lineitem.select(F.array(F.col("l_quantity").cast("double"), F.col("l_tax").cast("double")).alias("v"))
-    values, _ = clustering.singular_values(pairs, "v", 2, 2)
+    values, _ = spectral.singular_values(pairs, "v", 2, 2)
     df = t.spark.createDataFrame([(i, float(v)) for i, v in enumerate(values)], "place int, singular_value double")
     return df.withColumn("singular_value", F.round("singular_value", 3))
 
 
 @query("p06_svd_left")
 def svd_left(t: Tables):
-    values, right = clustering.singular_values(t.embeddings, "embedding", 64, 5)
+    values, right = spectral.singular_values(t.embeddings, "embedding", 64, 5)
     left = clustering.left_vectors(t.embeddings, "embedding", values, right)
     slots = left.select("vec_id", F.posexplode("u").alias("pos", "value"))
     return slots.withColumn("value", F.round(F.abs("value"), 6))

@@ -141,6 +141,20 @@ def ks_normal(t: Tables):
     return hypothesis.ks_normal(t.customer, "c_acctbal", moments["m"], moments["s"])
 
 
+@query(
+    "n06_ks_statistic",
+    """WITH z AS (SELECT c_acctbal AS v, (c_acctbal - m) / s AS z FROM customer,
+         (SELECT avg(c_acctbal) AS m, stddev_samp(c_acctbal) AS s FROM customer)),
+       steps AS (SELECT v, any_value(z) AS z, count(*) AS n, sum(count(*)) OVER (ORDER BY v) AS upto FROM z GROUP BY v),
+       p AS (SELECT *, 0.5 + exp(-z * z / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 60),
+           lambda i: power(z, 2 * i + 1) / exp(lgamma(2 * i + 2) - i * ln(2) - lgamma(i + 1)))) AS p FROM steps)
+       SELECT round(max(greatest(upto / total - p, p - (upto - n) / total)), 9) AS statistic
+       FROM p, (SELECT count(*) AS total FROM customer)""",
+)
+def ks_normal_statistic(t: Tables):
+    return ks_normal(t).select(F.round("statistic", 9).alias("statistic"))
+
+
 @query(
     "n07_ks_custom_cdf",
     """WITH counts AS (SELECT l_quantity AS v, count(*) AS n FROM lineitem GROUP BY 1),

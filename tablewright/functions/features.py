@@ -127,10 +127,6 @@ def binarize(df: DataFrame, column: str, threshold: float = 0.5, output: str = "
     return mlf.Binarizer(threshold=threshold, inputCol=column, outputCol=output).transform(df)
 
 
-def pca_model(df: DataFrame, vector: str, k: int, output: str = "pca") -> mlf.PCAModel:
-    return mlf.PCA(k=k, inputCol=vector, outputCol=output).fit(df)
-
-
 def polynomial(
     df: DataFrame, vector: str, degree: int = 3, output: str = "expanded"
 ) -> DataFrame:

@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
-import pyarrow as pa
 from pyspark.ml import clustering as mlc
-from pyspark.ml.feature import CountVectorizer
 from pyspark.ml.recommendation import ALS, ALSModel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tablewright.learning.spectral import turned
+
 
 def kmeans(df: DataFrame, k: int = 2, max_iter: int = 20, seed: int = 1) -> mlc.KMeansModel:
     return mlc.KMeans(k=k, maxIter=max_iter, seed=seed).fit(df)
@@ -25,30 +22,6 @@ def gaussian_mixture(df: DataFrame, k: int = 2, seed: int = 1) -> mlc.GaussianMi
     return mlc.GaussianMixture(k=k, seed=seed).fit(df)
 
 
-def topics(
-    df: DataFrame, tokens: str, k: int = 10, max_iter: int = 10, least_documents: float = 2.0, seed: int = 1
-) -> tuple[mlc.LDAModel, list[str], DataFrame]:
-    """Topic model of token lists: the model, its vocabulary and the counts."""
-    terms = df.select(F.explode(tokens).alias("term")).distinct().count()  # room for all of them
-    vectorizer = CountVectorizer(inputCol=tokens, outputCol="features", minDF=least_documents, vocabSize=max(terms, 1))
-    counter = vectorizer.fit(df)
-    counts = counter.transform(df)
-    model = mlc.LDA(k=k, maxIter=max_iter, seed=seed).fit(counts)
-    return model, counter.vocabulary, counts
-
-
-def topic_terms(model: mlc.LDAModel, vocabulary: list[str], n: int = 3) -> DataFrame:
-    """The n heaviest terms of each topic."""
-    described = model.describeTopics(n)
-    spark = described.sparkSession
-    rows = [
-        (r["topic"], place, vocabulary[i], float(w))
-        for r in described.collect()
-        for place, (i, w) in enumerate(zip(r["termIndices"], r["termWeights"]))
-    ]
-    return spark.createDataFrame(rows, "topic int, place int, term string, weight double")
-
-
 def recommender(
     df: DataFrame,
     user: str = "user",
@@ -73,42 +46,6 @@ def recommender(
     return learner.fit(df)
 
 
-def gram_matrix(df: DataFrame, values: str, dimensions: int) -> np.ndarray:
-    """X'X of an array column: each task adds up its own rows, and only
-    dimensions squared sums are combined.  A null row adds nothing."""
-
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((dimensions, dimensions))
-        for batch in batches:
-            if batch.num_rows:
-                x = batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, dimensions)
-                total += x.T @ x
-        rows, columns = np.indices(total.shape)
-        arrays = [pa.array(rows.ravel(), pa.int32()), pa.array(columns.ravel(), pa.int32()), pa.array(total.ravel())]
-        yield pa.RecordBatch.from_arrays(arrays, names=["i", "j", "v"])
-
-    sums = (
-        df.select(values)
-        .mapInArrow(partial, "i int, j int, v double")
-        .groupBy("i", "j")
-        .agg(F.sum("v").alias("v"))
-        .collect()
-    )
-    gram = np.zeros((dimensions, dimensions))
-    for row in sums:
-        gram[row["i"], row["j"]] = row["v"]
-    return gram
-
-
-def singular_values(
-    df: DataFrame, values: str, dimensions: int, k: int
-) -> tuple[np.ndarray, np.ndarray]:
-    """The k largest singular values and their right vectors, as columns."""
-    squares, vectors = np.linalg.eigh(gram_matrix(df, values, dimensions))
-    order = np.argsort(squares)[::-1][:k]
-    return np.sqrt(np.clip(squares[order], 0, None)), vectors[:, order]
-
-
 def left_vectors(
     df: DataFrame, values: str, singular: np.ndarray, right: np.ndarray, output: str = "u"
 ) -> DataFrame:
@@ -118,14 +55,7 @@ def left_vectors(
     zero has zeros.
     """
     scaled = right * np.divide(1.0, singular, out=np.zeros_like(singular), where=singular > 0)
-
-    @F.pandas_udf("array<double>")
-    def rotated(batch: pd.Series) -> pd.Series:
-        given = batch.dropna()
-        rows = np.stack(given.to_list()) @ scaled if len(given) else []
-        return pd.Series(list(rows), index=given.index, dtype=object).reindex(batch.index)
-
-    return df.withColumn(output, rotated(values))
+    return df.withColumn(output, turned(df.sparkSession, F.col(values), scaled))
 
 
 def components(model: mlc.GaussianMixtureModel) -> DataFrame:

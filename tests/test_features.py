@@ -9,6 +9,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from tablewright.functions import features as ft, scalars, text
+from tablewright.learning import spectral
 
 
 def values(df, column):
@@ -166,10 +167,10 @@ def test_word2vec_means_and_unknown_words(spark):
 
 
 def test_pca_of_the_published_vectors(spark):
-    rows = [(Vectors.sparse(5, [(1, 1.0), (3, 7.0)]),), (Vectors.dense(2, 0, 3, 4, 5),), (Vectors.dense(4, 0, 0, 6, 7),)]
-    df = spark.createDataFrame(rows, ["v"])
-    model = ft.pca_model(df, "v", 3)
-    shares = model.explainedVariance.toArray()
+    rows = [([0.0, 1.0, 0.0, 7.0, 0.0],), ([2.0, 0.0, 3.0, 4.0, 5.0],), ([4.0, 0.0, 0.0, 6.0, 7.0],)]
+    df = spark.createDataFrame(rows, "v array<double>")
+    model = spectral.principal_components(df, "v", 3)
+    shares = model.explained
     assert sum(shares) == pytest.approx(1.0)
     assert all(a >= b for a, b in zip(shares, shares[1:]))
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tablewright.analysis import evaluation, sampling
 from tablewright.functions import features as ft
-from tablewright.learning import classification as cl, clustering, regression as rg
+from tablewright.learning import classification as cl, clustering, regression as rg, spectral, topics
 from tablewright.operators import patterns
 
 BASKETS = ["r z h k p", "z y x w v u t s", "s x o n r", "x z y m t s q e", "z", "x z y r q t p"]
@@ -132,17 +132,145 @@ def test_clusters_of_the_published_rows(spark):
 def test_singular_values_equal_numpy(spark):
     x = np.array([[0, 1, 0, 7, 0], [2, 0, 3, 4, 5], [4, 0, 0, 6, 7]], dtype=float)
     df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "i int, v array<double>").repartition(3)
-    values, right = clustering.singular_values(df, "v", 5, 3)
+    values, right = spectral.singular_values(df, "v", 5, 3)
     assert np.allclose(values, np.linalg.svd(x)[1])
     left = np.array([r["u"] for r in clustering.left_vectors(df, "v", values, right).orderBy("i").collect()])
     assert np.allclose(left * values @ right.T, x)
-
-
-def test_topics_have_weights(spark):
-    df = spark.createDataFrame([(["cat", "dog"] * 3,), (["sun", "moon"] * 3,), (["cat", "sun"],)], "tokens array<string>")
-    model, vocabulary, counts = clustering.topics(df, "tokens", k=2, max_iter=5, least_documents=1.0)
-    terms = clustering.topic_terms(model, vocabulary, 2).collect()
-    assert len(terms) == 4 and all(r["weight"] > 0 for r in terms)
+    nothing = spark.createDataFrame([(1, None), (2, [1.0] * 5)], "i int, v array<double>").coalesce(1)
+    assert [r["u"] is None for r in clustering.left_vectors(nothing, "v", values, right).orderBy("i").collect()] == [True, False]
+
+
+@pytest.mark.parametrize("rows, columns, k", [(2000, 500, 5), (40, 12, 12), (3, 60, 5)])
+def test_leading_vectors_equal_numpy(spark, rows, columns, k):
+    """A matrix product a step, whose widest array is columns by some k."""
+    rng = np.random.default_rng(rows)
+    x = rng.normal(0, 1, (rows, columns)) * np.linspace(3, 0.1, columns)
+    calls = []
+
+    def multiply(block):
+        calls.append(block.shape[1])
+        return x.T @ (x @ block)
+
+    values, vectors = spectral.largest(multiply, columns, k)
+    exact = np.linalg.svd(x)[1]
+    assert np.allclose(np.sqrt(np.clip(values, 0, None))[: len(exact)], exact[:k], rtol=1e-6, atol=1e-4)
+    assert max(calls) <= k + spectral.SPARE and len(calls) < spectral.STEPS
+    assert np.allclose(vectors.T @ vectors, np.eye(k), atol=1e-8)
+
+
+def test_equal_and_zero_singular_values(spark):
+    df = spark.createDataFrame([([2.0, 0.0, 0.0],), ([0.0, 2.0, 0.0],), (None,)], "v array<double>")
+    values, right = spectral.singular_values(df, "v", 3, 3)
+    assert np.allclose(values, [2, 2, 0]) and np.allclose(right.T @ right, np.eye(3))
+    assert np.allclose(spectral.singular_values(df.limit(0), "v", 3, 2)[0], 0)
+
+
+def test_principal_components_equal_numpy(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(0, 1, (300, 40)) * np.linspace(2, 0.1, 40) + 1000
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)] + [(300, None)], "i int, v array<double>").repartition(3)
+    model = spectral.principal_components(df, "v", 4)
+    spread, directions = np.linalg.eigh(np.cov(x.T))
+    assert np.allclose(model.explained, spread[::-1][:4] / spread.sum(), rtol=1e-6)
+    got = {r["i"]: r["pca"] for r in model.transform(df, "v").collect()}
+    assert np.allclose(np.abs([got[i] for i in range(300)]), np.abs(x @ directions[:, ::-1][:, :4]), rtol=1e-4, atol=1e-3)
+    assert got[300] is None
+
+
+def slow_topics(counts, k, steps, first):
+    """The same inference in plain Python, a document at a time; counts: {doc: {term: n}}."""
+    from math import exp
+
+    def dg(x):
+        return float(topics.digamma(np.array([x]))[0])
+
+    weights = {t: list(first(t)) for doc in counts.values() for t in doc}
+    for _ in range(steps):
+        totals = [sum(w[j] for w in weights.values()) for j in range(k)]
+        beta = {t: [exp(dg(w[j]) - dg(totals[j])) for j in range(k)] for t, w in weights.items()}
+        new = {t: [1 / k] * k for t in weights}
+        for doc in counts.values():
+            gamma = [1 / k + sum(doc.values()) / k] * k
+            for _ in range(topics.MIX_STEPS):
+                theta = [exp(dg(g) - dg(sum(gamma))) for g in gamma]
+                moved = [1 / k + sum(n * theta[j] * beta[t][j] / sum(theta[i] * beta[t][i] for i in range(k)) for t, n in doc.items()) for j in range(k)]
+                change = sum(abs(a - b) for a, b in zip(gamma, moved)) / k
+                gamma = moved
+                if change < topics.MIX_CHANGE:
+                    break
+            theta = [exp(dg(g) - dg(sum(gamma))) for g in gamma]
+            for t, n in doc.items():
+                whole = sum(theta[i] * beta[t][i] for i in range(k))
+                for j in range(k):
+                    new[t][j] += n * theta[j] * beta[t][j] / whole
+        weights = new
+    return weights
+
+
+def test_topics_equal_plain_python(spark, monkeypatch):
+    rng = random.Random(3)
+    docs = [(i, [rng.choice("abcdefgh" if i % 2 else "ghijklmn") for _ in range(rng.randint(1, 30))]) for i in range(25)] + [(99, []), (None, ["a", None])]
+    df = spark.createDataFrame(docs, "id int, words array<string>")
+    counts = topics.term_counts(df, "id", "words")
+    plain = {d: Counter(w for w in words if w) for d, words in docs if any(words)}
+    monkeypatch.setattr(topics, "BLOCK_ROWS", 7)  # documents run over blocks
+    model = topics.fit_topics(counts, 3, steps=4)
+    names = sorted({t for c in plain.values() for t in c})
+    first = {r["t"]: r["w"] for r in spark.createDataFrame([(t,) for t in names], "t string").select("t", topics.first_weights(F.col("t"), 3, 1).alias("w")).collect()}
+    want = slow_topics(plain, 3, 4, first.__getitem__)
+    got = {r["term"]: r["weights"] for r in model.terms.collect()}
+    assert set(got) == set(want)
+    for t in want:
+        assert got[t] == pytest.approx(want[t], rel=1e-6)
+    mixes = {r["doc"]: r["mix"] for r in model.documents(counts).collect()}
+    assert set(mixes) == set(plain) and all(sum(m) == pytest.approx(1) for m in mixes.values())
+    totals = [sum(w[j] for w in want.values()) for j in range(3)]
+    likely = sum(n * np.log(sum(mixes[d][j] * want[t][j] / totals[j] for j in range(3))) for d, c in plain.items() for t, n in c.items())
+    assert model.log_likelihood(counts).first()["log_likelihood"] == pytest.approx(likely, rel=1e-6)
+    best = model.top_terms(2).collect()
+    assert len(best) == 6
+    for r in best:
+        assert sorted(names, key=lambda t: (-want[t][r["topic"]], t))[r["place"]] == r["term"]
+
+
+def test_topics_are_the_same_on_any_number_of_partitions(spark):
+    df = spark.createDataFrame([(i, ["cat", "dog"] * (i % 3 + 1) if i % 2 else ["sun", "moon", "sky"]) for i in range(30)], "id int, words array<string>")
+    found = []
+    for parts in (1, 7):
+        counts = topics.term_counts(df.repartition(parts), "id", "words", 2.0)
+        found.append({r["term"]: r["weights"] for r in topics.fit_topics(counts, 2, steps=3).terms.collect()})
+    assert set(found[0]) == {"cat", "dog", "sun", "moon", "sky"}
+    for t, w in found[0].items():
+        assert w == pytest.approx(found[1][t], rel=1e-9)
+
+
+def test_topics_are_as_likely_as_the_library_s(spark):
+    from pyspark.ml.clustering import LDA
+    from pyspark.ml.feature import CountVectorizer
+
+    from tablewright.functions import text
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", text.title_tokens(F.col("text")).alias("words"))
+    counts = topics.term_counts(docs, "doc_id", "words", 4.0).persist()
+    ours = topics.fit_topics(counts, 5, steps=10).log_likelihood(counts).first()["log_perplexity"]
+    counter = CountVectorizer(inputCol="words", outputCol="features", minDF=4.0).fit(docs)
+    vectors = counter.transform(docs)
+    model = LDA(k=5, maxIter=10, seed=1).fit(vectors)
+    phi = model.topicsMatrix().toArray()
+    phi = phi / phi.sum(0)
+    total = tokens = 0.0
+    for row in model.transform(vectors).select("features", "topicDistribution").collect():
+        p = phi[row["features"].indices] @ row["topicDistribution"].toArray()
+        if len(p):
+            total += (row["features"].values * np.log(p)).sum()
+            tokens += row["features"].values.sum()
+    assert ours <= -total / tokens * 1.02
+
+
+def test_topics_of_nothing(spark):
+    counts = topics.term_counts(spark.createDataFrame([], "id int, words array<string>"), "id", "words")
+    model = topics.fit_topics(counts, 2, steps=1)
+    assert model.terms.count() == model.documents(counts).count() == model.top_terms(2).count() == 0
 
 
 def test_recommender_drops_unknown_users(spark):

@@ -81,6 +81,43 @@ def test_normal_distance(spark):
     assert out["statistic"] == pytest.approx(0.5 * (1 + math.erf(0.1 / math.sqrt(2))))
 
 
+@pytest.mark.parametrize(
+    "n, statistic, p",
+    [(5, 0.563, 0.05), (10, 0.409, 0.05), (10, 0.489, 0.01), (20, 0.294, 0.05), (20, 0.352, 0.01), (35, 0.224, 0.05), (1, 0.975, 0.05), (2, 0.842, 0.05)],
+)
+def test_published_kolmogorov_points(n, statistic, p):
+    """Critical values of the one-sample test as tables print them, to three digits."""
+    assert hypothesis.kolmogorov_p(statistic, n) == pytest.approx(p, rel=0.02)
+
+
+def test_kolmogorov_distribution():
+    # P(D_10 < 0.274) as published with the matrix method.
+    assert 1 - hypothesis.kolmogorov_p(0.274, 10) == pytest.approx(0.6284796154565, abs=1e-10)
+    # The limit at 1.358 root n is 5 percent; both ways agree where one takes over.
+    assert hypothesis.kolmogorov_p(1.3581 / 10**5, 10**10) == pytest.approx(0.05, abs=1e-4)
+    for x in (0.6, 0.9, 1.36, 1.7):
+        exact = hypothesis.kolmogorov_p(x / 1000**0.5, 1000)
+        assert hypothesis.kolmogorov_p(x / 1001**0.5, 1001) == pytest.approx(exact, abs=5e-4)
+    assert [hypothesis.kolmogorov_p(d, 9) for d in (0.01, 1.0)] == [1.0, 0.0]
+    # Two draws: both within d of where they belong, by hand 2 (2d - 1/2)^2 up to d = 1/2.
+    assert 1 - hypothesis.kolmogorov_p(0.4, 2) == pytest.approx(2 * (2 * 0.4 - 0.5) ** 2)
+
+
+def test_ks_statistic_by_hand(spark):
+    from statistics import NormalDist
+
+    values = [-1.2, 0.3, 0.3, 0.9, 2.5]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "x double")
+    got = hypothesis.ks_normal(df, "x", 0.5, 1.5).first()
+    p = [NormalDist(0.5, 1.5).cdf(v) for v in values]
+    want = max(max((i + 1) / 5 - c, c - i / 5) for i, c in enumerate(p))
+    assert got["statistic"] == pytest.approx(want) and got["pValue"] == pytest.approx(hypothesis.kolmogorov_p(want, 5))
+    assert tuple(hypothesis.ks_normal(df.where("x is null"), "x").first()) == (None, None)
+    with pytest.raises(ValueError):
+        hypothesis.ks_normal(df, "x", 0.0, 0.0)
+
+
+
 def test_kernel_density(spark):
     data = [1, 1, 1, 2, 3, 4, 5, 5, 6, 7, 8, 9, 9]
     df = spark.createDataFrame([(float(x),) for x in data], "x double")
