@@ -127,9 +127,9 @@ class PrincipalComponents:
 def principal_components(df: DataFrame, values: str, k: int) -> PrincipalComponents:
     """The k directions of most variance of an array column whose rows have equal lengths; null rows are left out."""
     rows = df.select(F.col(values).cast("array<double>").alias("v")).where("v is not null")
-    found = rows.select(Summarizer.metrics("mean", "variance", "count").summary(array_to_vector("v")).alias("s")).select("s.mean", "s.variance", "s.count").first()
-    if not found["count"]:
+    if rows.isEmpty():
         raise ValueError("no rows to take components of")
+    found = rows.select(Summarizer.metrics("mean", "variance", "count").summary(array_to_vector("v")).alias("s")).select("s.mean", "s.variance", "s.count").first()
     centre, spread = found["mean"].toArray(), float(found["variance"].toArray().sum()) * (found["count"] - 1)
     squares, vectors = largest(lambda block: product(rows, "v", block, centre), len(centre), k)
     return PrincipalComponents(vectors, np.clip(squares, 0, None) / spread if spread else np.zeros(len(squares)))
