@@ -13,7 +13,7 @@ from tablewright.catalog.registry import Tables, query
 from tablewright.operators.filters import lookup_in_list
 from tablewright.operators.request import run_sql, temp_view
 from tablewright.plans.actions import plan_matrix
-from tablewright.sinks.files import csv_line, prediction_lines, write_csv, write_many
+from tablewright.sinks.files import csv_line, prediction_lines, write_csv, write_many, write_single_csv
 from tablewright.sources import files, generated
 from tablewright.sources.jdbc import fold_types
 from tablewright.storage import scratch_path
@@ -255,8 +255,18 @@ def row_lines(t: Tables):
     return csv_line(t.nation.withColumn("n_regionkey", region))
 
 
-@query("a20_sink_single_csv", "SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier")
+A20_SQL = "SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier"
+
+
+@query("a20_sink_single_csv", A20_SQL)
 def single_csv(t: Tables):
+    target = scratch_path(t.spark, "sink") + ".csv"
+    write_single_csv(t.supplier, target)
+    return files.read_csv_schema(t.spark, target, t.supplier.schema, header=True)
+
+
+@query("a20_sink_csv_folder", A20_SQL)
+def csv_folder(t: Tables):
     target = scratch_path(t.spark, "sink") + ".csv"
     write_csv(t.supplier, target)
     return files.read_csv_schema(t.spark, target, t.supplier.schema, header=True)

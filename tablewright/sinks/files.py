@@ -44,6 +44,49 @@ def write_csv(df: DataFrame, target: str) -> None:
     _swap_in(spark, fresh, target)
 
 
+def write_single_csv(df: DataFrame, target: str) -> None:
+    """Write one CSV file, the header once, in the order of the table's partitions, in place of what the target holds.
+
+    All tasks write their parts; then the parts' bytes are copied one after
+    another into a file beside the target, a buffer at a time, and that file
+    is renamed over the target.  Until the rename the old file can be read.
+    A folder in the target's place is moved away first.
+    """
+    spark = df.sparkSession
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    fresh = f"{target}.new-{uuid.uuid4().hex}"
+    parts, head = f"{fresh}-parts", f"{fresh}-head"
+    filesystem, whole = hadoop_path(spark, fresh)
+    try:
+        df.write.csv(parts)
+        names = spark.createDataFrame([tuple(df.columns)], ", ".join(f"c{i} string" for i in range(len(df.columns))))
+        names.coalesce(1).write.csv(head)
+        out = filesystem.create(whole, False)
+        try:
+            for folder in (head, parts):
+                found = filesystem.listStatus(hadoop_path(spark, folder)[1])
+                files = sorted((f.getPath() for f in found if f.getPath().getName().startswith("part-")), key=lambda f: f.getName())
+                for file in files:
+                    source = filesystem.open(file)
+                    try:
+                        jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, out, conf, False)
+                    finally:
+                        source.close()
+        finally:
+            out.close()
+        _, final = hadoop_path(spark, target)
+        if filesystem.exists(final) and filesystem.getFileStatus(final).isDirectory():
+            _swap_in(spark, fresh, target)
+            return
+        options = spark._sc._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(filesystem.getUri(), conf)
+        context.rename(filesystem.makeQualified(whole), filesystem.makeQualified(final), options)
+    finally:
+        for leftover in (parts, head, fresh):
+            filesystem.delete(hadoop_path(spark, leftover)[1], True)
+
+
 def write_many(
     frames: Mapping[str, DataFrame],
     targets: Mapping[str, str],

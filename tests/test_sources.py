@@ -158,6 +158,25 @@ def test_csv_parts_replace_the_old_target(spark, tmp_path):
     assert [p.name for p in tmp_path.iterdir() if not p.name.startswith(".")] == ["out.csv"]
 
 
+def test_one_csv_file_in_order_and_in_place(spark, tmp_path):
+    target = tmp_path / "out.csv"
+    df = spark.range(0, 300, 1, 6).selectExpr("id", "if(id % 7 = 0, null, concat('a,\"', id)) AS `x,y`").orderBy("id")
+    sinks.write_single_csv(df, str(target))
+    lines = target.read_text().splitlines()
+    assert len(lines) == 301 and lines[0] == 'id,"x,y"' and lines[1:3] == ["0,", '1,"a,\\"1"']
+    assert [line.split(",")[0] for line in lines[1:]] == [str(i) for i in range(300)]
+    # A failing job leaves the old file as it was, and nothing beside it.
+    with pytest.raises(Exception):
+        sinks.write_single_csv(df.selectExpr("raise_error('no') AS id"), str(target))
+    assert target.read_text().splitlines() == lines
+    sinks.write_single_csv(df.limit(0), str(target))
+    assert target.read_text() == 'id,"x,y"\n'
+    sinks.write_csv(df, str(target))
+    sinks.write_single_csv(df, str(target))  # over a folder
+    assert target.read_text().splitlines() == lines
+    assert [p.name for p in tmp_path.iterdir() if not p.name.startswith(".")] == ["out.csv"]
+
+
 def test_write_many_uses_the_default_table(spark, tmp_path):
     one, other = spark.range(3), spark.range(5)
     targets = {"a": str(tmp_path / "a"), "b": str(tmp_path / "b")}
