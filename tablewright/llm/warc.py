@@ -43,6 +43,8 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     Of pages with equal bodies of at least `least_revisit` bytes, the one with
     the largest id is the response and the others revisit it.  A null body is
     empty, a null url gives no target header, a null id is smaller than any.
+    Page rows repeated in full are written as often as they stand, under the
+    one record id that follows from what they hold.
     """
     rows = pages.select(
         pages[id_col].alias("id"),
@@ -154,13 +156,14 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
 
 def assemble(records: DataFrame) -> DataFrame:
-    """One nested row per capture: (capture, request, response, metadata, n_requests, n_metadata).
+    """One nested row per capture: (capture, request, response, metadata, n_requests, n_metadata, n_responses).
 
     A response or revisit record is a capture; request and metadata records
     join it by their concurrent-to id (without one, by their own).  Of several
     requests or metadata records the one with the smallest record id is shown
     and all are counted.  Records without a response make a row with a null
-    response; a record id met twice is one record.
+    response; a record id met twice is one record, and `n_responses` says how
+    often a capture's was met: as often as its page row was written.
     """
     def of(kinds: list[str], key: Column, prefix: str) -> DataFrame:
         names = [c for c in records.columns]
@@ -172,7 +175,8 @@ def assemble(records: DataFrame) -> DataFrame:
         best = F.min(f"{prefix}_record_id").alias(f"{prefix}_record_id")
         return own.groupBy("capture").agg(best, F.count(F.lit(1)).alias(f"n_{prefix}"), *[F.min_by(c, f"{prefix}_record_id").alias(c) for c in rest])
 
-    response = of(["response", "revisit"], F.col("record_id"), "response").dropDuplicates(["capture"])
+    captured = of(["response", "revisit"], F.col("record_id"), "response")
+    response = captured.groupBy("capture").agg(F.count(F.lit(1)).alias("n_response"), *[F.first(c).alias(c) for c in captured.columns if c != "capture"])
     joined = response.join(gathered("request"), "capture", "full").join(gathered("metadata"), "capture", "full")
 
     def nested(prefix: str) -> Column:
@@ -182,6 +186,7 @@ def assemble(records: DataFrame) -> DataFrame:
     return joined.select(
         "capture", nested("request"), nested("response"), nested("metadata"),
         F.coalesce("n_request", F.lit(0)).alias("n_requests"), F.coalesce("n_metadata", F.lit(0)).alias("n_metadata"),
+        F.coalesce("n_response", F.lit(0)).alias("n_responses"),
     )
 
 
@@ -191,8 +196,9 @@ def page_of(metadata: Column) -> Column:
 
 
 def resolved(captures: DataFrame) -> DataFrame:
-    """Captures with the payload facts of a revisit taken from the response it refers to."""
+    """A row for each time a capture was met, with the payload facts of a revisit taken from the response it refers to."""
     flat = captures.select(
+        F.greatest("n_responses", F.lit(1)).alias("met"),
         page_of(F.col("metadata")).alias("page"),
         F.col("response.target_uri").alias("url"),
         F.col("response.kind").alias("record_type"),
@@ -206,6 +212,7 @@ def resolved(captures: DataFrame) -> DataFrame:
     )
     joined = flat.join(sources, "refers_to", "left")
     revisit = F.col("record_type") == "revisit"
+    joined = joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("met"))))
     return joined.select(
         "page", "url", "record_type",
         F.when(revisit, F.col("source_bytes")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),

@@ -61,6 +61,59 @@ def test_exact(docs, empty, texts, spark):
     assert sorted((r.keep_id or 0, r.group_size, r.kept) for r in rows) == [(0, 2, True)] * 2 + [(1, 3, False)] + [(1, 3, True)] * 2
 
 
+def pair_rows(spark, monkeypatch, docs):
+    """How many pairs the near-copy search makes on the way, and how many rows go."""
+    made = []
+    plain = similar.similar
+
+    def counted(pairs, *rest):
+        made.append(pairs.count())
+        return plain(pairs, *rest)
+
+    monkeypatch.setattr(similar, "similar", counted)
+    gone = similar.near_copies(docs).count()
+    monkeypatch.setattr(similar, "similar", plain)
+    return sum(made), gone
+
+
+def test_near_copies_cost_in_proportion(spark, monkeypatch):
+    """Groups of texts that are alike, but not enough, and of true near copies: no all pairs."""
+    base = prose(60, 5).split()
+
+    def edited(n, edits, seed):
+        rng = random.Random(seed)
+        out = []
+        for i in range(n):
+            words = list(base)
+            for at in rng.sample(range(60), edits):
+                words[at] = f"w{i}x{at}"
+            out.append((i, " ".join(words)))
+        return spark.createDataFrame(out, "doc_id long, text string")
+
+    for size in (200, 400, 800):
+        pairs, gone = pair_rows(spark, monkeypatch, edited(size, 2, size))
+        assert pairs <= 2 * size and gone <= pairs
+    pairs, gone = pair_rows(spark, monkeypatch, edited(400, 1, 1))
+    assert pairs <= 400 * 40
+
+
+def test_sketches_rule_out_no_similar_pair(spark):
+    rng = np.random.default_rng(6)
+    rows = []
+    for i in range(300):
+        n, differ = int(rng.integers(1, 400)), rng.random() * 0.3
+        a = rng.integers(0, 1 << 62, n).astype(np.uint64)
+        b = np.append(a[rng.random(n) >= differ], rng.integers(0, 1 << 62, int(n * differ * rng.random())).astype(np.uint64))
+        if len(b):
+            a, b = np.unique(a), np.unique(b)
+            rows.append((i, similar.similarity(a, b), len(a), len(b), similar.parity_sketch(a).tolist(), similar.parity_sketch(b).tolist()))
+    df = spark.createDataFrame(rows, "i int, j double, n int, m int, a array<long>, b array<long>")
+    x = df.select("i", "j", F.col("n").alias("size"), *[F.col("a")[k].alias(f"s{k}") for k in range(similar.SKETCH)]).alias("x")
+    y = df.select("i", F.col("m").alias("size"), *[F.col("b")[k].alias(f"s{k}") for k in range(similar.SKETCH)]).alias("y")
+    found = x.join(y, "i").select("j", similar.may_be_similar("x", "y", 0.8).alias("may")).collect()
+    assert all(r.may for r in found if r.j >= 0.8) and sum(not r.may for r in found) > 20
+
+
 def test_quotient_filters_are_lossless():
     rng = np.random.default_rng(1)
     values = np.unique(rng.integers(0, 1 << 58, 3000, dtype=np.uint64))
@@ -152,6 +205,39 @@ def test_no_single_exchange_gains_likelihood():
             assert likelihood(moved) <= likelihood(of) + 1e-6
 
 
+def test_toxicity_training_beats_its_start(spark):
+    folder = "/root/testdata/sf0.1"
+    docs, marks = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    texts, labels = toxicity.sample(docs, marks, "doc_id", "text", "toxic", 5, 8192, 4096)
+    held = [(r.text.encode(), r.toxic) for r in docs.join(marks, "doc_id").collect() if zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
+
+    def auc(epochs):
+        model = toxicity.train(texts, labels, epochs)
+        margins = toxicity.WordMargins(model.margins().astype(np.float32))
+        scores = list(toxicity.scores([t for t, _ in held], margins, float(model.bias[1] - model.bias[0])))
+        good, bad = [s for s, (_, y) in zip(scores, held) if y], [s for s, (_, y) in zip(scores, held) if not y]
+        return np.mean([(a > b) + 0.5 * (a == b) for a in good for b in bad])
+
+    assert auc(0) < 0.65 and auc(toxicity.EPOCHS) > 0.88
+
+
+def test_subwords_as_plain_python():
+    words = ["Idiot!!".encode(), b"a", b"...", "größe".encode(), b"\xff\xfe", b"the", b"the"]
+    found = toxicity.Subwords.of(words)
+    margins = np.random.default_rng(0).normal(0, 1, toxicity.BUCKETS)
+    means = found.means(margins)
+    assert means[5] == means[6] and toxicity.Subwords.of([b"idiot"]).means(margins)[0] == pytest.approx(means[0])
+    for k, word in enumerate(words):
+        alone = toxicity.Subwords.of([word])
+        text = word.decode("utf-8", "replace").lower()
+        size = len(f"<{text.strip(toxicity.EDGES) or text}>")
+        assert alone.sizes[0] == 1 + sum(max(size - n + 1, 0) for n in toxicity.GRAMS)
+        buckets = alone.buckets[alone.buckets < toxicity.BUCKETS]
+        assert len(buckets) == alone.sizes[0] and means[k] == pytest.approx(margins[buckets].mean(), rel=1e-4, abs=1e-5)
+    handed = found.spread(np.arange(7.0))
+    assert handed.sum() == pytest.approx(21) and toxicity.Subwords.of([]).means(margins).size == 0
+
+
 def test_toxicity_learns_unseen_spellings(spark):
     rng = random.Random(3)
     rows, labels = [], []
@@ -203,6 +289,21 @@ def test_archives_round_trip(spark):
     assert shown.response.payload.decode() == bodies[5] and shown.request.kind == "request" and (shown.n_requests, shown.n_metadata) == (1, 1)
 
 
+def test_archives_keep_repeated_pages(spark):
+    rows = [(1, "u", "same"), (1, "u", "same"), (2, "u", "same"), (2, "u", "same"), (2, "u", "same"), (3, "v", "own"), (None, None, None), (None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    path = scratch_path(spark, "archives")
+    warc.write_archives(pages, path)
+    captures = warc.assemble(warc.read_archives(spark, path))
+    assert sorted((r.n_responses, r.n_requests, r.n_metadata) for r in captures.collect()) == [(1, 1, 1), (2, 1, 1), (2, 1, 1), (3, 1, 1)]
+    got = sorted(((r.page, r.record_type, r.refers_to, r.payload_bytes) for r in warc.resolved(captures).collect()), key=repr)
+    want = [("1", "revisit", "2", 4)] * 2 + [("2", "response", None, 4)] * 3 + [("3", "response", None, 3)] + [(None, "response", None, 0)] * 2
+    assert got == sorted(want, key=repr)
+    nothing = scratch_path(spark, "archives")
+    warc.write_archives(pages.limit(0), nothing)
+    assert warc.resolved(warc.assemble(warc.read_archives(spark, nothing))).count() == 0
+
+
 def test_main_text(spark):
     def page(i, body, host="h.example"):
         html = f'<html><head><title>t</title><script>var a="</p>";</script></head><body><nav><ul><li>menu</ul></nav><div class="ad">buy</div><article><h1>Head {i}</h1>{body}</article><footer>foot</footer></body></html>'
