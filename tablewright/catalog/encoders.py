@@ -98,6 +98,18 @@ def count_terms(t: Tables):
     return text.count_terms(text.title_token_rows(t.documents, "doc_id", "text"), "doc_id", 2)
 
 
+@query(
+    "k03_count_vectorizer_learnt",
+    f"""WITH counts AS (SELECT doc_id, unnest(words) AS term FROM ({WORDS_SQL})),
+          terms AS (SELECT term, count(*) AS n FROM counts GROUP BY term HAVING count(DISTINCT doc_id) >= 3),
+          codes AS (SELECT term, row_number() OVER (ORDER BY n DESC, term) - 1 AS code FROM terms)
+        SELECT doc_id, code, term, count(*) AS n FROM counts JOIN codes USING (term) GROUP BY ALL""",
+)
+def count_learnt(t: Tables):
+    docs = ft.tokenize(t.documents.select("doc_id", "text"), "text")
+    return ft.learnt_counts(docs, "doc_id", "words", least_documents=3.0).withColumnRenamed("row", "doc_id")
+
+
 @query(
     "k03_count_vocabulary",
     f"""SELECT doc_id, pos, CAST(len(list_filter(words, lambda w: w = ['the', 'and', 'of'][pos + 1])) AS DOUBLE) AS value

@@ -7,10 +7,12 @@ from collections.abc import Sequence
 
 from pyspark.ml import feature as mlf
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tablewright.operators.columns import model_columns
 from tablewright.operators.ordering import numbered, running_total
+from tablewright.storage import cut_lineage
 
 # Up to this many categories an indexer may keep them on the driver.
 DRIVER_CATEGORIES = 10_000
@@ -98,6 +100,35 @@ def word2vec_model(
     return learner.fit(df)
 
 
+def vocabulary_of(counts: DataFrame, size: int | None = None, least_documents: float = 1.0, documents: int | None = None) -> DataFrame:
+    """(term, code, n, documents) of (row, term, n): codes from 0 by falling n, ties by term.
+
+    The terms are counted and numbered by Spark and stay a table.  A
+    `least_documents` below 1 is a share of `documents`.
+    """
+    if least_documents < 1 and documents is None:
+        raise ValueError("a share of the documents needs their number")
+    least = least_documents if least_documents >= 1 else least_documents * documents
+    terms = counts.groupBy("term").agg(F.sum("n").alias("n"), F.count("*").alias("documents")).where(F.col("documents") >= least)
+    coded = numbered(terms, [F.col("n").desc(), F.col("term").asc()], name="code", start=0)
+    kept = coded if size is None else coded.where(F.col("code") < size)
+    return kept.select("term", F.col("code").cast("long").alias("code"), "n", "documents")
+
+
+def row_terms(df: DataFrame, row: str, tokens: str) -> DataFrame:
+    """(row, term, n): how often each term stands in each row; null tokens are none."""
+    terms = df.select(F.col(row).alias("row"), F.explode(tokens).alias("term")).where("term is not null")
+    return terms.groupBy("row", "term").agg(F.count("*").alias("n"))
+
+
+def learnt_counts(df: DataFrame, row: str, tokens: str, size: int | None = None, least_documents: float = 1.0) -> DataFrame:
+    """(row, code, term, n) over a learnt vocabulary of any size, which goes to no one task and not to the driver."""
+    counts = cut_lineage(row_terms(df, row, tokens), "row-terms")
+    documents = df.count() if least_documents < 1 else None
+    codes = vocabulary_of(counts, size, least_documents, documents)
+    return counts.join(codes.select("term", "code"), "term").select("row", "code", "term", "n")
+
+
 def count_vectors(
     df: DataFrame,
     tokens: str,
@@ -111,13 +142,19 @@ def count_vectors(
         model = mlf.CountVectorizerModel.from_vocabulary(
             list(vocabulary), inputCol=tokens, outputCol=output
         )
-    else:
-        if size is None:
-            size = max(1, df.select(F.explode(tokens).alias("term")).distinct().count())
-        model = mlf.CountVectorizer(
-            inputCol=tokens, outputCol=output, vocabSize=size, minDF=least_documents
-        ).fit(df)
-    return model.transform(df)
+        return model.transform(df)
+    marked = cut_lineage(df.withColumn("_row", F.monotonically_increasing_id()), "marked-rows")
+    found = cut_lineage(learnt_counts(marked, "_row", tokens, size, least_documents), "learnt-counts")
+    width = found.select("code").distinct().count()
+
+    @F.udf(VectorUDT())
+    def vector(pairs):
+        return Vectors.sparse(width, [(int(p["code"]), float(p["n"])) for p in pairs or []])
+
+    # A row's distinct terms, no more than the row holds.
+    lists = found.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("code", "n"))).alias("_pairs"))
+    joined = marked.join(lists, marked["_row"] == lists["row"], "left")
+    return joined.withColumn(output, vector("_pairs")).drop("_row", "row", "_pairs")
 
 
 # --- numbers and vectors ----------------------------------------------------

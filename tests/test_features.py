@@ -175,6 +175,52 @@ def test_pca_of_the_published_vectors(spark):
     assert all(a >= b for a, b in zip(shares, shares[1:]))
 
 
+def test_learnt_vocabulary(spark):
+    rows = [(1, ["a", "b", "c"]), (2, ["a", "b", "b", "c", "a", None]), (3, []), (4, None), (5, ["b"])]
+    df = spark.createDataFrame(rows, "id int, words array<string>")
+    counted = {(r["row"], r["term"]): (r["code"], r["n"]) for r in ft.learnt_counts(df, "id", "words", least_documents=2).collect()}
+    assert counted == {(1, "a"): (1, 1), (1, "b"): (0, 1), (1, "c"): (2, 1), (2, "a"): (1, 2), (2, "b"): (0, 2), (2, "c"): (2, 1), (5, "b"): (0, 1)}
+    vectors = {r["id"]: r["counts"].toArray().tolist() for r in ft.count_vectors(df, "words").collect()}
+    assert vectors == {1: [1, 1, 1], 2: [2, 2, 1], 3: [0, 0, 0], 4: [0, 0, 0], 5: [1, 0, 0]}
+    few = ft.count_vectors(df, "words", size=1).where("id = 2").first()["counts"]
+    assert few.size == 1 and few[0] == 2
+    half = ft.learnt_counts(df, "id", "words", least_documents=0.5).select("term").distinct().collect()
+    assert [r["term"] for r in half] == ["b"]
+
+
+def test_hashed_terms_fall_where_a_plain_hash_puts_them(spark):
+    """Buckets are the murmur3 of the term modulo their number, as plain Python computes it."""
+
+    def murmur(data: bytes, seed: int = 42) -> int:
+        def turn(x, r):
+            return ((x << r) | (x >> (32 - r))) & 0xFFFFFFFF
+
+        h = seed
+        for at in range(0, len(data) // 4 * 4, 4):
+            k = turn(int.from_bytes(data[at : at + 4], "little") * 0xCC9E2D51 & 0xFFFFFFFF, 15) * 0x1B873593 & 0xFFFFFFFF
+            h = (turn(h ^ k, 13) * 5 + 0xE6546B64) & 0xFFFFFFFF
+        k = int.from_bytes(data[len(data) // 4 * 4 :], "little")
+        if len(data) % 4:
+            h ^= turn(k * 0xCC9E2D51 & 0xFFFFFFFF, 15) * 0x1B873593 & 0xFFFFFFFF
+        h ^= len(data)
+        for factor, shift in ((0x85EBCA6B, 16), (0xC2B2AE35, 13)):
+            h = ((h ^ (h >> shift)) * factor) & 0xFFFFFFFF
+        h ^= h >> 16
+        return h - (1 << 32) if h >> 31 else h
+
+    docs = [(1, ["the", "cat", "größer", "the"]), (2, ["cat", "a"]), (3, ["the"])]
+    got = {r["id"]: r["tfidf"] for r in ft.hashed_tfidf(spark.createDataFrame(docs, "id int, words array<string>"), "words", buckets=16).collect()}
+    want = {}
+    for i, words in docs:
+        for w in words:
+            want.setdefault(i, {}).setdefault(murmur(w.encode()) % 16, []).append(w)
+    held = {b: sum(b in v for v in want.values()) for v in want.values() for b in v}
+    for i, buckets in want.items():
+        exact = {b: len(words) * math.log(4 / (held[b] + 1)) for b, words in buckets.items()}
+        assert {b: got[i][b] for b in exact} == pytest.approx(exact)
+        assert sum(got[i].toArray()) == pytest.approx(sum(exact.values()))
+
+
 def test_learnt_counts_keep_every_term(spark):
     # One term more than the vocabulary CountVectorizer takes by itself.
     df = spark.range(0, (1 << 18) + 1, 1, 4).selectExpr("array(concat('t', id)) AS words")
