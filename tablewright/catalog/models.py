@@ -320,11 +320,25 @@ def aft_survival(t: Tables):
        SELECT x AS quantity, round(max(low), 4) AS prediction FROM lows GROUP BY x""",
 )
 def isotonic(t: Tables):
-    model = rg.isotonic(t.lineitem, "l_quantity", "l_extendedprice")
-    levels = t.lineitem.select(F.col("l_quantity").alias("features")).distinct()
-    return model.transform(levels).select(
-        F.col("features").alias("quantity"), F.round("prediction", 4).alias("prediction")
-    )
+    steps = rg.isotonic(t.lineitem, "l_quantity", "l_extendedprice")
+    levels = t.lineitem.select(F.col("l_quantity").alias("quantity")).distinct()
+    return rg.isotonic_predictions(steps, levels, "quantity").withColumn("prediction", F.round("prediction", 4))
+
+
+@query(
+    "m09_isotonic_distinct",
+    """WITH levels AS (SELECT c_acctbal AS x, avg(c_nationkey) AS y, count(*) AS w FROM customer GROUP BY 1),
+       sums AS (SELECT x, row_number() OVER (ORDER BY x) AS i, sum(y * w) OVER (ORDER BY x) AS s, sum(w) OVER (ORDER BY x) AS w FROM levels),
+       spans AS (SELECT a.i AS a, b.i AS b, (b.s - coalesce(p.s, 0)) / (b.w - coalesce(p.w, 0)) AS m
+         FROM sums a JOIN sums b ON a.i <= b.i LEFT JOIN sums p ON p.i = a.i - 1),
+       lows AS (SELECT a, b, min(m) OVER (PARTITION BY a ORDER BY b DESC) AS low FROM spans)
+       SELECT x AS balance, round(max(low), 6) AS prediction FROM lows JOIN sums ON i = b GROUP BY x""",
+)
+def isotonic_distinct(t: Tables):
+    """Nearly as many values as rows, pooled in stretches that meet half way."""
+    steps = rg.isotonic(t.customer, "c_acctbal", "c_nationkey", at_once=256)
+    levels = t.customer.select(F.col("c_acctbal").alias("balance")).distinct()
+    return rg.isotonic_predictions(steps, levels, "balance").withColumn("prediction", F.round("prediction", 6))
 
 
 LINES_SQL = " UNION ALL ".join(

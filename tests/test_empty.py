@@ -78,4 +78,4 @@ def test_learners_without_batches(spark, no_files):
 
 def test_an_isotonic_fit_of_one_level(spark):
     df = spark.createDataFrame([(1.0, 2.0), (1.0, 4.0)], "x double, y double")
-    assert [tuple(r) for r in rg.isotonic_table(rg.isotonic(df, "x", "y"), df).collect()] == [(1.0, 3.0)]
+    assert [tuple(r) for r in rg.isotonic_table(rg.isotonic(df, "x", "y")).collect()] == [(1.0, 3.0)]

@@ -114,11 +114,57 @@ def test_survival_on_the_published_rows(spark):
 
 def test_isotonic_pools_violators(spark):
     df = spark.createDataFrame([(1.0, 1.0), (2.0, 3.0), (3.0, 2.0), (3.0, 2.0), (4.0, 5.0)], "x double, y double")
-    table = {r["boundary"]: r["prediction"] for r in rg.isotonic_table(rg.isotonic(df, "x", "y"), df).collect()}
+    table = {r["boundary"]: r["prediction"] for r in rg.isotonic_table(rg.isotonic(df, "x", "y")).collect()}
     assert table[1.0] == 1.0 and table[4.0] == 5.0
     assert table[2.0] == pytest.approx(7 / 3) and table[3.0] == pytest.approx(7 / 3)
 
 
+def slow_isotonic(rows):
+    """(low, high, mean) of the steps, pooled over all values at once."""
+    sums = {}
+    for x, y in rows:
+        n, total = sums.get(x, (0, 0.0))
+        sums[x] = (n + 1, total + y)
+    steps = []
+    for x in sorted(sums):
+        steps.append([x, x, *sums[x]])
+        while len(steps) > 1 and steps[-2][3] / steps[-2][2] >= steps[-1][3] / steps[-1][2]:
+            _, high, n, total = steps.pop()
+            steps[-1][1:] = [high, steps[-1][2] + n, steps[-1][3] + total]
+    return [(low, high, total / n) for low, high, n, total in steps]
+
+
+@pytest.mark.parametrize("kind", ["noise", "falling", "rising", "valley"])
+def test_isotonic_in_stretches_is_isotonic_at_once(spark, kind):
+    rng = random.Random(kind)
+    of = {"noise": lambda x: x / 20 + rng.gauss(0, 3), "falling": lambda x: -x, "rising": lambda x: x, "valley": lambda x: abs(x - 50) + rng.random()}[kind]
+    rows = [(float(x % 97), float(of(x % 97))) for x in range(150)]
+    df = spark.createDataFrame([*rows, (None, 1.0), (1.0, None)], "x double, y double").repartition(3)
+    want = slow_isotonic(rows)
+    for at_once in (8, 1000):
+        steps = rg.isotonic(df, "x", "y", at_once)
+        got = [(r["low"], r["high"], r["prediction"]) for r in steps.orderBy("no").collect()]
+        assert [g[:2] for g in got] == [w[:2] for w in want]
+        assert [g[2] for g in got] == pytest.approx([w[2] for w in want])
+    # Between and beyond the steps as the library does it.
+    from pyspark.ml.regression import IsotonicRegression
+
+    model = IsotonicRegression(featuresCol="x", labelCol="y").fit(df.na.drop())
+    asked = spark.createDataFrame([(v / 4,) for v in range(-8, 420, 3)], "x double")
+    plain = {r["x"]: r["prediction"] for r in model.transform(asked).collect()}
+    found = {r["x"]: r["prediction"] for r in rg.isotonic_predictions(steps, asked, "x").collect()}
+    assert set(found) == set(plain)
+    for x, p in plain.items():
+        assert found[x] == pytest.approx(p, abs=1e-9)
+
+
+def test_isotonic_of_nothing(spark):
+    df = spark.createDataFrame([], "x double, y double")
+    steps = rg.isotonic(df, "x", "y")
+    asked = spark.createDataFrame([(1.0,), (None,)], "x double")
+    assert steps.count() == 0 and [r["prediction"] for r in rg.isotonic_predictions(steps, asked, "x").collect()] == [None, None]
+
+
 def test_clusters_of_the_published_rows(spark):
     rows = [(Vectors.dense([v] * 3),) for v in (0.0, 0.1, 0.2, 9.0, 9.1, 9.2)]
     df = spark.createDataFrame(rows, ["features"])
