@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablewright.llm import decontamination, exact_dedup, html_template, language_model, mixing, pii, rule_ensemble, simhash, spelling_variants, substring_dedup, token_alignment, toxicity, warc
-from tablewright.storage import scratch_path
+from tablewright.storage import cut_lineage, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -40,7 +40,8 @@ def op5(spark, folder):
     records = warc.read_archives(spark, path)
     # Only what the digest columns come from goes through the joins: the bodies of responses stay behind.
     narrow = records.withColumn("payload", F.when(F.col("kind") == "metadata", F.col("payload"))).withColumn("http", F.lit(None).cast("string"))
-    found = warc.resolved(warc.assemble(narrow))
+    # Requests, responses and metadata are three uses of the records: the archives are parsed once for all.
+    found = warc.resolved(warc.assemble(cut_lineage(narrow, "records")))
     kind = pages.schema["page_id"].dataType
     return found.select(
         F.col("page").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to")
