@@ -75,23 +75,26 @@ def mine_sequences(
     least = F.ceil(F.lit(min_support) * rows.select("key").distinct().count())
     ends = cut_lineage(rows.groupBy("item", "key").agg(F.min("place").alias("end")), "ends").filter("item IS NOT NULL")
     common = ends.groupBy("item").agg(F.count("*").alias("freq")).filter(F.col("freq") >= least)
-    found = cut_lineage(common.select(F.array("item").alias("sequence"), "freq"), "frequent")
-    steps = rows.join(found.select(F.col("sequence")[0].alias("item")), "item", "left_semi")
+    # A sequence goes by the number of its prefix and its last item: rows of keys do not carry it.
+    number = F.monotonically_increasing_id().alias("number")
+    found = cut_lineage(common.select(F.array("item").alias("sequence"), "freq", F.lit(-1).cast("long").alias("prefix"), F.col("item").alias("next"), number), "frequent")
+    steps = rows.join(found.select(F.col("next").alias("item")), "item", "left_semi")
     steps = cut_lineage(steps.select(F.col("key").alias("of"), F.col("item").alias("next"), "place"), "steps")
-    ends = ends.select(F.array("item").alias("sequence"), "key", "end")
+    ends = ends.select(F.lit(-1).cast("long").alias("prefix"), F.col("item").alias("next"), "key", "end")
     result = found
     for _ in range(1, max_length):
-        open_ends = ends.join(found.select("sequence"), "sequence", "left_semi")
+        known = found.select("prefix", "next", "number")
+        open_ends = ends.join(known, ["prefix", "next"]).select(F.col("number").alias("prefix"), "key", "end")
         behind = F.col("key").eqNullSafe(F.col("of")) & (F.col("place") > F.col("end"))
-        longer = open_ends.join(steps, behind).groupBy("sequence", "next", "key").agg(F.min("place").alias("end"))
-        grown = F.concat("sequence", F.array("next")).alias("sequence")
-        ends = cut_lineage(longer.select(grown, "key", "end"), "ends")
-        counted = ends.groupBy("sequence").agg(F.count("*").alias("freq")).filter(F.col("freq") >= least)
-        found = cut_lineage(counted, "frequent")
+        longer = open_ends.join(steps, behind).groupBy("prefix", "next", "key").agg(F.min("place").alias("end"))
+        ends = cut_lineage(longer, "ends")
+        counted = ends.groupBy("prefix", "next").agg(F.count("*").alias("freq")).filter(F.col("freq") >= least)
+        grown = counted.join(found.select(F.col("number").alias("prefix"), "sequence"), "prefix")
+        found = cut_lineage(grown.select(F.concat("sequence", F.array("next")).alias("sequence"), "freq", "prefix", "next", number), "frequent")
         if found.isEmpty():
             break
         result = result.unionByName(found)
-    return result
+    return result.select("sequence", "freq")
 
 
 def frequent_sequences(
