@@ -9,6 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import ArrowUDFType
 
 #: Bytes that end a word: space and \t \n \v \f \r, which is also what bytes.split() takes.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -16,6 +17,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Entries a per-task word table may reach before it is started anew.
 CACHE_WORDS = 1_000_000
 
+#: Numbers of 64 bits in a sieve, which goes to every task: fixed, whatever the tables hold.
+SIEVE_WORDS = 1 << 20
+
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -69,6 +73,28 @@ def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     return mixed(total)
 
 
+def sieve(marks: DataFrame) -> np.ndarray:
+    """A table of bits in which that of every given `mark`, a 64-bit hash, is set; others may share it.  Its size is fixed."""
+    slot = F.shiftrightunsigned("mark", 6).bitwiseAND(F.lit(SIEVE_WORDS - 1))
+    bit = F.expr("shiftleft(1L, cast(mark & 63 as int))")
+    found = marks.groupBy(slot.alias("slot")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    table = np.zeros(SIEVE_WORDS, np.int64)
+    table[found["slot"].to_numpy()] = found["bits"].to_numpy()
+    return table
+
+
+def may_be_among(marks: DataFrame, mark: Column) -> Column:
+    """Whether a row's `mark` may be one of `marks`: never false where it is, so rows without it need not be joined with them."""
+    sent = marks.sparkSession.sparkContext.broadcast(sieve(marks))
+
+    def passes(column):
+        values = column.to_numpy(zero_copy_only=False).view(np.uint64)
+        slots = ((values >> np.uint64(6)) & np.uint64(SIEVE_WORDS - 1)).astype(np.int64)
+        return pa.array((sent.value.view(np.uint64)[slots] >> (values & np.uint64(63))) & np.uint64(1) == 1)
+
+    return F.arrow_udf(passes, "boolean", functionType=ArrowUDFType.SCALAR)(mark)
+
+
 def rows_of(batches: Iterator[pa.RecordBatch], text_at: int = 1) -> Iterator[tuple]:
     """(id, text) of every row, a batch at a time."""
     for batch in batches:

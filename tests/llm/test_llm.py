@@ -429,6 +429,36 @@ def test_pipeline_drops_near_copies_as_brute_force_does(spark):
     assert similar.near_copies(docs.limit(0)).count() == 0
 
 
+def test_pipeline_sends_only_named_rows_around(spark, monkeypatch):
+    """Rows that are not named, by null id or not, are not part of the join, and none of the named ones is missed."""
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(3000)] + [(None, "a"), (None, "b"), (5, "other"), (6, None), (6, None)], "doc_id long, text string").repartition(3)
+    named = [(5, "text 5"), (None, "b"), (6, ""), (7, "not its text"), *[(i, f"text {i}") for i in range(100, 120)]]
+    gone = spark.createDataFrame([(i, hashlib.sha256(t.encode()).hexdigest()) for i, t in named], "doc_id long, text_sha256 string")
+    left = corpus_pipeline.kept(docs, gone)
+    assert left.columns == docs.columns
+    want = [(r.doc_id, r.text) for r in docs.collect() if (r.doc_id, r.text or "") not in named]
+    assert sorted(map(tuple, left.collect()), key=repr) == sorted(want, key=repr)
+    assert corpus_pipeline.kept(docs, gone.limit(0)).count() == docs.count()
+    asked = []
+    plain = corpus_pipeline.may_be_among
+    monkeypatch.setattr(corpus_pipeline, "may_be_among", lambda marks, mark: asked.append(plain(marks, mark)) or asked[-1])
+    corpus_pipeline.kept(docs, gone)
+    assert 25 <= docs.where(asked[0]).count() < 100
+
+
+def test_near_copies_send_only_shared_texts_around(spark, monkeypatch):
+    texts = [(i, prose(40, 5000 + i)) for i in range(300)] + [(1000 + i, prose(40, 5000) + f" end{i}") for i in range(3)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    asked = []
+    plain = similar.may_be_among
+    monkeypatch.setattr(similar, "may_be_among", lambda marks, mark: asked.append(plain(marks, mark)) or asked[-1])
+    assert {r.doc_id for r in similar.near_copies(docs).collect()} == {1000, 1001, 1002}
+    source = docs.select(F.sha2("text", 256).alias("text_sha256"))
+    assert 4 <= source.where(asked[0]).count() < 100
+
+
 def test_pipeline_tells_rows_of_one_id_apart(spark, tmp_path):
     import corpus_pipeline
 
