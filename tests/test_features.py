@@ -188,6 +188,24 @@ def test_learnt_vocabulary(spark):
     assert [r["term"] for r in half] == ["b"]
 
 
+def test_terms_of_rows_are_kept_in_order(spark, monkeypatch):
+    """The table of a row's terms is written by term, which packs it tighter than any other order."""
+    written = {}
+    plain = ft.cut_lineage
+
+    def kept(df, label):
+        written[label] = plain(df, label)
+        return written[label]
+
+    monkeypatch.setattr(ft, "cut_lineage", kept)
+    df = spark.range(0, 200, 1, 4).select("id", F.transform(F.sequence(F.lit(1), F.lit(20)), lambda i: F.concat(F.lit("t"), (i * 7 + F.col("id")) % 50)).alias("words"))
+    assert ft.learnt_counts(df, "id", "words").agg(F.sum("n")).first()[0] == 4000
+    parts = {}
+    for r in written["row-terms"].select(F.input_file_name().alias("f"), "term").collect():
+        parts.setdefault(r["f"], []).append(r["term"])
+    assert parts and all(terms == sorted(terms) for terms in parts.values())
+
+
 def test_hashed_terms_fall_where_a_plain_hash_puts_them(spark):
     """Buckets are the murmur3 of the term modulo their number, as plain Python computes it."""
 
