@@ -124,6 +124,26 @@ def test_clean_tokens_drop_rare_words(spark):
     assert arrays == {1: ["night", "driver"], 2: ["driver", "night"]}
 
 
+def test_clean_tokens_spread_a_common_word(spark):
+    """No task of the join gets all rows of one word, and the tokens stay the same."""
+    df = spark.range(0, 4000, 1, 4).select("id", F.concat(F.lit("driver driver w"), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij")).alias("t"))
+    df = df.unionByName(spark.createDataFrame([(None, "driver only"), (None, None)], "id long, t string"))
+    limits = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in limits}
+    for k, v in limits.items():
+        spark.conf.set(k, v)
+    try:
+        tokens = text.clean_tokens(df, "id", "t")
+        got = tokens.groupBy("token").count().collect()
+        parts = [r["n"] for r in tokens.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert {r["token"]: r["count"] for r in got} == {"driver": 8001}
+    assert max(parts) < 4000
+    assert sorted(r["pos"] for r in tokens.where("id is null or id = 7").collect()) == [0, 0, 1]
+
+
 def test_message_tokens(spark):
     df = spark.createDataFrame([("Win! WIN a (free) prize-now, at 10:00 in the box",)], "t string")
     out = df.select(text.message_tokens(F.col("t")).alias("x")).first()["x"]
