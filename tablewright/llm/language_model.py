@@ -1,8 +1,11 @@
 """Brown class-based n-grams: P(w | v) = P(class of w | class of v) P(w | class of w).
 
-Frequent words get their class by exchange clustering of the corpus' bigram
-counts, all others by a hash of their last letters.  Frequent words and their
-counts go to every task; the long tail is joined with the counts by Spark.
+Every training word gets its class by exchange clustering of the corpus' bigram
+counts: the most frequent on the driver, one by one, all others side by side
+against the classes of the round before, each from its own neighbours.
+Frequent words with counts and classes go to every task; the long tail is
+joined with its counts and classes by Spark.  A word never seen takes the class
+that holds most training words of its last letters.
 """
 
 from __future__ import annotations
@@ -13,19 +16,24 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.llm.texts import CACHE_WORDS, fold_of, id_and_bytes, id_type
-from tablewright.storage import cut_lineage
+from tablewright.storage import cut_lineage, discard
 
-#: Words whose counts go to every task, the most bytes of one, and how many of them are clustered into how many classes.
+#: Words whose counts go to every task, the most bytes of one, how many of them start the clustering on the driver, and the classes of all words.
 HEAD_WORDS, HEAD_BYTES, CLUSTERED, CLASSES = 1 << 18, 64, 512, 64
-#: Classes of all other words, by their last two bytes.
+#: Where words stand until their first exchange, by their last two bytes.
 SUFFIX_CLASSES = 16
 ROUNDS, ADDED, PRIOR = 6, 0.3, 50.0
 TASK_WORDS = 400_000
-TOKENS_AT_ONCE = 1 << 20
+TOKENS_AT_ONCE = 1 << 21
+#: Neighbours of words whose gains a task computes in one go.
+ROWS_AT_ONCE = 50_000
+#: Pairs of neighbours in a block, and parts into which the frequent words are dealt.
+BLOCK, SLICES = 1 << 18, 64
 
 
 def suffix_class(word: bytes) -> int:
@@ -76,30 +84,207 @@ class Ids(dict):
         return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
 
-def bigram_counts(texts: DataFrame, clustered: list[bytes]) -> np.ndarray:
-    """Counts between clustered words, suffix classes and the end; its size is fixed, so it may come to the driver."""
-    size = len(clustered) + SUFFIX_CLASSES + 1
+def neighbours(texts: DataFrame, words: list[bytes]) -> DataFrame:
+    """Who stands beside whom, counted within tasks: rows (word, next, a, b, n, block).
+
+    A block holds many (a, b, n), ids of `Ids` or the end, b after a.  Words
+    that are not frequent have rows of their own as well: `word` between a and
+    b, with the `next` word where that is not frequent either.
+    """
+    sent = texts.sparkSession.sparkContext.broadcast(words)
+    names = ["word", "next", "a", "b", "n", "block"]
+    types = [pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
 
     def count(batches):
-        ids, total = Ids(clustered), np.zeros(size * size, np.int64)
-        waiting, n = [], 0
+        ids, head = Ids(sent.value), len(sent.value)
+        size = head + SUFFIX_CLASSES + 1
+        waiting, tails, n = [], Counter(), 0
+
+        def flushed():
+            codes, times = np.unique(np.concatenate(waiting), return_counts=True)
+            packs = [pack(codes[i : i + BLOCK] // size, codes[i : i + BLOCK] % size, times[i : i + BLOCK]) for i in range(0, len(codes), BLOCK)]
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(len(packs), t) for t in types[:-1]), pa.array(packs, types[-1])], names=names)
+            if tails:
+                columns = [*zip(*tails), list(tails.values())]
+                yield pa.RecordBatch.from_arrays([*(pa.array(v, t) for v, t in zip(columns, types)), pa.nulls(len(tails), types[-1])], names=names)
+
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                seq = np.concatenate([[size - 1], ids.array(text.lower().split()), [size - 1]])
+                split = text.lower().split()
+                seq = np.concatenate([[size - 1], ids.array(split), [size - 1]])
                 waiting.append(seq[:-1] * size + seq[1:])
+                rare = (seq >= head) & (seq < size - 1)
+                at = np.flatnonzero(rare)
+                if len(at):
+                    after = [split[i] if r else None for i, r in zip(at.tolist(), rare[at + 1].tolist())]
+                    tails.update(zip([split[i - 1] for i in at.tolist()], after, seq[at - 1].tolist(), seq[at + 1].tolist()))
                 n += len(seq)
                 if n > TOKENS_AT_ONCE:
-                    total += np.bincount(np.concatenate(waiting), minlength=size * size)
-                    waiting, n = [], 0
+                    yield from flushed()
+                    waiting, tails, n = [], Counter(), 0
         if waiting:
-            total += np.bincount(np.concatenate(waiting), minlength=size * size)
+            yield from flushed()
+
+    return texts.select("text").mapInArrow(count, "word binary, next binary, a int, b int, n bigint, block binary")
+
+
+def bigram_counts(pairs: DataFrame, of: np.ndarray, states: int) -> np.ndarray:
+    """Counts between the states `of` the ids; its size is fixed, so it may come to the driver."""
+    sent = pairs.sparkSession.sparkContext.broadcast(of)
+
+    def count(batches):
+        total = np.zeros(states * states)
+        for a, b, n in blocks(batches):
+            total += np.bincount(sent.value[a] * states + sent.value[b], n, states * states)
         cells = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(total[cells], pa.int64())], names=["cell", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(total[cells].astype(np.int64), pa.int64())], names=["cell", "n"])
 
-    found = texts.select("text").mapInArrow(count, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    matrix = np.zeros(size * size, np.float64)
+    found = pairs.where("block IS NOT NULL").select("block").mapInArrow(count, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    matrix = np.zeros(states * states, np.float64)
     matrix[found["cell"].to_numpy()] = found["n"].to_numpy()
-    return matrix.reshape(size, size)
+    return matrix.reshape(states, states)
+
+
+def pack(*columns: np.ndarray) -> bytes:
+    """Columns of numbers below 2^31, of one length, as bytes."""
+    return zlib.compress(np.stack(columns).astype(np.int32).tobytes(), 1)
+
+
+def unpack(packed: bytes, columns: int = 3) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(packed), np.int32).reshape(columns, -1).astype(np.int64)
+
+
+def blocks(batches, rows: int = 1 << 20):
+    """The columns of packed blocks, many blocks at a time."""
+    waiting, n = [], 0
+    for batch in batches:
+        for packed in batch.column(0).to_pylist():
+            waiting.append(unpack(packed))
+            n += waiting[-1].shape[1]
+            if n > rows:
+                yield np.concatenate(waiting, 1)
+                waiting, n = [], 0
+    if waiting:
+        yield np.concatenate(waiting, 1)
+
+
+def head_classes(pairs: DataFrame, of: np.ndarray, moving: np.ndarray, between: np.ndarray, classes: int) -> DataFrame:
+    """(word, class) of the `moving` frequent words, ids, each in its best class.
+
+    A word's neighbours are counted by state, those before it behind all those
+    after it.  The words are dealt to SLICES; the counts of one slice have a
+    fixed size.
+    """
+    sent = pairs.sparkSession.sparkContext.broadcast((of, moving, between))
+    width = 2 * len(between)
+
+    def count(batches):
+        of, moving, _ = sent.value
+        for a, b, n in blocks(batches):
+            first, second = moving[a], moving[b]
+            word, code = np.concatenate([a[first], b[second]]), np.concatenate([of[b[first]], len(between) + of[a[second]]])
+            keys, at = np.unique((word % SLICES * len(of) + word // SLICES) * width + code, return_inverse=True)
+            n = np.bincount(at, np.concatenate([n[first], n[second]]), len(keys))
+            ends = np.searchsorted(keys, np.arange(1, SLICES + 1) * len(of) * width)
+            places = keys % (len(of) * width)
+            packed = [pack(places[i:j] // width, places[i:j] % width, n[i:j]) for i, j in zip([0, *ends], ends)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array(packed, pa.binary())], names=["slice", "block"])
+
+    def move(batches):
+        of, _, between = sent.value
+        rows, now, total = -(-len(of) // SLICES), None, None
+
+        def moved():
+            word, code = np.nonzero(total)
+            starts = np.flatnonzero(np.diff(word, prepend=-1))
+            ids = word[starts] * SLICES + now
+            best = runs_of_words(code, total[word, code], starts, of[ids], between, classes)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(best, pa.int32())], names=["word", "class"])
+
+        for batch in batches:
+            for part, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if part != now:
+                    if now is not None:
+                        yield from moved()
+                    now, total = part, np.zeros((rows, width))
+                word, code, n = unpack(packed)
+                total[word, code] += n  # a block has a pair once
+        if now is not None:
+            yield from moved()
+
+    counted = pairs.where("block IS NOT NULL").select("block").mapInArrow(count, "slice int, block binary")
+    return counted.repartition(SLICES, "slice").sortWithinPartitions("slice").mapInArrow(move, "word int, class int")
+
+
+def xlogx(values):
+    return values * np.log(np.maximum(values, 1))
+
+
+def best_classes(codes: np.ndarray, n: np.ndarray, starts: np.ndarray, own: np.ndarray, between: np.ndarray, classes: int) -> np.ndarray:
+    """The class that gains most likelihood for every word, its neighbours staying where they are.
+
+    The neighbours of a word are a run of `codes` that begins at its `starts`;
+    `own` is the class whose counts hold the word's own, or none of `classes`.
+    """
+    states = len(between)
+    cells = np.concatenate([between[:classes].T, between[:, :classes]])
+    sums = between[:classes].sum(1), between[:, :classes].sum(0)
+    which = np.repeat(np.arange(len(starts)), np.diff([*starts, len(codes)]))
+    here = own[:, None] == np.arange(classes)
+    without = cells[codes] - here[which] * n[:, None]
+    gain = np.add.reduceat(xlogx(without + n[:, None]) - xlogx(without), starts, 0)
+    for total, side in zip(sums, (codes < states, codes >= states)):
+        of_word = np.bincount(which, n * side, len(starts))[:, None]
+        without = total - here * of_word
+        gain -= xlogx(without + of_word) - xlogx(without)
+    return gain.argmax(1)
+
+
+def runs_of_words(codes, n, starts, own, between, classes) -> np.ndarray:
+    """As `best_classes`, some words at a time."""
+    ends, best, first = np.append(starts[1:], len(codes)), np.empty(len(starts), np.int64), 0
+    while first < len(starts):
+        start = starts[first]
+        last = max(first + 1, int(np.searchsorted(ends, start + ROWS_AT_ONCE, "right")))
+        rows = slice(start, ends[last - 1])
+        best[first:last] = best_classes(codes[rows], n[rows], starts[first:last] - start, own[first:last], between, classes)
+        first = last
+    return best
+
+
+def tail_classes(pairs: DataFrame, of: np.ndarray, between: np.ndarray, classes: int) -> DataFrame:
+    """(word, class, suffix, c) of every word that is not frequent, in its best class; `c` is its count."""
+    sent = pairs.sparkSession.sparkContext.broadcast((of, between))
+    states = len(between)
+
+    def code(batches):
+        of, _ = sent.value
+        for batch in batches:
+            before, after = (of[batch.column(i).to_numpy()] for i in (1, 2))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(before * states + after, pa.int32()), batch.column(3)], names=["word", "code", "n"])
+
+    def move(batches):
+        _, between = sent.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            words, lists = batch.column(0), batch.column(1)
+            which = np.repeat(np.arange(len(words)), np.asarray(pa.compute.list_value_length(lists)))
+            flat = lists.flatten()
+            beside, n = flat.field(0).to_numpy().astype(np.int64), flat.field(1).to_numpy().astype(np.float64)
+            keys = np.concatenate([which * 2 * states + beside % states, which * 2 * states + states + beside // states])
+            keys, at = np.unique(keys, return_inverse=True)
+            times = np.bincount(at, np.concatenate([n, n]))
+            starts = np.searchsorted(keys, np.arange(len(words)) * 2 * states)
+            best = runs_of_words(keys % (2 * states), times, starts, np.full(len(words), classes), between, classes)
+            suffix = [suffix_class(w) for w in words.to_pylist()]
+            c = np.bincount(which, n, len(words)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([words, pa.array(best, pa.int32()), pa.array(suffix, pa.int32()), pa.array(c)], names=["word", "class", "suffix", "c"])
+
+    rows = pairs.where("word IS NOT NULL").select("word", "a", "b", "n").mapInArrow(code, "word binary, code int, n bigint")
+    # At most states * states neighbours of a word, however often it stands.
+    grouped = rows.repartition("word").groupBy("word", "code").agg(F.sum("n").alias("n")).groupBy("word").agg(F.collect_list(F.struct("code", "n")).alias("at"))
+    return grouped.mapInArrow(move, "word binary, class int, suffix int, c bigint")
 
 
 def exchange(bigrams: np.ndarray, clustered: int, classes: int, rounds: int) -> np.ndarray:
@@ -111,10 +296,6 @@ def exchange(bigrams: np.ndarray, clustered: int, classes: int, rounds: int) ->
     onto = np.zeros((len(bigrams), total))
     onto[np.arange(len(bigrams)), of] = 1
     between = onto.T @ bigrams @ onto
-
-    def xlogx(values):
-        return values * np.log(np.maximum(values, 1))
-
     for _ in range(rounds):
         moved = 0
         for w in range(clustered):
@@ -148,9 +329,11 @@ def exchange(bigrams: np.ndarray, clustered: int, classes: int, rounds: int) ->
 @dataclass
 class Model:
     words: list[bytes]  # the head, most frequent first
-    class_of: np.ndarray  # of head words, then suffix classes, then the end
-    transition: np.ndarray  # log10 P(class | class)
-    emission: np.ndarray  # log10 P(word | class); for the tail without the word's own count
+    class_of: np.ndarray  # of head words, then -1 for all others, then the end
+    transition: np.ndarray  # log10 P(class | class), the end behind the classes
+    below: np.ndarray  # log10 of what a class' counts are divided by
+    unseen: np.ndarray  # class of words never seen, by suffix
+    emission: np.ndarray  # log10 P(word | class) of head words, then 0
     base: np.ndarray  # log10 of count + 1
     tokens: int
     distinct: int
@@ -169,39 +352,91 @@ def most_frequent(counts: DataFrame) -> DataFrame:
     return short.where(F.col("c") >= (least or 1 << 62))
 
 
-def fit(texts: DataFrame, counts: DataFrame) -> Model:
-    """The model of the training `texts`, whose word counts are `counts`."""
+def classes_of_head(pairs: DataFrame, suffix: np.ndarray) -> tuple[np.ndarray, int]:
+    """(class of every frequent word, number of classes), by rounds over all of them.
+
+    The first words are exchanged one by one; all others join them at once, then
+    each half of the words moves against the other.  Other words and the end
+    are states of their own.
+    """
+    head = len(suffix)
+    first = min(CLUSTERED, head)
+    rest = np.concatenate([suffix, np.arange(SUFFIX_CLASSES + 1)])
+    seeds = np.concatenate([np.arange(first), first + rest[first:]])
+    of = exchange(bigram_counts(pairs, seeds, first + SUFFIX_CLASSES + 1), first, CLASSES, ROUNDS)[:first]
+    classes = max(1, min(CLASSES, first))
+    of = np.concatenate([of, classes + rest[first:]])
+    states, ids = classes + SUFFIX_CLASSES + 1, np.arange(len(of))
+    for chosen in (ids >= first, ids % 2 == 0, ids % 2 == 1):
+        moving = chosen & (ids < head)
+        if head > first and moving.any():
+            between = bigram_counts(pairs, of, states)
+            found = head_classes(pairs, of, moving, between, classes).toArrow()  # two numbers for each of HEAD_WORDS
+            of = of.copy()
+            of[found["word"].to_numpy()] = found["class"].to_numpy()
+    return of[:head], classes
+
+
+def tail_transitions(pairs: DataFrame, lexicon: DataFrame, of: np.ndarray, classes: int) -> np.ndarray:
+    """Counts between classes and the end of all bigrams with a word that is not frequent."""
+    sent = pairs.sparkSession.sparkContext.broadcast(of)
+
+    def code(batches):
+        for batch in batches:
+            a, b = (pa.array(sent.value[batch.column(i).to_numpy()], pa.int32()) for i in (2, 3))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), a, b, batch.column(4)], names=["word", "next", "a", "b", "n"])
+
+    rows = pairs.where("word IS NOT NULL").drop("block").mapInArrow(code, "word binary, next binary, a int, b int, n bigint")
+    known = lexicon.select("word", "class")
+    # Once per pair: as the word before where the next is frequent or rare, as the word after where the one before is frequent.
+    own = rows.join(known, "word")
+    beside = F.array(F.when(F.col("a") >= 0, F.struct(F.col("a").alias("x"), F.col("class").alias("y"))), F.when(F.col("b") >= 0, F.struct(F.col("class").alias("x"), F.col("b").alias("y"))))
+    single = own.select("n", F.explode(beside).alias("at")).where("at IS NOT NULL").select("at.x", "at.y", "n")
+    both = own.where("next IS NOT NULL").groupBy("next", F.col("class").alias("x")).agg(F.sum("n").alias("n"))
+    double = both.join(known.withColumnRenamed("word", "next"), "next").select("x", F.col("class").alias("y"), "n")
+    counts = np.zeros((classes + 1, classes + 1))
+    for x, y, n in single.unionByName(double).groupBy("x", "y").agg(F.sum("n")).collect():  # a row for each pair of classes
+        counts[x, y] += n
+    return counts
+
+
+def fit(texts: DataFrame, counts: DataFrame) -> tuple[Model, DataFrame]:
+    """The model of the training `texts`, whose word counts are `counts`, and (word, class, suffix, c) of all words that are not in its head."""
     n_docs = texts.count()
     sums = counts.agg(F.sum("c"), F.count(F.lit(1))).first()
     head = most_frequent(counts).toArrow()  # at most HEAD_WORDS words of HEAD_BYTES
     ranked = sorted(zip((-head["c"].to_numpy()).tolist(), head["word"].to_pylist(), head["suffix"].to_pylist()))
     words, c = [r[1] for r in ranked], -np.array([r[0] for r in ranked], np.float64)
-    clustered = min(CLUSTERED, len(words))
-    bigrams = bigram_counts(texts, words[:clustered])
-    of = exchange(bigrams, clustered, CLASSES, ROUNDS)
-    total = int(of.max()) + 1
-    onto = np.zeros((len(of), total))
-    onto[np.arange(len(of)), of] = 1
-    between = onto.T @ bigrams @ onto
-    share = (between.sum(0) + 1) / (between.sum() + total)
-    transition = np.log10((between + PRIOR * share) / (between.sum(1, keepdims=True) + PRIOR))
-    # Words and tokens of each class: of all counted words by suffix, less those that are clustered.
-    by_suffix = {r[0]: (r[1], r[2]) for r in counts.groupBy("suffix").agg(F.sum("c"), F.count(F.lit(1))).collect()}
     suffix = np.array([r[2] for r in ranked], np.int64)
-    mass, kinds = np.zeros(total), np.zeros(total)
-    for s, (tokens, distinct) in by_suffix.items():
-        mass[of[clustered + s]] += tokens - c[:clustered][suffix[:clustered] == s].sum()
-        kinds[of[clustered + s]] += distinct - (suffix[:clustered] == s).sum()
-    np.add.at(mass, of[:clustered], c[:clustered])
-    np.add.at(kinds, of[:clustered], 1)
-    open_class = np.zeros(total)
-    open_class[of[clustered : clustered + SUFFIX_CLASSES]] = 1  # only these may emit unseen words
-    below = np.log10(np.maximum(mass + ADDED * (kinds + open_class), ADDED))
-    class_of = np.concatenate([of[:clustered], of[clustered + suffix[clustered:]], of[clustered : clustered + SUFFIX_CLASSES], of[-1:]])
-    tail = clustered + SUFFIX_CLASSES
-    emission = np.concatenate([np.log10(c + ADDED) - below[class_of[: len(c)]], -below[of[clustered:tail]], [0.0]])
+    pairs = cut_lineage(neighbours(texts, words), "neighbours")
+    of, classes = classes_of_head(pairs, suffix)
+    states, size = classes + SUFFIX_CLASSES + 1, len(words)
+    now = np.concatenate([of, np.arange(classes, states)])
+    lexicon = cut_lineage(tail_classes(pairs, now, bigram_counts(pairs, now, states), classes), "lexicon")
+    # From here on every word stands in its class, and only the end beside the classes.
+    class_of = np.concatenate([of, np.full(SUFFIX_CLASSES, -1), [classes]])
+    among = np.concatenate([of, np.full(SUFFIX_CLASSES, classes + 1), [classes]])
+    between = bigram_counts(pairs, among, classes + 2)[: classes + 1, : classes + 1] + tail_transitions(pairs, lexicon, class_of, classes)
+    discard(pairs)
+    share = (between.sum(0) + 1) / (between.sum() + classes + 1)
+    transition = np.log10((between + PRIOR * share) / (between.sum(1, keepdims=True) + PRIOR))
+    mass, kinds = np.bincount(of, c, classes), np.zeros((SUFFIX_CLASSES, classes))
+    np.add.at(kinds, (suffix, of), 1)
+    for s, k, tokens, distinct in lexicon.groupBy("suffix", "class").agg(F.sum("c"), F.count(F.lit(1))).collect():
+        mass[k] += tokens
+        kinds[s, k] += distinct
+    # Suffixes that no word has go by all words.
+    unseen = np.where(kinds.any(1, keepdims=True), kinds, kinds.sum(0)).argmax(1)
+    below = np.log10(np.maximum(mass + ADDED * (kinds.sum(0) + np.isin(np.arange(classes), unseen)), ADDED))
+    emission = np.concatenate([np.log10(c + ADDED) - below[of], np.zeros(SUFFIX_CLASSES + 1)])
     base = np.concatenate([np.log10(c + 1), np.zeros(SUFFIX_CLASSES), [np.log10(n_docs + 1)]])
-    return Model(words, class_of, transition, emission, base, int(sums[0] or 0) + n_docs, sums[1] + (n_docs > 0))
+    assert len(class_of) == size + SUFFIX_CLASSES + 1
+    return Model(words, class_of, transition, below, unseen, emission, base, int(sums[0] or 0) + n_docs, sums[1] + (n_docs > 0)), lexicon
+
+
+def looked_up(values: np.ndarray, at: Column) -> Column:
+    """The number at a place of a short array."""
+    return F.element_at(F.split(F.lit(",".join(map(repr, values.ravel().tolist()))), ",").cast("array<double>"), (at + 1).cast("int"))
 
 
 def class_ngrams(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out: Column | None = None, folds: int = 7, fold: int = 2) -> DataFrame:
@@ -214,10 +449,12 @@ def class_ngrams(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     source = id_and_bytes(docs, id_col, text_col).withColumn("held", fold_of(F.col("id"), folds) == fold)
     training = source.where(~F.col("held"))
     counts = cut_lineage(word_counts(training), "word-counts")
-    model = fit(training, counts)
+    model, lexicon = fit(training, counts)
+    discard(counts)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     # Row numbers hold within this one pass; id and fold travel with it.
-    fields = [("row", pa.int64()), ("word", pa.binary()), ("tf", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())]
+    fields = [("row", pa.int64()), ("word", pa.binary()), ("tf", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("next", pa.binary()), ("at", pa.int32())]
+    wide, most = len(model.below) + 2, SUFFIX_CLASSES
 
     def compute(batches):
         m = sent.value
@@ -242,15 +479,23 @@ def class_ngrams(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 words = text.lower().split()
                 seq = np.concatenate([[end], ids.array(words), [end]])
                 classes = m.class_of[seq]
+                rare = classes < 0
                 in_head = int((seq < head).sum())
-                score = float(m.transition[classes[:-1], classes[1:]].sum() + m.emission[seq[1:]].sum())
+                sure = ~(rare[:-1] | rare[1:])
+                score = float(m.transition[classes[:-1][sure], classes[1:][sure]].sum() + m.emission[seq[1:]].sum())
                 # A key of its own, which is no word, spreads these rows.
+                own = b" %d" % row
                 at.append(place)
-                put(row, b" %d" % row, len(seq) - 1, in_head + known_end, float(m.base[seq[1:]].sum()), score)
-                tail = np.flatnonzero((seq >= head) & (seq != end)) - 1
-                for word, n in Counter([words[i] for i in tail.tolist()]).items():
-                    at.append(None)
-                    put(row, word, n, None, None, None)
+                put(row, own, len(seq) - 1, in_head + known_end, float(m.base[seq[1:]].sum()), score, own, 0)
+                tail = np.flatnonzero(rare)
+                if len(tail):
+                    after = np.where(rare[tail + 1], seq[tail + 1] - head, 0)
+                    # The classes on both sides, 0 where they are to be joined, and the suffixes of the word and the next.
+                    codes = (((classes[tail - 1] + 1) * wide + classes[tail + 1] + 1) * most + seq[tail] - head) * most + after
+                    follows = [words[i] if r else own for i, r in zip(tail.tolist(), rare[tail + 1].tolist())]
+                    for (word, following, code), n in Counter(zip([words[i - 1] for i in tail.tolist()], follows, codes.tolist())).items():
+                        at.append(None)
+                        put(row, word, n, None, None, None, following, code)
                 if len(columns[0]) > 50_000:
                     yield flushed()
                     columns, at = [[] for _ in fields], []
@@ -259,19 +504,41 @@ def class_ngrams(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     numbered = source.withColumn("row", F.monotonically_increasing_id())
     kind = id_type(docs, id_col)
-    parts = numbered.select("row", "text", "id", "held").mapInArrow(compute, f"row bigint, word binary, tf bigint, known bigint, base double, score double, id {kind}, held boolean")
-    c = F.coalesce("c", F.lit(0))
+    parts = numbered.select("row", "text", "id", "held").mapInArrow(
+        compute, f"row bigint, word binary, tf bigint, known bigint, base double, score double, next binary, at int, id {kind}, held boolean"
+    )
     own = F.col("known").isNotNull()
+    after, word = F.col("at") % most, F.floor(F.col("at") / most) % most
+    right, left = F.floor(F.col("at") / most**2) % wide, F.floor(F.col("at") / (most**2 * wide))
+    known = lexicon.select("word", "c", "class")
+    first = parts.join(known, "word", "left").withColumns({"c": F.coalesce("c", F.lit(0)), "class": F.coalesce("class", looked_up(model.unseen, word).cast("int"))})
+
+    def step(x, y):
+        return looked_up(model.transition, x * len(model.transition) + y)
+
+    shares = F.log10(F.col("c") + ADDED) - looked_up(model.below, F.col("class")) + F.when(left > 0, step(left - 1, F.col("class"))).otherwise(0) + F.when(right > 0, step(F.col("class"), right - 1)).otherwise(0)
+    weighed = first.select(
+        "row", "id", "held", "next", after.alias("after"),
+        F.when(~own & (right == 0), F.col("class")).alias("class"),
+        F.when(~own & (right == 0), F.col("tf")).alias("tf"),
+        F.when(own, F.col("tf")).alias("n_tokens"),
+        F.when(own, F.col("known")).otherwise(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("n_known"),
+        F.when(own, F.col("base")).otherwise(F.col("tf") * F.log10(F.col("c") + 1)).alias("base"),
+        F.when(own, F.col("score")).otherwise(F.col("tf") * shares).alias("score"),
+    )
+    # Two words in a row that are not frequent: the class of the next is joined too.
+    following = known.select(F.col("word").alias("next"), F.col("class").alias("next_class"))
+    pair = step(F.col("class"), F.coalesce("next_class", looked_up(model.unseen, F.col("after")).cast("int")))
     sums = (
-        parts.join(counts.select("word", "c"), "word", "left")
+        weighed.join(following, "next", "left")
         .groupBy("row")
         .agg(
             F.first("id", True).alias("id"),
             F.first("held", True).alias("held"),
-            F.sum(F.when(own, F.col("tf"))).alias("n_tokens"),
-            F.sum(F.when(own, F.col("known")).otherwise(F.when(c > 0, F.col("tf")).otherwise(0))).alias("n_known"),
-            F.sum(F.when(own, F.col("base")).otherwise(F.col("tf") * F.log10(c + 1))).alias("base"),
-            F.sum(F.when(own, F.col("score")).otherwise(F.col("tf") * F.log10(c + ADDED))).alias("score"),
+            F.sum("n_tokens").alias("n_tokens"),
+            F.sum("n_known").alias("n_known"),
+            F.sum("base").alias("base"),
+            F.sum(F.col("score") + F.when(F.col("class").isNotNull(), F.col("tf") * pair).otherwise(0)).alias("score"),
         )
     )
     denominator = float(np.log10(model.tokens + model.distinct + 1))

@@ -205,6 +205,67 @@ def test_no_single_exchange_gains_likelihood():
             assert likelihood(moved) <= likelihood(of) + 1e-6
 
 
+@pytest.mark.parametrize("head", [0, 12, 1 << 18])
+def test_class_scores_as_plain_python(docs, texts, head, monkeypatch):
+    """Classes of frequent and joined words alike give the bigrams, the divisors and the scores."""
+    made, fit = [], language_model.fit
+
+    def kept(*args):
+        model, lexicon = fit(*args)
+        made.append((model, lexicon.collect()))
+        return model, lexicon
+
+    monkeypatch.setattr(language_model, "HEAD_WORDS", head)
+    monkeypatch.setattr(language_model, "CLUSTERED", 6)
+    monkeypatch.setattr(language_model, "fit", kept)
+    got = {r.doc_id: r.score for r in language_model.class_ngrams(docs).collect()}
+    model, lexicon = made[0]
+    classes = len(model.below)
+    of = {bytes(r["word"]): r["class"] for r in lexicon} | dict(zip(model.words, model.class_of.tolist()))
+    split = {i: (t or "").encode().lower().split() for i, t in texts.items()}
+    train = [i for i in texts if zlib.crc32(str(i).encode()) % 7 != 2]
+    c = Counter(w for i in train for w in split[i])
+    assert {bytes(r["word"]): r["c"] for r in lexicon} == {w: n for w, n in c.items() if w not in set(model.words)}
+    assert set(of) == set(c) and set(of.values()) <= set(range(classes))
+    between = np.zeros((classes + 1, classes + 1))
+
+    def states(words):
+        return [classes, *[of.get(w, model.unseen[language_model.suffix_class(w)]) for w in words], classes]
+
+    for i in train:
+        seq = states(split[i])
+        np.add.at(between, (seq[:-1], seq[1:]), 1)
+    share = (between.sum(0) + 1) / (between.sum() + classes + 1)
+    step = np.log10((between + language_model.PRIOR * share) / (between.sum(1, keepdims=True) + language_model.PRIOR))
+    mass = [sum(n for w, n in c.items() if of[w] == k) + language_model.ADDED * (sum(of[w] == k for w in c) + (k in model.unseen)) for k in range(classes)]
+    for i, words in split.items():
+        seq = states(words)
+        want = sum(step[a, b] for a, b in zip(seq, seq[1:])) + sum(log10((c[w] + language_model.ADDED) / max(mass[k], language_model.ADDED)) for w, k in zip(words, seq[1:]))
+        assert got[i] == pytest.approx(want)
+
+
+@pytest.mark.parametrize("head", [560, 1 << 18])
+def test_rare_words_are_clustered_by_their_neighbours(spark, head, monkeypatch):
+    """Words past the 512 most frequent get classes of their own accord, whatever their letters."""
+    rng = random.Random(7)
+    common = [f"{kind}{i}" for kind in "pq" for i in range(280)]
+    rare = {kind: [f"{kind}rare{i}same" for i in range(60)] for kind in "pq"}
+
+    def line(kind, word):
+        return " ".join([rng.choice(common[:280] if kind == "p" else common[280:]) for _ in range(6)] + [word] + [rng.choice(common[:280] if kind == "p" else common[280:]) for _ in range(6)])
+
+    rows = [(i, line("pq"[i % 2], rare["pq"[i % 2]][i // 2 % 60])) for i in range(2400)]
+    held = [i for i in range(5000, 9000) if zlib.crc32(str(i).encode()) % 7 == 2][:400]
+    for a, b in zip(held[::2], held[1::2]):
+        kind, n = rng.choice("pq"), rng.randrange(60)
+        fits = line(kind, rare[kind][n])
+        rows += [(a, fits), (b, fits.replace(rare[kind][n], rare["q" if kind == "p" else "p"][n]))]
+    monkeypatch.setattr(language_model, "HEAD_WORDS", head)
+    got = {r.doc_id: r.score for r in language_model.class_ngrams(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    better = [got[a] > got[b] + 0.1 for a, b in zip(held[::2], held[1::2])]
+    assert np.mean(better) > 0.9
+
+
 def test_toxicity_training_beats_its_start(spark):
     folder = "/root/testdata/sf0.1"
     docs, marks = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
