@@ -11,16 +11,16 @@ that holds most training words of its last letters.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.texts import CACHE_WORDS, fold_of, id_and_bytes, id_type
+from tablewright.llm.texts import fold_of, id_and_bytes, id_type
 from tablewright.storage import cut_lineage, discard
 
 #: Words whose counts go to every task, the most bytes of one, how many of them start the clustering on the driver, and the classes of all words.
@@ -28,10 +28,10 @@ HEAD_WORDS, HEAD_BYTES, CLUSTERED, CLASSES = 1 << 18, 64, 512, 64
 #: Where words stand until their first exchange, by their last two bytes.
 SUFFIX_CLASSES = 16
 ROUNDS, ADDED, PRIOR = 6, 0.3, 50.0
-TASK_WORDS = 400_000
-TOKENS_AT_ONCE = 1 << 21
-#: Neighbours of words whose gains a task computes in one go.
-ROWS_AT_ONCE = 50_000
+#: Bytes of texts split in one go, and tokens whose neighbours are counted in one go.
+TEXT_BYTES, TOKENS_AT_ONCE = 1 << 22, 1 << 21
+#: Neighbours of words whose gains a task computes in one go, and counts up to which it looks gains up.
+ROWS_AT_ONCE, SMALL = 4_000, 16
 #: Pairs of neighbours in a block, and parts into which the frequent words are dealt.
 BLOCK, SLICES = 1 << 18, 64
 
@@ -40,48 +40,80 @@ def suffix_class(word: bytes) -> int:
     return zlib.crc32(word[-2:]) % SUFFIX_CLASSES
 
 
+@cache
+def suffix_table() -> np.ndarray:
+    """The suffix class of every two bytes, then of every single one."""
+    words = [bytes([a, b]) for a in range(256) for b in range(256)] + [bytes([a]) for a in range(256)]
+    return np.array([suffix_class(w) for w in words])
+
+
+def suffix_classes(words: pa.Array) -> np.ndarray:
+    """`suffix_class` of many words, none of them empty."""
+    if not len(words):
+        return np.empty(0, np.int64)
+    offsets, data = (np.frombuffer(buffer, kind) for buffer, kind in zip(words.buffers()[1:], (np.int32, np.uint8)))
+    ends, sizes = offsets[words.offset + 1 :][: len(words)], np.diff(offsets[words.offset :][: len(words) + 1])
+    last = data[ends - 1].astype(np.int64)
+    return suffix_table()[np.where(sizes > 1, data[ends - 2] * np.int64(256) + last, (1 << 16) + last)]
+
+
+def texts_at_once(batches, text_at: int = 0):
+    """The batches, cut where their texts come to TEXT_BYTES."""
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch.column(text_at)).to_numpy(), dtype=np.int64)
+        first = 0
+        while first < len(ends):
+            before = ends[first - 1] if first else 0
+            last = max(first + 1, int(np.searchsorted(ends, before + TEXT_BYTES, "right")))
+            yield batch.slice(first, last - first)
+            first = last
+
+
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The lower-case words of all texts, as bytes, and how many each text has."""
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(texts.view(pa.string())))
+    words, offsets = parts.flatten().cast(pa.binary()), parts.offsets.to_numpy()
+    full = pc.binary_length(words).to_numpy() > 0  # white space at either end leaves an empty part
+    ends = np.append(0, np.cumsum(full))
+    return words if full.all() else words.filter(pa.array(full)), np.diff(ends[offsets])
+
+
 def word_counts(texts: DataFrame) -> DataFrame:
     """(word, suffix, c) over all texts, counted within tasks before the shuffle; `word` is lower-case bytes."""
 
-    def flushed(counter):
-        words = list(counter)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(words, pa.binary()), pa.array([suffix_class(w) for w in words], pa.int32()), pa.array(list(counter.values()), pa.int64())], names=["word", "suffix", "c"]
-        )
-
     def count(batches):
-        counter: Counter = Counter()
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                counter.update(text.lower().split())
-                if len(counter) > TASK_WORDS:
-                    yield flushed(counter)
-                    counter = Counter()
-        if counter:
-            yield flushed(counter)
+        for piece in texts_at_once(batches):
+            found = split_words(piece.column(0))[0].value_counts()
+            yield pa.RecordBatch.from_arrays([found.field(0), found.field(1)], names=["word", "c"])
+
+    counted = texts.select("text").mapInArrow(count, "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
+    return counted.select("word", (F.crc32(F.substring("word", -2, 2)) % SUFFIX_CLASSES).cast("int").alias("suffix"), "c")
+
 
-    return texts.select("text").mapInArrow(count, "word binary, suffix int, c bigint").groupBy("word", "suffix").agg(F.sum("c").alias("c"))
+def word_ids(words: pa.Array, head: pa.Array) -> np.ndarray:
+    """The place of each word among the frequent ones, else their number + its suffix class."""
+    ids = pc.index_in(words, value_set=head).fill_null(-1).to_numpy().astype(np.int64)
+    rare = np.flatnonzero(ids < 0)
+    ids[rare] = len(head) + suffix_classes(words.take(pa.array(rare)))
+    return ids
 
 
-class Ids(dict):
-    """word -> its place among the frequent words, else `size` + its suffix class."""
+def in_a_row(ids: np.ndarray, counts: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts with the `end` before, between and behind them, and the place of each word."""
+    places = np.arange(len(ids)) + np.repeat(np.arange(len(counts)), counts) + 1
+    seq = np.full(len(ids) + len(counts) + 1, end)
+    seq[places] = ids
+    return seq, places
 
-    def __init__(self, words: list[bytes]):
-        self.words = words
-        self.reset()
 
-    def reset(self) -> None:
-        self.clear()
-        self.update(zip(self.words, range(len(self.words))))
+def next_words(words: pa.Array, at: np.ndarray, wanted: np.ndarray) -> pa.Array:
+    """The word behind each of those `at`, null where it is not `wanted`."""
+    return words.take(pa.array(at + 1, mask=~wanted))
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS + len(self.words):
-            self.reset()
-        value = self[word] = len(self.words) + suffix_class(word)
-        return value
 
-    def array(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+def counted_rows(columns: dict) -> pa.Table:
+    """The distinct rows of some columns, with how often they stand as `count_all`."""
+    return pa.table(columns).group_by(list(columns), use_threads=False).aggregate([([], "count_all")]).combine_chunks()
 
 
 def neighbours(texts: DataFrame, words: list[bytes]) -> DataFrame:
@@ -91,39 +123,37 @@ def neighbours(texts: DataFrame, words: list[bytes]) -> DataFrame:
     that are not frequent have rows of their own as well: `word` between a and
     b, with the `next` word where that is not frequent either.
     """
-    sent = texts.sparkSession.sparkContext.broadcast(words)
+    sent = texts.sparkSession.sparkContext.broadcast(pa.array(words, pa.binary()))
     names = ["word", "next", "a", "b", "n", "block"]
     types = [pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
 
     def count(batches):
-        ids, head = Ids(sent.value), len(sent.value)
-        size = head + SUFFIX_CLASSES + 1
-        waiting, tails, n = [], Counter(), 0
+        head = sent.value
+        size = len(head) + SUFFIX_CLASSES + 1
+        waiting, n = [], 0
 
         def flushed():
             codes, times = np.unique(np.concatenate(waiting), return_counts=True)
             packs = [pack(codes[i : i + BLOCK] // size, codes[i : i + BLOCK] % size, times[i : i + BLOCK]) for i in range(0, len(codes), BLOCK)]
-            yield pa.RecordBatch.from_arrays([*(pa.nulls(len(packs), t) for t in types[:-1]), pa.array(packs, types[-1])], names=names)
-            if tails:
-                columns = [*zip(*tails), list(tails.values())]
-                yield pa.RecordBatch.from_arrays([*(pa.array(v, t) for v, t in zip(columns, types)), pa.nulls(len(tails), types[-1])], names=names)
-
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                split = text.lower().split()
-                seq = np.concatenate([[size - 1], ids.array(split), [size - 1]])
-                waiting.append(seq[:-1] * size + seq[1:])
-                rare = (seq >= head) & (seq < size - 1)
-                at = np.flatnonzero(rare)
-                if len(at):
-                    after = [split[i] if r else None for i, r in zip(at.tolist(), rare[at + 1].tolist())]
-                    tails.update(zip([split[i - 1] for i in at.tolist()], after, seq[at - 1].tolist(), seq[at + 1].tolist()))
-                n += len(seq)
-                if n > TOKENS_AT_ONCE:
-                    yield from flushed()
-                    waiting, tails, n = [], Counter(), 0
+            return pa.RecordBatch.from_arrays([*(pa.nulls(len(packs), t) for t in types[:-1]), pa.array(packs, types[-1])], names=names)
+
+        for piece in texts_at_once(batches):
+            words, counts = split_words(piece.column(0))
+            ids = word_ids(words, head)
+            seq, places = in_a_row(ids, counts, size - 1)
+            waiting.append(seq[:-1] * size + seq[1:])
+            n += len(seq)
+            rare = np.flatnonzero(ids >= len(head))
+            if len(rare):
+                before, after = (seq[places[rare] + step].astype(np.int32) for step in (-1, 1))
+                following = next_words(words, rare, (after >= len(head)) & (after < size - 1))
+                found = counted_rows({"word": words.take(pa.array(rare)), "next": following, "a": before, "b": after})
+                yield from found.append_column("block", pa.nulls(len(found), types[-1])).rename_columns(names).to_batches()
+            if n > TOKENS_AT_ONCE:
+                yield flushed()
+                waiting, n = [], 0
         if waiting:
-            yield from flushed()
+            yield flushed()
 
     return texts.select("text").mapInArrow(count, "word binary, next binary, a int, b int, n bigint, block binary")
 
@@ -145,6 +175,13 @@ def bigram_counts(pairs: DataFrame, of: np.ndarray, states: int) -> np.ndarray:
     return matrix.reshape(states, states)
 
 
+def folded(counts: np.ndarray, onto: np.ndarray, states: int) -> np.ndarray:
+    """Counts between states that are summed into others, `onto` which each goes."""
+    matrix = np.zeros((states, states))
+    np.add.at(matrix, (onto[:, None], onto), counts)
+    return matrix
+
+
 def pack(*columns: np.ndarray) -> bytes:
     """Columns of numbers below 2^31, of one length, as bytes."""
     return zlib.compress(np.stack(columns).astype(np.int32).tobytes(), 1)
@@ -183,10 +220,13 @@ def head_classes(pairs: DataFrame, of: np.ndarray, moving: np.ndarray, between:
         for a, b, n in blocks(batches):
             first, second = moving[a], moving[b]
             word, code = np.concatenate([a[first], b[second]]), np.concatenate([of[b[first]], len(between) + of[a[second]]])
-            keys, at = np.unique((word % SLICES * len(of) + word // SLICES) * width + code, return_inverse=True)
-            n = np.bincount(at, np.concatenate([n[first], n[second]]), len(keys))
-            ends = np.searchsorted(keys, np.arange(1, SLICES + 1) * len(of) * width)
-            places = keys % (len(of) * width)
+            # Key and count sorted as one number.
+            rows = -(-len(of) // SLICES)
+            both = np.sort(((word % SLICES * rows + word // SLICES) * width + code) << 31 | np.concatenate([n[first], n[second]]))
+            starts = np.flatnonzero(np.diff(both >> 31, prepend=-1))
+            keys, n = both[starts] >> 31, np.add.reduceat(both & (1 << 31) - 1, starts)
+            ends = np.searchsorted(keys, np.arange(1, SLICES + 1) * rows * width)
+            places = keys % (rows * width)
             packed = [pack(places[i:j] // width, places[i:j] % width, n[i:j]) for i, j in zip([0, *ends], ends)]
             yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array(packed, pa.binary())], names=["slice", "block"])
 
@@ -220,34 +260,49 @@ def xlogx(values):
     return values * np.log(np.maximum(values, 1))
 
 
-def best_classes(codes: np.ndarray, n: np.ndarray, starts: np.ndarray, own: np.ndarray, between: np.ndarray, classes: int) -> np.ndarray:
+class Gains:
+    """What xlogx of the numbers of a table gains in each of its columns as a count is added to them."""
+
+    def __init__(self, table: np.ndarray):
+        self.table = table
+        # Most counts are small: these are looked up.
+        self.small = np.stack([xlogx(table + n) - xlogx(table) for n in range(SMALL + 1)])
+
+    def of(self, rows: np.ndarray, n: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """For every row and its n; column `own`, if there is such, holds the n already and gains it anew."""
+        counts = n.astype(np.int64)
+        found = self.small[np.minimum(counts, SMALL), rows]
+        large = np.flatnonzero(counts > SMALL)
+        base = self.table[rows[large]]
+        found[large] = xlogx(base + n[large, None]) - xlogx(base)
+        mine = np.flatnonzero(own < self.table.shape[1])
+        column = own[mine]
+        base = self.table[rows[mine], column]
+        found[mine, column] = xlogx(base) - xlogx(base - n[mine])
+        return found
+
+
+def runs_of_words(codes: np.ndarray, n: np.ndarray, starts: np.ndarray, own: np.ndarray, between: np.ndarray, classes: int) -> np.ndarray:
     """The class that gains most likelihood for every word, its neighbours staying where they are.
 
     The neighbours of a word are a run of `codes` that begins at its `starts`;
     `own` is the class whose counts hold the word's own, or none of `classes`.
+    Some words are done at a time.
     """
     states = len(between)
-    cells = np.concatenate([between[:classes].T, between[:, :classes]])
-    sums = between[:classes].sum(1), between[:, :classes].sum(0)
-    which = np.repeat(np.arange(len(starts)), np.diff([*starts, len(codes)]))
-    here = own[:, None] == np.arange(classes)
-    without = cells[codes] - here[which] * n[:, None]
-    gain = np.add.reduceat(xlogx(without + n[:, None]) - xlogx(without), starts, 0)
-    for total, side in zip(sums, (codes < states, codes >= states)):
-        of_word = np.bincount(which, n * side, len(starts))[:, None]
-        without = total - here * of_word
-        gain -= xlogx(without + of_word) - xlogx(without)
-    return gain.argmax(1)
-
-
-def runs_of_words(codes, n, starts, own, between, classes) -> np.ndarray:
-    """As `best_classes`, some words at a time."""
+    cells = Gains(np.concatenate([between[:classes].T, between[:, :classes]]))
+    sums = Gains(np.stack([between[:classes].sum(1), between[:, :classes].sum(0)]))
     ends, best, first = np.append(starts[1:], len(codes)), np.empty(len(starts), np.int64), 0
     while first < len(starts):
-        start = starts[first]
-        last = max(first + 1, int(np.searchsorted(ends, start + ROWS_AT_ONCE, "right")))
-        rows = slice(start, ends[last - 1])
-        best[first:last] = best_classes(codes[rows], n[rows], starts[first:last] - start, own[first:last], between, classes)
+        last = max(first + 1, int(np.searchsorted(ends, starts[first] + ROWS_AT_ONCE, "right")))
+        rows, words = slice(starts[first], ends[last - 1]), slice(first, last)
+        which = np.repeat(np.arange(last - first), ends[words] - starts[words])
+        code, times = codes[rows], n[rows]
+        gain = np.add.reduceat(cells.of(code, times, own[words][which]), starts[words] - starts[first], 0)
+        for row, side in enumerate((code < states, code >= states)):
+            of_word = np.bincount(which, times * side, last - first)
+            gain -= sums.of(np.full(last - first, row), of_word, own[words])
+        best[words] = gain.argmax(1)
         first = last
     return best
 
@@ -269,7 +324,7 @@ def tail_classes(pairs: DataFrame, of: np.ndarray, between: np.ndarray, classes:
             if not batch.num_rows:
                 continue
             words, lists = batch.column(0), batch.column(1)
-            which = np.repeat(np.arange(len(words)), np.asarray(pa.compute.list_value_length(lists)))
+            which = np.repeat(np.arange(len(words)), np.asarray(pc.list_value_length(lists)))
             flat = lists.flatten()
             beside, n = flat.field(0).to_numpy().astype(np.int64), flat.field(1).to_numpy().astype(np.float64)
             keys = np.concatenate([which * 2 * states + beside % states, which * 2 * states + states + beside // states])
@@ -277,7 +332,7 @@ def tail_classes(pairs: DataFrame, of: np.ndarray, between: np.ndarray, classes:
             times = np.bincount(at, np.concatenate([n, n]))
             starts = np.searchsorted(keys, np.arange(len(words)) * 2 * states)
             best = runs_of_words(keys % (2 * states), times, starts, np.full(len(words), classes), between, classes)
-            suffix = [suffix_class(w) for w in words.to_pylist()]
+            suffix = suffix_classes(words)
             c = np.bincount(which, n, len(words)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([words, pa.array(best, pa.int32()), pa.array(suffix, pa.int32()), pa.array(c)], names=["word", "class", "suffix", "c"])
 
@@ -363,17 +418,22 @@ def classes_of_head(pairs: DataFrame, suffix: np.ndarray) -> tuple[np.ndarray, i
     first = min(CLUSTERED, head)
     rest = np.concatenate([suffix, np.arange(SUFFIX_CLASSES + 1)])
     seeds = np.concatenate([np.arange(first), first + rest[first:]])
-    of = exchange(bigram_counts(pairs, seeds, first + SUFFIX_CLASSES + 1), first, CLASSES, ROUNDS)[:first]
+    counted = bigram_counts(pairs, seeds, first + SUFFIX_CLASSES + 1)
+    of = exchange(counted, first, CLASSES, ROUNDS)[:first]
     classes = max(1, min(CLASSES, first))
+    states = classes + SUFFIX_CLASSES + 1
+    between = folded(counted, np.concatenate([of, np.arange(classes, states)]), states)
     of = np.concatenate([of, classes + rest[first:]])
-    states, ids = classes + SUFFIX_CLASSES + 1, np.arange(len(of))
+    ids = np.arange(len(of))
     for chosen in (ids >= first, ids % 2 == 0, ids % 2 == 1):
         moving = chosen & (ids < head)
         if head > first and moving.any():
-            between = bigram_counts(pairs, of, states)
+            if between is None:
+                between = bigram_counts(pairs, of, states)
             found = head_classes(pairs, of, moving, between, classes).toArrow()  # two numbers for each of HEAD_WORDS
             of = of.copy()
             of[found["word"].to_numpy()] = found["class"].to_numpy()
+            between = None  # the words have moved
     return of[:head], classes
 
 
@@ -412,11 +472,12 @@ def fit(texts: DataFrame, counts: DataFrame) -> tuple[Model, DataFrame]:
     of, classes = classes_of_head(pairs, suffix)
     states, size = classes + SUFFIX_CLASSES + 1, len(words)
     now = np.concatenate([of, np.arange(classes, states)])
-    lexicon = cut_lineage(tail_classes(pairs, now, bigram_counts(pairs, now, states), classes), "lexicon")
+    among = bigram_counts(pairs, now, states)
+    lexicon = cut_lineage(tail_classes(pairs, now, among, classes), "lexicon")
     # From here on every word stands in its class, and only the end beside the classes.
     class_of = np.concatenate([of, np.full(SUFFIX_CLASSES, -1), [classes]])
-    among = np.concatenate([of, np.full(SUFFIX_CLASSES, classes + 1), [classes]])
-    between = bigram_counts(pairs, among, classes + 2)[: classes + 1, : classes + 1] + tail_transitions(pairs, lexicon, class_of, classes)
+    kept = np.append(np.arange(classes), states - 1)
+    between = among[np.ix_(kept, kept)] + tail_transitions(pairs, lexicon, class_of, classes)
     discard(pairs)
     share = (between.sum(0) + 1) / (between.sum() + classes + 1)
     transition = np.log10((between + PRIOR * share) / (between.sum(1, keepdims=True) + PRIOR))
@@ -456,51 +517,49 @@ def class_ngrams(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     fields = [("row", pa.int64()), ("word", pa.binary()), ("tf", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("next", pa.binary()), ("at", pa.int32())]
     wide, most = len(model.below) + 2, SUFFIX_CLASSES
 
+    def rows_of(id_kind, **columns):
+        n = len(columns["row"])
+        kinds = [*fields, ("id", id_kind), ("held", pa.bool_())]
+        return pa.RecordBatch.from_arrays([pa.array(columns[name], kind) if name in columns else pa.nulls(n, kind) for name, kind in kinds], names=[name for name, _ in kinds])
+
     def compute(batches):
         m = sent.value
-        ids, head = Ids(m.words), len(m.words)
-        end = len(m.class_of) - 1
+        head, end = pa.array(m.words, pa.binary()), len(m.class_of) - 1
         known_end = int(m.base[end] > 0)
-        for batch in batches:
-            columns: list[list] = [[] for _ in fields]
-            at: list[int | None] = []
-
-            def flushed(batch=batch):
-                taken = pa.array(at, pa.int32())
-                return pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, (_, t) in zip(columns, fields)] + [batch.column(2).take(taken), batch.column(3).take(taken)], names=[n for n, _ in fields] + ["id", "held"]
-                )
-
-            def put(*values):
-                for column, value in zip(columns, values):
-                    column.append(value)
-
-            for place, (row, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
-                words = text.lower().split()
-                seq = np.concatenate([[end], ids.array(words), [end]])
-                classes = m.class_of[seq]
-                rare = classes < 0
-                in_head = int((seq < head).sum())
-                sure = ~(rare[:-1] | rare[1:])
-                score = float(m.transition[classes[:-1][sure], classes[1:][sure]].sum() + m.emission[seq[1:]].sum())
-                # A key of its own, which is no word, spreads these rows.
-                own = b" %d" % row
-                at.append(place)
-                put(row, own, len(seq) - 1, in_head + known_end, float(m.base[seq[1:]].sum()), score, own, 0)
-                tail = np.flatnonzero(rare)
-                if len(tail):
-                    after = np.where(rare[tail + 1], seq[tail + 1] - head, 0)
-                    # The classes on both sides, 0 where they are to be joined, and the suffixes of the word and the next.
-                    codes = (((classes[tail - 1] + 1) * wide + classes[tail + 1] + 1) * most + seq[tail] - head) * most + after
-                    follows = [words[i] if r else own for i, r in zip(tail.tolist(), rare[tail + 1].tolist())]
-                    for (word, following, code), n in Counter(zip([words[i - 1] for i in tail.tolist()], follows, codes.tolist())).items():
-                        at.append(None)
-                        put(row, word, n, None, None, None, following, code)
-                if len(columns[0]) > 50_000:
-                    yield flushed()
-                    columns, at = [[] for _ in fields], []
-            if columns[0]:
-                yield flushed()
+
+        def own(rows):
+            """A key of its own, which is no word, spreads these rows."""
+            return pc.binary_join_element_wise("", rows.cast(pa.string()), " ").cast(pa.binary())
+
+        for piece in texts_at_once(batches, 1):
+            rows, texts, ids, held = piece.columns
+            words, counts = split_words(texts)
+            found = word_ids(words, head)
+            seq, places = in_a_row(found, counts, end)
+            after, classes = seq[1:], m.class_of[seq]
+            rare = classes < 0
+            sure = ~(rare[:-1] | rare[1:])
+            token_of = np.repeat(np.arange(len(rows)), counts + 1)
+
+            def summed(values, token_of=token_of, n=len(rows)):
+                return np.bincount(token_of, values, n)
+
+            score = summed(np.where(sure, m.transition[classes[:-1], classes[1:]], 0) + m.emission[after])
+            known = summed(after < len(head)).astype(np.int64) + known_end
+            key = own(rows)
+            yield rows_of(ids.type, row=rows, word=key, tf=counts + 1, known=known, base=summed(m.base[after]), score=score, next=key, at=np.zeros(len(rows), np.int32), id=ids, held=held)
+            tail = np.flatnonzero(found >= len(head))
+            if len(tail):
+                at = places[tail]
+                follows = rare[at + 1]
+                # The classes on both sides, 0 where they are to be joined, and the suffixes of the word and the next.
+                sides = (classes[at - 1] + 1) * wide + classes[at + 1] + 1
+                codes = (sides * most + seq[at] - len(head)) * most + np.where(follows, seq[at + 1] - len(head), 0)
+                of_row = rows.take(pa.array(np.repeat(np.arange(len(rows)), counts)[tail]))
+                beside = counted_rows({"row": of_row, "word": words.take(pa.array(tail)), "next": next_words(words, tail, follows), "at": codes.astype(np.int32)})
+                for part in beside.to_batches(50_000):
+                    row, word, following, code, tf = part.columns
+                    yield rows_of(ids.type, row=row, word=word, tf=tf, next=pc.coalesce(following, own(row)), at=code)
 
     numbered = source.withColumn("row", F.monotonically_increasing_id())
     kind = id_type(docs, id_col)
