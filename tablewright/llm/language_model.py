@@ -119,7 +119,7 @@ def counted_rows(columns: dict) -> pa.Table:
 def neighbours(texts: DataFrame, words: list[bytes]) -> DataFrame:
     """Who stands beside whom, counted within tasks: rows (word, next, a, b, n, block).
 
-    A block holds many (a, b, n), ids of `Ids` or the end, b after a.  Words
+    A block holds many (a, b, n), ids of `word_ids` or the end, b after a.  Words
     that are not frequent have rows of their own as well: `word` between a and
     b, with the `next` word where that is not frequent either.
     """
