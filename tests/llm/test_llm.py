@@ -97,6 +97,42 @@ def test_near_copies_cost_in_proportion(spark, monkeypatch):
     assert pairs <= 400 * 40
 
 
+def test_near_copies_miss_no_similar_pair(spark):
+    """Bands of min-hashes named none of the first two pairs, whose similarity is 4 / 5."""
+    texts = ["w627 w511 w541 w130 w497 w624 w168 w53 w433", "w417 w742 w340 w801 w252 w338 w95 w509 w3"]
+    rows = [(10 * i + j, t.rsplit(" ", j)[0]) for i, t in enumerate(texts) for j in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in similar.near_copies(docs).collect()} == {1, 11}
+
+
+def test_any_order_of_shingles_names_every_similar_pair():
+    rng = np.random.default_rng(3)
+    close = 0
+    for i in range(3000):
+        common = np.zeros(similar.COUNTERS, np.uint8) if i % 2 else rng.integers(0, 9, similar.COUNTERS, np.uint8) if i % 500 == 0 else common
+        n, least = int(rng.integers(1, 60)), (0.5, 0.8, 0.9)[i % 3]
+        a = np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64))
+        b = np.unique(np.append(a[: max(1, round(n * rng.uniform(least, 1)))], rng.integers(0, 1 << 62, int(rng.integers(0, 1 + n // 8))).astype(np.uint64)))
+        x, y = (similar.prefix_keys(v, common, least) for v in (a, b))
+        assert len(x) <= (1 - least) * len(a) + 1 + 1e-6
+        if similar.similarity(a, b) >= least:
+            close += 1
+            assert set(x.tolist()) & set(y.tolist())
+    assert close > 500
+
+
+def test_common_shingles_make_no_keys(spark):
+    """A passage that all texts hold is in no key, since each has enough shingles of its own."""
+    passage = prose(40, 77)
+    docs = spark.createDataFrame([(f"{prose(40, 7000 + i)} {passage}",) for i in range(60)], "text string")
+    common = similar.commonness(docs.select(F.col("text").cast("binary")).repartition(3), 5)
+    seen = Counter()
+    for row in docs.collect():
+        own = similar.shingles(similar.WordHashes().array(row.text.encode().lower().split()), 5)
+        seen.update(similar.prefix_keys(own, common, 0.8).tolist())
+    assert max(seen.values()) < 5 and len(seen) > 60 * 10
+
+
 def test_sketches_rule_out_no_similar_pair(spark):
     rng = np.random.default_rng(6)
     rows = []
